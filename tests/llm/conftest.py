@@ -13,7 +13,7 @@ def odd(spark, tmp_path_factory):
         "x y z x y z x y z\nx y z\n\nx y z", "😀 😀 😀 4111111111111111😀 +4912345678.", "phone: (212) 555-1234 or me (at) mail.com",
     ]
     rows = [(i, t, ("s%d" % (i % 3)) if i % 5 else None, i * 1.5) for i, t in enumerate(texts)]
-    rows += [(None, "null id text here", "s0", None), (None, None, None, None), (5, texts[5], "s2", 7.5), (5, texts[5], "s2", 7.5)]
+    rows += [(None, "null id text here", "s0", None), (None, None, None, None), (5, texts[5], None, 7.5), (5, texts[5], None, 7.5)]
     at = str(tmp_path_factory.mktemp("odd"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("size", T.DoubleType())])
     spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{at}/documents.parquet")
