@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, packing, pii, rules, simhash
+from . import cross_polytope, curriculum, kd_shards, packing, page_diff, pii, quality_model, rules, simhash, sstable
 from .common import table
 
 
@@ -14,11 +14,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.col("_base")[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -31,6 +44,15 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *values, rules.rejected("base").alias("base_failed"), (~rules.rejected()).alias("kept"))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = curriculum.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     first = F.when(F.col("_copies") > 0, F.round(curriculum.when_read(F.lit(0)), 9))
@@ -46,9 +68,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_kd_shards": op2_kd_shards,
+    "op3_page_diff": op3_page_diff,
     "op4_packing": op4_packing,
+    "op5_sstable": op5_sstable,
     "op6_pii": op6_pii,
     "op7_rules": op7_rules,
+    "op8_cross_polytope": op8_cross_polytope,
+    "op9_quality": op9_quality,
     "op10_curriculum": op10_curriculum,
     "pipeline": pipeline,
 }
