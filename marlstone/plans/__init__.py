@@ -1 +1,5 @@
-"""plans of the engine."""
+"""All registered queries: name to (function of session and table folder, SQL or None)."""
+
+from . import commerce, retrieval
+
+QUERIES = {**retrieval.QUERIES, **commerce.QUERIES}
