@@ -139,12 +139,12 @@ RESTOCK = f"""WITH s AS (SELECT * FROM {_SIGNALS}), o AS (SELECT max(units) AS u
 def business_priority(spark: SparkSession, sf: str) -> DataFrame:
     rows = _signals(spark, sf)
     score = S.business_priority(F.col("discount"), F.col("units"), F.col("stock"), F.col("lead"), F.col("returns"), 0.2)
-    return rows.select("p_partkey", F.round(score, 6).alias("priority"))
+    return rows.select("p_partkey", F.round(score, 9).alias("priority"))
 
 
 BUSINESS_PRIORITY = f"""SELECT p_partkey, round(greatest(0.0::DOUBLE, least(0.99::DOUBLE, 0.12::DOUBLE + discount * 0.35::DOUBLE + least(units / 80.0::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE
     + CASE WHEN stock <= 0 THEN 0.28::DOUBLE WHEN stock <= 5 THEN 0.22::DOUBLE WHEN stock <= 10 THEN 0.14::DOUBLE ELSE 0.0::DOUBLE END
-    + least(lead / 45.0::DOUBLE, 1.0::DOUBLE) * 0.2::DOUBLE - returns * 0.12::DOUBLE)), 6) AS priority FROM {_SIGNALS}"""
+    + least(lead / 45.0::DOUBLE, 1.0::DOUBLE) * 0.2::DOUBLE - returns * 0.12::DOUBLE)), 9) AS priority FROM {_SIGNALS}"""
 
 
 def bundle(spark: SparkSession, sf: str) -> DataFrame:
