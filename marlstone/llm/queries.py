@@ -80,4 +80,38 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Every rule of the current policy, over measurements taken from the whole texts; rid tells repeated rows apart.
+OP7_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+    l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+    r AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1) GROUP BY rid),
+    m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_shouted, len(list_filter(w, lambda x: regexp_matches(x, '[!?]$'))) AS n_marks
+      FROM d JOIN l USING (rid) LEFT JOIN r USING (rid)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) OR 100 * n_shouted > 60 * n_words OR 100 * n_marks > 60 * n_words) AS kept FROM b"""
+
+#: All rows of a label by brute force, and components by repeatedly taking the smallest id in reach.
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    a AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+    p AS (SELECT x.vec_id AS s, y.vec_id AS t FROM a x JOIN a y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.93),
+    reach AS (SELECT vec_id AS s, vec_id AS t FROM v UNION SELECT r.s, p.t FROM reach r JOIN p ON r.t = p.s)
+    SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM (SELECT vec_id, (SELECT count(*) FROM p WHERE s = vec_id) AS n_links, (SELECT min(t) FROM reach WHERE s = vec_id) AS component_id FROM v)"""
+
+OP10_SQL = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z, CAST(row_number() OVER (ORDER BY source NULLS LAST) - 1 AS INTEGER) AS k FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][k % 3 + 1] AS w, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][k % 3 + 1] AS slope, z * 3 AS lim FROM s),
+    o AS (SELECT *, (CAST((SELECT sum(z) FROM s) AS DOUBLE) - coalesce(sum(lim) OVER x, 0)) / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER x, 0)) AS lvl
+      FROM w WINDOW x AS (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT source, z, slope, CASE WHEN lim / w <= lvl THEN CAST(lim AS DOUBLE) ELSE (SELECT lvl FROM o WHERE lim / w > lvl ORDER BY lim / w, source NULLS LAST LIMIT 1) * w END AS target FROM o),
+    c AS (SELECT d.doc_id, d.size, t.z, t.target, t.slope, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0 AS middle,
+      CASE WHEN t.z > 0 THEN CAST(floor(t.target / t.z) AS BIGINT) ELSE 0 END AS passes FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    f AS (SELECT *, CAST(passes + CASE WHEN middle <= target - passes * z THEN 1 ELSE 0 END AS INTEGER) AS copies, least(CASE WHEN target > 0 THEN CAST(middle AS DOUBLE) / target ELSE 0.0 END, 1.0) AS share FROM c)
+    SELECT doc_id, size, z AS source_size, target, size * copies AS taken, copies,
+      CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END, 9) END AS first_position FROM f"""
+
+SQL = {"op7_rules": OP7_SQL, "op8_cross_polytope": OP8_SQL, "op10_curriculum": OP10_SQL}
