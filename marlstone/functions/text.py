@@ -27,7 +27,7 @@ def quality_score(text: Column) -> Column:
     """How much a passage looks like prose, 0..1: length, letters, words and script, less digits and bare number lines."""
     s = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
     n = F.greatest(F.length(s), F.lit(1))
-    lines = F.filter(F.transform(F.split(s, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     latin, digits = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[0-9]"))
     bare = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^[0-9 .:/()%|-]+$")))) / F.greatest(F.size(lines), F.lit(1))
     score = (
@@ -49,7 +49,7 @@ LOW_QUALITY = 0.22
 def sentences(text: Column) -> Column:
     """Sentences end with . ! or ? before white space, or at a line's end; trimmed, none empty."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def section_references(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""The checkpoint folder that iterative operators cut their lineage in."""
+"""The folder that all executors see, for checkpoints and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -7,8 +7,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-"))
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="marlstone-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Makes checkpoint() work in this session."""
+    shared_folder(spark)

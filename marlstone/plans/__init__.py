@@ -1,5 +1,5 @@
 """All registered queries: name to (function of session and table folder, SQL or None)."""
 
-from . import commerce, retrieval
+from . import commerce, retrieval, streams
 
-QUERIES = {**retrieval.QUERIES, **commerce.QUERIES}
+QUERIES = {**retrieval.QUERIES, **commerce.QUERIES, **streams.QUERIES}

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PRODUCT = T.StructType.fromDDL(
+PRODUCT = (
     "product_id string, sku string, name string, category string, brand string, short_description string, full_description string, status string, updated_at string, price double, "
     "currency string, stock int, tags array<string>, attributes map<string,string>, size_stock map<string,int>, include_in_rag boolean"
 )
-CHUNK = T.StructType.fromDDL(
+CHUNK = (
     "chunk_id string, document_id string, act_title string, chunk_scope string, chunk_variant string, source_node_id string, source_node_type string, text string, normalized_text string, "
     "token_count int, page_start int, page_end int, page_numbers array<int>, section_number string, subsection_number string, citability_label string, label string, title string, "
     "linked_node_ids array<string>, metadata map<string,string>"
 )
-NODE = T.StructType.fromDDL("node_id string, document_id string, act_title string, node_type string, text string, normalized_text string, page_start int, page_end int, parent_id string, label string, title string, path_ids array<string>")
-LINK = T.StructType.fromDDL("source_node_id string, target_node_id string, relation string")
-EVENT = T.StructType.fromDDL("event string, session_id string, timestamp string, question string, product_ids array<string>, intent string, confidence double, order_id string, total_amount double, reason string")
-VECTOR = T.StructType.fromDDL("record_id string, vector array<float>, metadata map<string,string>, text string, namespace string")
+NODE = "node_id string, document_id string, act_title string, node_type string, text string, normalized_text string, page_start int, page_end int, parent_id string, label string, title string, path_ids array<string>"
+LINK = "source_node_id string, target_node_id string, relation string"
+EVENT = "event string, session_id string, timestamp string, question string, product_ids array<string>, intent string, confidence double, order_id string, total_amount double, reason string"
+VECTOR = "record_id string, vector array<float>, metadata map<string,string>, text string, namespace string"
 
 #: Column: the names under which a till's export may hold it, first found wins.
 CSV_ALIASES = {
@@ -32,12 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """JSON lines with a fixed schema. Strict: a malformed line fails the read; else it is dropped. Blank lines never count."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def read_documents(spark: SparkSession, root: str, part: str, schema: T.StructType) -> DataFrame:
+def read_documents(spark: SparkSession, root: str, part: str, schema: str) -> DataFrame:
     """``root``/<document>/``part`` of every document folder, with the folder's name."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/*/{part}")
     return rows.withColumn("document_folder", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+/[^/]+$", 1))
@@ -45,7 +44,7 @@ def read_documents(spark: SparkSession, root: str, part: str, schema: T.StructTy
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of whole-file graph documents."""
-    whole = spark.read.schema(T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("links", T.ArrayType(LINK))])).json(path, multiLine=True)
+    whole = spark.read.schema(f"nodes array<struct<{NODE}>>, links array<struct<{LINK}>>").json(path, multiLine=True)
     return whole.select(F.inline("nodes")), whole.select(F.inline("links"))
 
 
@@ -75,7 +74,7 @@ def read_products_csv(spark: SparkSession, path: str) -> DataFrame:
         *[value[c].alias(c) for c in ("product_id", "sku", "name", "category", "brand", "currency", "status", "updated_at")],
         F.coalesce(value["price"].try_cast("double"), F.lit(0.0)).alias("price"),
         F.coalesce(value["stock"].try_cast("double").cast("int"), F.lit(0)).alias("stock"),
-        F.filter(F.transform(F.split(F.coalesce(value["tags"], F.lit("")), ","), F.trim), lambda t: t != "").alias("tags"),
+        F.filter(F.transform(F.split(F.coalesce(value["tags"], F.lit("")), ","), lambda x: F.trim(x)), lambda t: t != "").alias("tags"),
         attributes.alias("attributes"),
     )
     return rows.where("product_id IS NOT NULL AND sku IS NOT NULL AND name IS NOT NULL")
