@@ -61,6 +61,7 @@ def test_op3_structure_and_differencing(spark):
         (4, None, None), (5, "", "plain text"), (5, "", "plain text"), (None, "http://c.x", "<article><nav>n</nav><header><h1>T</h1><p>by me</p></header><p>a<script>x='<p>'</script>b</p><div class='post-comments'><p>nice</p></div><ul><li>one<li>two</ul><form>f</form><p>cut off <b"),
         (8, "http://a.x/n/9", '<main><p>kept</p><div id="cookieNotice">cookies</div><aside>side</aside></main><footer>f</footer><p>All rights kept</p>'),
         (9, "http://d.x/", "<body><div role=banner>B</div><p>x&nbsp;y<br>z</p><!-- <p>no</p> --><p hidden>h</p><p class='notice'>n<p>w</p><span class=ad>buy</span> tail"),
+        (11, "http://e.x/", "<head><title>t<body><article class='post'><div class='article-header'><h1>T</h1>by me</div><p>a</p><article class='comment'>c</article></article><article class='comment'>d</article>"),
         (10, "http://a.x/n/3", f"<body>{menu}<article><p>All rights kept</p><p>Passage</p></article></body>"),
     ]
     got = page_diff.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
@@ -71,6 +72,7 @@ def test_op3_structure_and_differencing(spark):
     assert text[4] == "" and text[5] == "plain text"
     assert text[None] == "T\n\nab\n\none\n\ntwo\n\ncut off"
     assert text[8] == "kept" and text[9] == "x y z\n\nw\n\ntail"
+    assert text[11] == "T\n\na"
     assert text[10] == "All rights kept\n\nPassage"
     assert page_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
