@@ -146,3 +146,29 @@ def test_stream_changes_and_streaks(spark, tmp_path):
     assert {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / f"out/table/{last}")).collect()} in ({"a": 7, "b": 1, "c": 3}, {"a": 1, "b": 1, "c": 3})
     events = spark.createDataFrame([("u", 1, True), ("u", 2, True), ("u", 3, False), ("u", 4, True), ("w", 1, False)], "k string, n int, bad boolean")
     assert [tuple(r) for r in analytics.streaks(events, "k", ["n"], F.col("bad")).collect()] == [("u", 2, 2)]
+
+
+def test_embedders(spark):
+    from marlstone.functions import embedders
+
+    df = spark.createDataFrame([("red silk red",), (None,), ("red silk red",)], "t string")
+    rows = df.select(embedders.build_embedder("hash", 16)(F.col("t")).alias("v"), embedders.build_embedder("keyword", ["red", "silk"])(F.coalesce("t", F.lit(""))).alias("k")).collect()
+    assert rows[0]["v"] == rows[2]["v"] != rows[1]["v"] and sum(x * x for x in rows[0]["v"]) == pytest.approx(1, abs=1e-5)
+    assert rows[0]["k"] == [2.0, 1.0] and rows[1]["k"] == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        embedders.build_embedder("none")
+    got = spark.range(1).select(embedders.blend(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)), 0.5).alias("b"), embedders.unit(F.array(F.lit(0.0))).alias("z"), embedders.sigmoid(F.lit(0.0)).alias("s")).first()
+    assert got["b"] == pytest.approx([0.5**0.5] * 2) and got["z"] == [0.0] and got["s"] == 0.5
+
+
+def test_question_functions(spark):
+    from marlstone.functions import questions as q
+
+    text = F.col("t")
+    rows = spark.createDataFrame([("What is the definition of income?",), ("How many (a) one (b) two",), ("Compare the rate of 5% and Taka 300 lakh by 30th day of June",), ("২০২৩",)], "t string")
+    got = rows.select(q.question_kind(text).alias("k"), q.phrases(text, q.AMOUNTS).alias("a"), q.phrases(text, q.DATES).alias("d"), q.enumerated_items(text).alias("n"), q.normalize_digits(text).alias("x"), q.language(text).alias("l")).collect()
+    assert [g["k"] for g in got] == ["definition", "count_lookup", "comparison", "general"] and got[1]["n"] == 2
+    assert got[2]["a"] == ["taka 300 lakh", "5%"] and got[2]["d"] == ["30th day of june"] and got[3]["x"] == "2023" and got[3]["l"] == "bn"
+    years = spark.createDataFrame([("2023-2024",), ("soon",)], "y string").select(q.tax_year_range(F.col("y")).alias("r")).collect()
+    assert str(years[0]["r"]["start"]) == "2023-07-01" and str(years[0]["r"]["end"]) == "2024-06-30" and years[1]["r"] is None
+    assert rows.select(q.spec_number(F.lit("2 TB"), "storage_gb")).first()[0] == 2048 and rows.select(q.truncate(F.lit("abc def"), 4)).first()[0] == "abc..."
