@@ -1,5 +1,5 @@
 """All registered queries: name to (function of session and table folder, SQL or None)."""
 
-from . import commerce, evidence, retrieval, streams
+from . import commerce, evidence, ranking, retrieval, streams
 
-QUERIES = {**retrieval.QUERIES, **commerce.QUERIES, **evidence.QUERIES, **streams.QUERIES}
+QUERIES = {**retrieval.QUERIES, **commerce.QUERIES, **evidence.QUERIES, **ranking.QUERIES, **streams.QUERIES}
