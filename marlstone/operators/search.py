@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import rrf_gain
@@ -35,20 +35,34 @@ class Bm25:
         rows = self.docs.select(self.key, F.size("_tokens").alias("dl"), F.explode(wanted).alias("term"))
         return rows.groupBy(self.key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
+    def statistics(self) -> DataFrame:
+        """One row: (n_docs, avg_length)."""
+        return self.docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("_tokens")).alias("avg_length"))
+
     def scores(self, terms: list[str]) -> DataFrame:
         """(key, score) of documents that hold a term; a repeated term counts again."""
-        repeats = F.create_map(*[x for t in set(terms) for x in (F.lit(t), F.lit(terms.count(t)))])
-        length = self.docs.agg(F.avg(F.size("_tokens")).alias("_avg"))
-        idf = self.vocabulary().where(F.col("term").isin(terms)).select("term", "idf")  # a row for each term asked
-        rows = self.postings(terms).join(F.broadcast(idf), "term").crossJoin(F.broadcast(length))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg"))
-        return rows.groupBy(self.key).agg(F.sum(F.element_at(repeats, F.col("term")) * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+        return okapi(self.postings(terms), self.vocabulary(), self.statistics(), terms, self.key)
 
     def search(self, terms: list[str], k: int) -> DataFrame:
         """(key, score, rank): the k best scores over 0, ties by key."""
         return top_k(self.scores(terms).where("score > 0"), "score", k, self.key)
 
 
+def okapi(postings: DataFrame, vocabulary: DataFrame, statistics: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(key, score) from BM25 tables, computed or written before; only the terms' rows are read."""
+    repeats = F.create_map(*[x for t in set(terms) for x in (F.lit(t), F.lit(terms.count(t)))])
+    idf = vocabulary.where(F.col("term").isin(terms)).select("term", "idf")  # a row for each term asked
+    rows = postings.where(F.col("term").isin(terms)).join(F.broadcast(idf), "term").crossJoin(F.broadcast(statistics.select("avg_length")))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_length"))
+    return rows.groupBy(key).agg(F.sum(F.element_at(repeats, F.col("term")) * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str], k: int, key: str) -> DataFrame:
+    """(key, score, rank) from an index that ``sinks.write_index`` wrote: the corpus isn't read, and of the postings only the files that hold the terms."""
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+    return top_k(okapi(read("postings"), read("vocabulary"), read("statistics"), terms, key).where("score > 0"), "score", k, key)
+
+
 def top_k(rows: DataFrame, score: str, k: int, key: str) -> DataFrame:
     """The k best rows ranked from 1: a distributed top-k, then a window over k rows."""
     best = rows.withColumn(score, F.round(score, 6)).orderBy(F.desc(score), key).limit(k)

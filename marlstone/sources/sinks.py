@@ -28,8 +28,8 @@ def write_document(nodes: DataFrame, links: DataFrame, path: str, parents: list[
     write_table(nodes.where(~F.col("node_type").isin(parents)), f"{path}/retrieval_nodes", ["document_id"])
 
 
-def write_index(postings: DataFrame, vocabulary: DataFrame, lengths: DataFrame, path: str) -> None:
+def write_index(postings: DataFrame, vocabulary: DataFrame, statistics: DataFrame, path: str) -> None:
     """BM25 tables; postings lie together by term, so a search reads few files."""
     postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    statistics.write.mode("overwrite").parquet(f"{path}/statistics")

@@ -172,3 +172,10 @@ def test_question_functions(spark):
     years = spark.createDataFrame([("2023-2024",), ("soon",)], "y string").select(q.tax_year_range(F.col("y")).alias("r")).collect()
     assert str(years[0]["r"]["start"]) == "2023-07-01" and str(years[0]["r"]["end"]) == "2024-06-30" and years[1]["r"] is None
     assert rows.select(q.spec_number(F.lit("2 TB"), "storage_gb")).first()[0] == 2048 and rows.select(q.truncate(F.lit("abc def"), 4)).first()[0] == "abc..."
+
+
+def test_written_index_answers_alike(spark, tmp_path, sf):
+    index = search.Bm25(tables.table(spark, sf, "documents"), "doc_id", "text")
+    sinks.write_index(index.postings(), index.vocabulary(), index.statistics(), str(tmp_path))
+    terms = ["was", "thing", "thing"]
+    assert [tuple(r) for r in search.search_index(spark, str(tmp_path), terms, 7, "doc_id").orderBy("rank").collect()] == [tuple(r) for r in index.search(terms, 7).orderBy("rank").collect()]
