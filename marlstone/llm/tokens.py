@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 #: Words whose ids a Python worker remembers; beyond that it forgets them all.
 REMEMBERED = 400_000
 CHUNK = 200
+#: Words of these characters alone are lower-cased, composed and split alike by every Unicode version.
+PLAIN = r"[!-~À-ÖØ-öø-įı-ňŊ-ž]+"
 
 
 def default_tokenizer() -> str:
@@ -18,41 +22,79 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts, without special tokens, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins what a space or a line feed parts (``exact`` in the tests compares with encoding whole
-    texts), so each different word is encoded once and its ids are then looked up.
+    A tokenizer that drops white space and marks the ends of words encodes what spaces and line feeds part each by
+    itself, so a word is encoded once and then looked up; its pieces, which many words share, are encoded in chunks and
+    told apart by their end marks. Words of unusual characters, and all texts of other tokenizers, go through the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = bool(suffix) and split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert"))
+        if self.by_word:
+            self.pattern, self.plain = regex.compile(split["pattern"]["Regex"]), regex.compile(PLAIN)
+            self.special = [t["content"] for t in spec["added_tokens"]]
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            self.pieces_only = Tokenizer.from_file(path)
+            self.pieces_only.normalizer = None
+            self.pieces_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict[str, bytes] = {"": b""}
-        # A special token stands between the words of a chunk; a word that holds it is encoded alone.
-        self.mark = next((s for s in ("<|startoftext|>", "<|endoftext|>") if self.tokenizer.token_to_id(s) is not None), None)
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        alone = [w for w in words if self.mark is None or self.mark in w]
-        words = [w for w in words if self.mark is not None and self.mark not in w]
-        chunks = [words[k : k + CHUNK] for k in range(0, len(words), CHUNK)]
-        found = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(c) for c in chunks] + alone, add_special_tokens=False)
-        for chunk, enc in zip(chunks, found, strict=False):
-            ids = np.array([*enc.ids, self.mark_id], dtype="<u4")
+        plain, odd = {}, []
+        for w in words:
+            stem = w[:-1]
+            if w.isalpha() and (w.isascii() or self.plain.fullmatch(w)):  # letters alone, or before one mark: as the pattern splits
+                plain[w] = (w.lower(),)
+            elif w[-1] in ".,!?" and stem.isalpha() and (stem.isascii() or self.plain.fullmatch(stem)):
+                plain[w] = (stem.lower(), w[-1])
+            elif self.plain.fullmatch(w) and not ("<|" in w and any(s in w for s in self.special)):
+                plain[w] = self.pattern.findall(w.lower())
+            else:
+                odd.append(w)
+        self.ids.update(zip(odd, self._whole(odd), strict=True))
+        new = list(set().union(*plain.values()).difference(self.pieces)) if plain else []
+        for k in range(0, len(new), CHUNK):
+            chunk = new[k : k + CHUNK]
+            ids = np.array(self.pieces_only.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(chunk):
+                self.pieces.update(zip(chunk, self._whole(chunk), strict=True))
+                continue
             raw, start = ids.tobytes(), 0
-            for word, end in zip(chunk, (np.flatnonzero(ids == self.mark_id) * 4).tolist(), strict=True):
-                self.ids[word] = raw[start:end]
-                start = end + 4
-        for word, enc in zip(alone, found[len(chunks) :], strict=True):
-            self.ids[word] = np.array(enc.ids, dtype="<u4").tobytes()
+            for piece, stop in zip(chunk, stops.tolist(), strict=True):
+                self.pieces[piece] = raw[start:stop]
+                start = stop
+        get = self.pieces.__getitem__
+        for w, parts in plain.items():
+            self.ids[w] = b"".join(map(get, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole([t or "" for t in texts])
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.ids) > REMEMBERED:
-            self.ids = {"": b""}
+            self._forget()
         new = set().union(*words).difference(self.ids) if words else set()
         if new:
             self._learn(list(new))
-        return [b"".join(map(self.ids.__getitem__, w)) for w in words]
+        get = self.ids.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
 
 _ENCODERS: dict[str, Encoder] = {}
