@@ -23,16 +23,21 @@ def overlap_ratio(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(left, right)) / union)
 
 
+def characters(text: Column, kind: str) -> Column:
+    """Characters of a class: what is left when the runs of others are gone. Counting each match would make a string of it."""
+    return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
+
+
 def quality_score(text: Column) -> Column:
     """How much a passage looks like prose, 0..1: length, letters, words and script, less digits and bare number lines."""
-    s = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    s = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f\v"))
     n = F.greatest(F.length(s), F.lit(1))
     lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    latin, digits = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[0-9]"))
+    latin, digits = characters(s, "A-Za-z"), characters(s, "0-9")
     bare = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^[0-9 .:/()%|-]+$")))) / F.greatest(F.size(lines), F.lit(1))
     score = (
         F.least(F.length(s) / 180.0, F.lit(1.0)) * 0.25
-        + F.least(F.regexp_count(s, F.lit(r"\p{L}")) / n / 0.45, F.lit(1.0)) * 0.35
+        + F.least(characters(s, r"\p{L}") / n / 0.45, F.lit(1.0)) * 0.35
         + F.least(F.regexp_count(s, F.lit("[A-Za-z0-9_]+")) / 28.0, F.lit(1.0)) * 0.2
         + F.least(latin / 18.0, F.lit(1.0)) * 0.25
         - F.least(digits / n, F.lit(1.0)) * 0.2
