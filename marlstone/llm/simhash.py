@@ -217,29 +217,29 @@ def _slice_key(parts, s: int, within: int):
     return key
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", within: int = 3) -> DataFrame:
-    """(doc_id, _fp, _root, component_id) for every row of ``docs``; rows whose fingerprints differ in at most ``within`` bits are linked.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", within: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns of ``carry``, _fp, _root, component_id) for every row of ``docs``; rows whose fingerprints differ in at most ``within`` bits are linked.
 
     component_id is the smallest doc_id that can be reached, the row's own included; null if all of those are null.
     Null and empty texts have fingerprint 0 and are linked like others; repeated rows are kept; an empty table gives none.
     Rows of one fingerprint are grouped before anything is compared, so copies never become pairs.
     """
-    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text").select("doc_id", "_fp"))
+    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *carry), "_text").select("doc_id", *carry, "_fp"))
     fps = cut(marked.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
     roots = components(links(fps, within))
     rooted = fps.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     rooted = cut(rooted)
     ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return marked.join(rooted.select("_fp", "_root").join(ids, "_root"), "_fp").select("doc_id", "_fp", "_root", "component_id")
+    return marked.join(rooted.select("_fp", "_root").join(ids, "_root"), "_fp").select("doc_id", *carry, "_fp", "_root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, within: int = 3) -> DataFrame:
     """One row of each group of near-duplicates: one with the group's smallest doc_id (a null doc_id only if it has no other)."""
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_name")
-    best = near_duplicates(docs, within=within).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = best.select(named, "_fp", "_root").dropDuplicates(["_root"]).select("_name", "_fp")
-    marked = with_fingerprint(docs).withColumn("_name", named)
-    return marked.join(best, ["_name", "_fp"], "left_semi").dropDuplicates(["_name", "_fp"]).select(*docs.columns)
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    marked = docs.withColumns({"_name": named, "_hash": F.xxhash64("text")})  # equal texts are in one group, so a hash stands for the fingerprint
+    best = near_duplicates(marked, within=within, carry=("_name", "_hash")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = best.select("_name", "_hash", "_root").dropDuplicates(["_root"]).select("_name", "_hash")
+    return marked.join(best, ["_name", "_hash"], "left_semi").dropDuplicates(["_name", "_hash"]).select(*docs.columns)
 
 
 def hex_fingerprint(fp: str = "_fp"):
