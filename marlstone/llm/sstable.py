@@ -243,7 +243,7 @@ def _rows(task: int, seq: int, rows: list) -> pd.DataFrame:
 
 def read_digest(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the shards; start counts the ids of all documents before."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a shard each
+    small_batches(spark, 4)  # of whole shards
     if not manifest.take(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(uri).select("path", "content")
