@@ -13,9 +13,11 @@ from .common import components, cut
 
 COSINE = 0.93
 #: Hash tables; polytope hashes joined into a bucket; further buckets in which a vector is also put, next best first.
-TABLES, JOINED, PROBES, SEED = 10, 2, 3, 20240229
+TABLES, JOINED, PROBES, SEED = 6, 2, 2, 20240229
 #: A bucket of more vectors is compared in pairs of slices of about that size, each pair a key of its own.
 SLICE = 2048
+#: Buckets of up to so many vectors are compared by shifts of the whole batch, larger ones as matrices.
+SMALL = 24
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -83,62 +85,86 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs(rows: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one key whose cosine reaches ``cosine``; of a key of two slices only pairs across them."""
+    x, key = rows["x"], rows["key"]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    size = np.repeat(sizes, sizes)
+    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for d in range(1, min(SMALL, int(sizes.max()))):
+        i = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= SMALL))
+        i = i[np.einsum("ij,ij->i", x[i], x[i + d]) >= cosine]
+        left.append(i)
+        right.append(i + d)
+    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = x[s : s + n]
+        for k in range(0, n, 512):
+            i, j = np.nonzero(np.triu(own[k : k + 512] @ own.T >= cosine, k + 1))
+            left.append(i + k + s)
+            right.append(j + s)
+    i, j = np.concatenate(left), np.concatenate(right)
+    keep = ~rows["cross"][i] | (rows["part"][i] != rows["part"][j])
+    return i[keep], j[keep]
+
+
 def _verify(cosine: float):
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        """Rows of one key: (a, b) for edges that connect what is linked, and (a, null, n) for the links first met here."""
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        codes, ids, many, part = np.stack(rows["_codes"].to_numpy()), rows["_rep"].to_numpy(), rows["_many"].to_numpy(), rows["_part"].to_numpy()
-        here, mixed = int(rows["_code"].iat[0]), len(np.unique(part)) > 1
-        links, edges = np.zeros(len(x), dtype=np.int64), []
-        root = np.arange(len(x))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return int(i)
-
-        for k in range(0, len(x), 256):
-            i, j = np.nonzero(np.triu(x[k : k + 256] @ x.T >= cosine, k + 1))
-            i += k
-            keep = (part[i] != part[j]) if mixed else slice(None)
-            i, j = i[keep], j[keep]
-            fresh = np.zeros(len(i), dtype=bool)
-            for s in range(0, len(i), 20_000):  # each pair counts in the first bucket that it shares
-                fresh[s : s + 20_000] = _first_shared(codes[np.minimum(i, j)[s : s + 20_000]], codes[np.maximum(i, j)[s : s + 20_000]]) == here
-            i, j = i[fresh], j[fresh]
-            np.add.at(links, i, many[j])
-            np.add.at(links, j, many[i])
-            new = root[i] != root[j]
-            for p, q in zip(i[new].tolist(), j[new].tolist(), strict=True):
-                p2, q2 = find(p), find(q)
-                if p2 != q2:
-                    root[q2] = p2
-                    edges.append((ids[p], ids[q]))
+    def solve(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        """For the rows of whole keys: (a, b) for edges that connect what is linked, and (a, null, n) for the links first met here."""
+        i, j = _pairs(rows, cosine)
+        fresh = np.zeros(len(i), dtype=bool)
+        for s in range(0, len(i), 20_000):  # each pair counts in the first bucket that it shares, by its smaller number's order
+            a, b = i[s : s + 20_000], j[s : s + 20_000]
+            swap = rows["rep"][a] > rows["rep"][b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            fresh[s : s + 20_000] = _first_shared(rows["codes"][a], rows["codes"][b]) == rows["code"][a]
+        i, j = i[fresh], j[fresh]
+        links = np.bincount(i, rows["many"][j], len(rows["rep"])) + np.bincount(j, rows["many"][i], len(rows["rep"]))
+        root = list(range(len(rows["rep"])))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        edges = []
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            p2, q2 = find(p), find(q)
+            if p2 != q2:
+                root[q2] = p2
+                edges.append((p, q))
+        ends = np.array(edges, dtype=np.int64).reshape(-1, 2)
         some = np.flatnonzero(links)
-        a = [e[0] for e in edges] + ids[some].tolist()
-        b = pd.array([e[1] for e in edges] + [None] * len(some), dtype="Int64")
-        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": b, "n": np.r_[np.zeros(len(edges), dtype=np.int64), links[some]]})
+        b = pd.array(rows["rep"][ends[:, 1]], dtype="Int64")
+        return pd.DataFrame({"a": np.r_[rows["rep"][ends[:, 0]], rows["rep"][some]], "b": pd.concat([pd.Series(b), pd.Series(pd.array([None] * len(some), dtype="Int64"))], ignore_index=True), "n": np.r_[np.zeros(len(ends)), links[some]].astype(np.int64)})
+
+    def arrays(batch: pd.DataFrame) -> dict[str, np.ndarray]:
+        x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return {"x": x, "codes": np.stack(batch["_codes"].to_numpy()), **{c: batch[f"_{c}"].to_numpy() for c in ("key", "code", "rep", "many", "part", "cross")}}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        """Batches sorted by vector length and key; the last key of a batch waits for the next one."""
+        held: list[dict[str, np.ndarray]] = []
 
-        def close():
-            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        def close() -> pd.DataFrame:
+            rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             held.clear()
             return solve(rows)
 
         for batch in batches:
-            key = batch["_key"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
-            for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-                if held and held[0]["_key"].iat[0] != key[s]:
-                    if sum(map(len, held)) > 1:
-                        yield close()
-                    held.clear()
-                held.append(batch.iloc[s:e])
-        if sum(map(len, held)) > 1:
+            for _, part in batch.groupby(batch["embedding"].map(len), sort=True):
+                rows = arrays(part)
+                key = rows["key"]
+                if held and held[-1]["key"][-1] != key[0]:
+                    yield close()
+                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+                if last:
+                    held.append({c: v[:last] for c, v in rows.items()})
+                    yield close()
+                held.append({c: v[last:] for c, v in rows.items()})
+        if held:
             yield close()
 
     return run
@@ -169,8 +195,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     parts = F.ceil(F.col("count") / SLICE).cast("int")
     slots = slots.withColumn("_part", F.pmod(F.xxhash64("_rep"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     slots = slots.withColumn("_key", F.when(F.col("count") <= SLICE, F.col("_bucket")).otherwise(F.xxhash64("_bucket", F.least("_part", "_other"), F.greatest("_part", "_other"))))
-    slots = slots.select("_key", "_code", "_rep", "_many", "_part", "_codes", F.col("embedding").cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else "embedding")
-    met = cut(slots.repartition("_key").sortWithinPartitions("_key").mapInPandas(_verify(cosine), "a long, b long, n long"))
+    slots = slots.select("_key", "_code", "_rep", "_many", "_part", (F.col("_part") != F.col("_other")).alias("_cross"), "_codes", F.col("embedding").cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else "embedding")
+    met = cut(slots.repartition("_key").sortWithinPartitions(F.size("embedding"), "_key").mapInPandas(_verify(cosine), "a long, b long, n long"))
     links = met.where("b IS NULL").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_links"))
     roots = components(met.where("b IS NOT NULL").select("a", "b"))
     placed = points.select("_rep", "_least", "_many", "label", "embedding").join(links, "_rep", "left").join(roots.withColumnRenamed("node", "_rep"), "_rep", "left")
