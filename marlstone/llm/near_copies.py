@@ -1,0 +1,122 @@
+"""Near copies by five-word shingles: MinHash bands find candidates, the true Jaccard of the shingle sets decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, cut, small_batches
+
+SHINGLE = 5
+#: Texts whose sets share so many hundredths of their union are near copies.
+PERCENT = 80
+#: A pair of Jaccard j agrees in a band of ROWS minima with j ** ROWS; at 0.8 it misses all bands three times in a million.
+BANDS, ROWS = 32, 5
+#: A bucket of more sets is sliced, and each pair of slices is a bucket.
+HEAVY = 1000
+_RANDOM = np.random.default_rng(42).integers(0, 2**63, (3, BANDS * ROWS), dtype=np.uint64)
+_FLIP, _TIMES, _MIX = _RANDOM[0], _RANDOM[1] * np.uint64(2) + np.uint64(1), (_RANDOM[2] * np.uint64(2) + np.uint64(1)).reshape(BANDS, ROWS)
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted XXH64 of a text's distinct shingles. A text of fewer words is one shingle, no words are the empty one."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()  # ASCII only, as in simhash
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s) for s in shingles), dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of minima."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[k : k + 1024, None] ^ _FLIP) * _TIMES).min(axis=0), out=least)
+    keys = (least.reshape(BANDS, ROWS) ^ least.reshape(BANDS, ROWS) >> np.uint64(29)) * _MIX
+    return keys.sum(axis=1, dtype=np.uint64) ^ _FLIP[:BANDS]
+
+
+def _marks(text: pd.Series) -> pd.Series:
+    """A name of the set, then its band keys."""
+    import xxhash
+
+    sets = [shingle_set(t) for t in text]
+    return pd.Series([np.r_[np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())), band_keys(s)].view(np.int64) for s in sets])
+
+
+def _sets(text: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).view(np.int64) for t in text])
+
+
+def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the near copies among ``sets`` of distinct hashes."""
+    sizes = np.array([len(s) for s in sets])
+    rest, edges = np.arange(len(sets)), []
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            at = front.pop()
+            small, large = np.minimum(sizes[rest], sizes[at]), np.maximum(sizes[rest], sizes[at])
+            able = np.flatnonzero(100 * small >= percent * large)
+            if not len(able):
+                continue
+            some = rest[able]
+            own, all_ = sets[at], np.concatenate([sets[i] for i in some])
+            held = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
+            both = np.add.reduceat(held, np.r_[0, np.cumsum(sizes[some])[:-1]], dtype=np.int64)
+            near = 100 * both >= percent * (sizes[some] + sizes[at] - both)
+            edges += [(int(at), int(i)) for i in some[near]]
+            front += some[near].tolist()
+            rest = np.delete(rest, able[near])
+    return edges
+
+
+def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by key."""
+    rows = (r for b in batches for r in zip(b["_key"], b["_fp"], b["_set"], strict=True))
+    out: list[tuple[int, int]] = []
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        held = {fp: np.sort(np.asarray(s, dtype=np.int64).view(np.uint64)) for _, fp, s in group}
+        names = list(held)
+        out += [(names[i], names[j]) for i, j in forest(list(held.values()))]
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=["a", "b"])
+            out = []
+    yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def buckets(marked: DataFrame) -> DataFrame:
+    """(_key, _fp): buckets of at least two sets, from rows with ``_fp`` and ``_marks``. Buckets of the same sets are one."""
+    rows = marked.select(F.explode(F.slice("_marks", 2, BANDS)).alias("_key"), "_fp")
+    held = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_fp")).alias("_x"), F.min("_fp").alias("_lo"), F.max("_fp").alias("_hi")).where("_n > 1")
+    once = held.groupBy("_n", "_x", "_lo", "_hi").agg(F.min("_key").alias("_key")).select("_key", F.ceil(F.col("_n") / HEAVY).cast("int").alias("_slices"))
+    own = F.pmod(F.xxhash64("_fp"), F.col("_slices")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_slices") - 1), lambda k: F.xxhash64("_key", F.least(own, k), F.greatest(own, k)))
+    return rows.join(once, "_key").select(F.explode(pairs).alias("_key"), "_fp")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies: one with the group's smallest doc_id (a null doc_id only if it has no other).
+
+    Rows whose sets' Jaccard is ``PERCENT`` hundredths or more are linked, and groups are what links connect. Rows of one
+    set are grouped before anything is compared; texts are shingled again only where a bucket holds another set.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    named = docs.withColumns({"_name": F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), "_hash": F.xxhash64(text)})
+    marked = cut(named.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "_name", "_hash").alias("_row"), F.pandas_udf(_marks, "array<long>")(F.col(text)).alias("_marks")))
+    fps = cut(marked.groupBy(F.element_at("_marks", 1).alias("_fp")).agg(F.min("_row").alias("_row"), F.any_value("_marks").alias("_marks")))
+    met = cut(buckets(fps))
+    asked = met.select("_fp").distinct().join(fps, "_fp").select("_fp", "_row._name", "_row._hash")
+    texts = named.select("_name", "_hash", F.col(text).alias("_text")).join(asked, ["_name", "_hash"]).dropDuplicates(["_fp"])
+    sets = cut(texts.select("_fp", F.pandas_udf(_sets, "array<long>")(F.col("_text")).alias("_set")))
+    links = met.join(sets, "_fp").repartition("_key").sortWithinPartitions("_key").select("_key", "_fp", "_set").mapInPandas(_links, "a long, b long")
+    rooted = fps.join(components(links).withColumnRenamed("node", "_fp"), "_fp", "left").select("_row", F.coalesce("root", "_fp").alias("_root"))
+    best = rooted.groupBy("_root").agg(F.min("_row").alias("_row")).select("_row._name", "_row._hash")
+    return named.join(best, ["_name", "_hash"], "left_semi").dropDuplicates(["_name", "_hash"]).select(*docs.columns)
