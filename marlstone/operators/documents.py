@@ -33,19 +33,37 @@ def overlapping(docs: DataFrame, key: str, group: str, text: str, least: float =
     return full.withColumn("overlap", both / (F.size("_x") + F.size("_y") - both)).where(F.col("overlap") >= least).select(group, "a", "b", "overlap")
 
 
-def greedy_keep(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def copies(docs: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """(group, key, representative): each document whose token set another of its group with a smaller key has; the smallest key stands for all in ``overlapping``."""
+    sets = docs.select(key, group, F.array_sort(token_set(text)).alias("_t")).where(F.size("_t") > 0)
+    first = sets.groupBy(group, "_t").agg(F.min(key).alias("representative"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return sets.join(first, [group, "_t"]).where(F.col(key) != F.col("representative")).select(group, key, "representative")
+
+
+def keep_first(docs: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """(key): documents dropped because an earlier kept one of their group is near. A copy is near whatever its representative is near, so it's always dropped."""
+    near = greedy_keep(overlapping(docs, key, group, text)).select(F.col("node").alias(key))
+    return near.unionByName(copies(docs, key, group, text).select(key))
+
+
+def greedy_keep(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node): nodes of ``pairs`` (a before b) dropped because an earlier *kept* one is near.
 
     Each round settles the nodes whose earlier neighbours are all settled; chains settle one link a round.
     """
     links = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().checkpoint()
     state = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    before = None
+    while True:
         seen = links.join(state.select(F.col("node").alias("a"), F.col("kept").alias("_k")), "a").groupBy(F.col("b").alias("node")).agg(F.bool_or(F.coalesce("_k", F.lit(False))).alias("_near"), F.bool_or(F.col("_k").isNull()).alias("_open"))
         decided = F.when(F.col("_near"), False).when(F.coalesce("_open", F.lit(False)), None).otherwise(True)
         state = state.join(seen, "node", "left").select("node", F.coalesce("kept", decided).alias("kept")).checkpoint()
-        if not state.where("kept IS NULL").take(1):
+        left = state.where("kept IS NULL").count()
+        if not left:
             break
+        if left == before:
+            raise ValueError("pairs go round in a circle: a isn't before b in all of them")
+        before = left
     return state.where("NOT kept").select("node")
 
 

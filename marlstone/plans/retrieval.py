@@ -295,7 +295,16 @@ def keep_first_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.shared import checkpoints
 
     checkpoints(spark)
-    return D.greedy_keep(D.overlapping(table(spark, sf, "documents"), "doc_id", "source", "text")).select(F.col("node").alias("doc_id"))
+    return D.keep_first(table(spark, sf, "documents"), "doc_id", "source", "text")
+
+
+def jaccard_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that ``q_jaccard_near_dup`` folds into their representative."""
+    return D.copies(table(spark, sf, "documents"), "doc_id", "source", "text")
+
+
+JACCARD_COPIES = f"""SELECT source, doc_id, representative FROM (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, t) AS representative
+    FROM (SELECT source, doc_id, list_sort(list_distinct({_TOKENS})) AS t FROM documents) WHERE len(t) > 0 AND source IS NOT NULL) WHERE doc_id <> representative"""
 
 
 QUERIES = {
@@ -306,6 +315,7 @@ QUERIES = {
     "q_quality_filter": (quality_filter, QUALITY_FILTER),
     "q_tokenize_stats": (tokenize_stats, TOKENIZE_STATS),
     "q_jaccard_near_dup": (jaccard_near_dup, JACCARD_NEAR_DUP),
+    "q_jaccard_copies": (jaccard_copies, JACCARD_COPIES),
     "q_keep_first_near_dup": (keep_first_near_dup, None),
     "q_dense_topk": (dense_topk, DENSE_TOPK),
     "q_cosine_minscore": (cosine_minscore, COSINE_MINSCORE),
