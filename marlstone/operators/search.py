@@ -69,6 +69,12 @@ def top_k(rows: DataFrame, score: str, k: int, key: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
 
 
+def top_k_each(rows: DataFrame, query: str, score: str, k: int, key: str) -> DataFrame:
+    """The k best rows of each query ranked from 1; Spark cuts each task's rows to k a query before they move."""
+    best = Window.partitionBy(query).orderBy(F.desc(score), key)
+    return rows.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def field_search(docs: DataFrame, key: str, fields: dict[str, str | Column], terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
     """(key, score): each field's BM25 over its own best, weighted and scaled. Normalized before any filter."""
     weights = weights or WEIGHTS
@@ -92,9 +98,12 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def similar(vectors: DataFrame, query: DataFrame, vector: str = "embedding", cosine: bool = False) -> DataFrame:
-    """``vectors`` with ``score`` against the one row of ``query`` (column ``_query``): dot product, or cosine."""
-    rows = vectors.crossJoin(F.broadcast(query))
+def similar(vectors: DataFrame, query: DataFrame, vector: str = "embedding", cosine: bool = False, many: bool = False) -> DataFrame:
+    """``vectors`` with ``score`` against the one row of ``query`` (column ``_query``): dot product, or cosine.
+
+    ``many``: against each row of ``query``, whose other columns are kept; the rows are broadcast only if Spark finds them small, else blocks are paired.
+    """
+    rows = vectors.crossJoin(query if many else F.broadcast(query))
     score = dot(F.col(vector), F.col("_query"))
     return rows.withColumn("score", score / (norm(F.col(vector)) * norm(F.col("_query"))) if cosine else score).drop("_query")
 

@@ -1,5 +1,5 @@
 """All registered queries: name to (function of session and table folder, SQL or None)."""
 
-from . import commerce, evidence, ranking, records, retrieval, streams
+from . import commerce, evidence, ranking, records, retrieval, streams, vectors
 
-QUERIES = {**retrieval.QUERIES, **commerce.QUERIES, **evidence.QUERIES, **ranking.QUERIES, **records.QUERIES, **streams.QUERIES}
+QUERIES = {**retrieval.QUERIES, **commerce.QUERIES, **evidence.QUERIES, **ranking.QUERIES, **records.QUERIES, **streams.QUERIES, **vectors.QUERIES}
