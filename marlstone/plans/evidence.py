@@ -208,6 +208,18 @@ FUZZY_CORRECTIONS = """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lowe
     SELECT word, correction, CAST(distance AS BIGINT) AS distance FROM p WHERE distance <= 1 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, correction) = 1"""
 
 
+def fuzzy_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole words of conversations against those of the benchmark, within the operator's own distance."""
+    word = lambda t: table(spark, sf, t).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
+    found = fuzzy.corrections(word("conversations"), "w", word("benchmark"), "w")
+    return found.select("word", "correction", F.col("distance").cast("long").alias("distance"))
+
+
+FUZZY_WORDS = """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS known FROM benchmark), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM conversations),
+    p AS (SELECT word, known AS correction, levenshtein(word, known) AS distance FROM w JOIN v ON abs(length(word) - length(known)) <= 2 WHERE word NOT IN (SELECT known FROM v))
+    SELECT word, correction, CAST(distance AS BIGINT) AS distance FROM p WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, correction) = 1"""
+
+
 def line_islands(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of neighbouring order lines with one return flag."""
     rows = E.islands(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_returnflag"))
@@ -221,6 +233,6 @@ LINE_ISLANDS = """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppk
 
 _NAMES = (
     "question_kinds salient_terms entity_phrases normalized_text best_sentences verify_claims exact_gate prune_outliers merge_hits link_faults graph_expand price_check compare_sides restock_triggers nearest_color "
-    "spec_credit fuzzy_corrections line_islands"
+    "spec_credit fuzzy_corrections fuzzy_words line_islands"
 ).split()
 QUERIES = {f"q_{n}": (globals()[n], globals()[n.upper()]) for n in _NAMES}
