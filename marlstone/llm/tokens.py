@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
-#: Words whose ids a Python worker remembers; beyond that it forgets them all.
-REMEMBERED = 400_000
+#: Pieces whose ids a Python worker holds in each of two generations; the older is dropped when the newer is full.
+REMEMBERED = 600_000
 CHUNK = 200
-#: Words of these characters alone are lower-cased, composed and split alike by every Unicode version.
-PLAIN = r"[!-~À-ÖØ-öø-įı-ňŊ-ž]+"
+#: Texts of these characters alone are lower-cased, composed and split alike by every Unicode version.
+_LETTERS = "À-ÖØ-öø-įı-ňŊ-ž"
+PLAIN = rf"[\t\n\x0b\f\r -~{_LETTERS}]*"
+#: Among them, once lower-cased: the letters and the digits.
+_LOWER = {r"\p{L}": "a-zß-öø-ž", r"\p{N}": "0-9"}
+#: Marks a word, among pieces, that goes through the tokenizer whole. No plain text holds it.
+_WHOLE = "\0"
 
 
 def default_tokenizer() -> str:
@@ -22,14 +28,12 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts, without special tokens, as little-endian unsigned 32-bit bytes.
 
-    A tokenizer that drops white space and marks the ends of words encodes what spaces and line feeds part each by
-    itself, so a word is encoded once and then looked up; its pieces, which many words share, are encoded in chunks and
-    told apart by their end marks. Words of unusual characters, and all texts of other tokenizers, go through the
-    tokenizer whole.
+    A tokenizer that drops white space and marks the ends of words encodes each piece that its pattern finds by itself,
+    so a piece is encoded once and then looked up. New pieces are encoded in chunks and told apart by their end marks.
+    Words of unusual characters, and all texts of other tokenizers, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,64 +41,76 @@ class Encoder:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = bool(suffix) and split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert"))
-        if self.by_word:
-            self.pattern, self.plain = regex.compile(split["pattern"]["Regex"]), regex.compile(PLAIN)
+        self.by_piece = bool(suffix) and split.get("type") == "Split" and split.get("behavior") == "Removed" and bool(split.get("invert"))
+        if self.by_piece:
+            self.find, self.plain = _finder(split["pattern"]["Regex"]), re.compile(PLAIN).fullmatch
             self.special = [t["content"] for t in spec["added_tokens"]]
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
             self.pieces_only = Tokenizer.from_file(path)
             self.pieces_only.normalizer = None
             self.pieces_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self._forget()
-
-    def _forget(self) -> None:
-        self.ids: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+            self.ids: dict[str, bytes] = {}
+            self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        plain, odd = {}, []
-        for w in words:
-            stem = w[:-1]
-            if w.isalpha() and (w.isascii() or self.plain.fullmatch(w)):  # letters alone, or before one mark: as the pattern splits
-                plain[w] = (w.lower(),)
-            elif w[-1] in ".,!?" and stem.isalpha() and (stem.isascii() or self.plain.fullmatch(stem)):
-                plain[w] = (stem.lower(), w[-1])
-            elif self.plain.fullmatch(w) and not ("<|" in w and any(s in w for s in self.special)):
-                plain[w] = self.pattern.findall(w.lower())
+    def _pieces(self, text: str) -> list[str]:
+        """What the text's ids are joined from."""
+        if self.plain(text) and not ("<|" in text and any(s in text for s in self.special)):
+            return self.find(text.lower())
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            if self.plain(word) and not any(s in word for s in self.special):
+                out += self.find(word.lower())
             else:
-                odd.append(w)
-        self.ids.update(zip(odd, self._whole(odd), strict=True))
-        new = list(set().union(*plain.values()).difference(self.pieces)) if plain else []
+                out.append(_WHOLE + word)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [p for p in new if p[0] == _WHOLE]
+        self.ids.update(zip(odd, self._whole([p[1:] for p in odd]), strict=True))
+        if odd:
+            new = [p for p in new if p[0] != _WHOLE]
         for k in range(0, len(new), CHUNK):
             chunk = new[k : k + CHUNK]
             ids = np.array(self.pieces_only.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) != len(chunk):
-                self.pieces.update(zip(chunk, self._whole(chunk), strict=True))
+                self.ids.update(zip(chunk, self._whole(chunk), strict=True))
                 continue
-            raw, start = ids.tobytes(), 0
-            for piece, stop in zip(chunk, stops.tolist(), strict=True):
-                self.pieces[piece] = raw[start:stop]
-                start = stop
-        get = self.pieces.__getitem__
-        for w, parts in plain.items():
-            self.ids[w] = b"".join(map(get, parts))
+            stops = stops.tolist()
+            self.ids.update(zip(chunk, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops)), strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_word:
+        if not self.by_piece:
             return self._whole([t or "" for t in texts])
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        found = [self._pieces(t or "") for t in texts]
         if len(self.ids) > REMEMBERED:
-            self._forget()
-        new = set().union(*words).difference(self.ids) if words else set()
+            self.ids, self.older = {}, self.ids
+        new = set().union(*found).difference(self.ids)
+        if new and self.older:
+            known = new.intersection(self.older)
+            self.ids.update((p, self.older[p]) for p in known)
+            new -= known
         if new:
             self._learn(list(new))
         get = self.ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [b"".join(map(get, p)) for p in found]
+
+
+def _finder(pattern: str):
+    """All matches of a tokenizer's pattern in a plain, lower-cased text: by the standard library where its classes can be spelt out."""
+    import regex
+
+    spelt = pattern
+    for name, chars in _LOWER.items():
+        spelt = spelt.replace(name, chars)
+    try:
+        return re.compile(spelt).findall if spelt.isprintable() and "\\p" not in spelt else regex.compile(pattern).findall
+    except re.error:
+        return regex.compile(pattern).findall
 
 
 _ENCODERS: dict[str, Encoder] = {}
