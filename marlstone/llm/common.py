@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where the session has none."""
+    """The folder all executors see: ``spark.checkpoint.dir``. A local session that has none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
@@ -37,9 +41,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for new columns that ``df`` doesn't have, whatever the case: underscores and the wanted name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def slices(batch: pd.DataFrame, text: str = "text", chars: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """``batch`` in pieces of about so many characters: Spark bounds the bytes of a batch, this what is made of them."""
+    ends = batch[text].str.len().fillna(0).cumsum() // chars
+    for _, piece in batch.groupby(ends.to_numpy(), sort=False):
+        yield piece
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Batches sorted by ``key``, cut so that every key is whole: the last one of a batch waits for the next."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[key].to_numpy()
+        ends = np.flatnonzero(k != k[-1])
+        last = int(ends[-1]) + 1 if len(ends) else 0
+        if held and (last or held[-1][key].iloc[-1] != k[-1]):
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        elif last:
+            yield batch.iloc[:last]
+        held.append(batch.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def global_order(df: DataFrame, order: list[Column | str]) -> DataFrame:
@@ -64,6 +100,20 @@ def dense_rank(ordered: DataFrame, group: list[str], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("_before") + F.col("_mid") - F.col("_first")).drop("_task", "_first", "_before", "_mid")
 
 
+def join_weighted(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key and, in ``weight``, the number of rows that ``left`` has of it.
+
+    Keys that hold over a thousandth of ``left`` are at most a thousand: their rows of ``right`` are broadcast, so that
+    none of them gathers in one task. The others are joined by shuffling.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) > max(total / 1000, 10_000))
+    if not hot.take(1):
+        return left.join(right, on)
+    met = left.join(F.broadcast(hot), on)
+    return met.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right, on))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of undirected ``edges``: root is the smallest node that can be reached.
 

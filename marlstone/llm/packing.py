@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, slices
 from .tokens import default_tokenizer, encoder
 
 LENGTH = 2048
@@ -26,7 +26,7 @@ def _pieces(path: str, length: int, end: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             rows = []
             for doc_id, ids in zip(batch["doc_id"].tolist(), enc.encode(batch["text"].tolist()), strict=True):
                 ids += last
@@ -41,7 +41,6 @@ def _pieces(path: str, length: int, end: int):
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut at ``length`` where longer."""
-    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_pieces(path, length, end), _PIECE)
 

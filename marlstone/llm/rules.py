@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fresh_names
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted", "n_marks")
 #: Rule: what fails it, over the measurements. Its bit is its place. Never reorder: append, so that old ledgers stay readable.
@@ -76,7 +76,6 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     Null text counts as empty (it fails few_words). Repeated rows are judged alike; an empty table stays empty; columns
     of ``docs`` are kept whatever their names, as everything new is inside ``_ledger``.
     """
-    small_batches(docs.sparkSession)
     measured = docs.withColumn("_ledger", F.pandas_udf(_measures, ", ".join(f"{m} long" for m in MEASURES))(F.col(text)))
     failed = F.lit(0)
     for name, rule in RULES.items():

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, join_weighted, whole_groups
 
 BITS = 64
 SEED = 42
@@ -46,26 +46,31 @@ def _fingerprints(text: pd.Series) -> pd.Series:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed long (null text: no words, so 0)."""
-    small_batches(docs.sparkSession)
     return docs.withColumn(out, F.pandas_udf(_fingerprints, "long")(F.col(text)))
 
 
-def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
-    """The 64 bits in ``m`` partitions of nearly equal size; bits that go together in the sample share a partition."""
-    bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(float)
-    bits -= bits.mean(axis=0) if len(bits) else 0
-    norm = np.sqrt((bits**2).sum(axis=0))
-    corr = np.abs(bits.T @ bits) / np.maximum(np.outer(norm, norm), 1e-9)
+def bits_of(sample: np.ndarray) -> np.ndarray:
+    return (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+
+
+def bit_groups(bits: np.ndarray, m: int) -> list[list[int]]:
+    """The columns of ``bits`` in ``m`` partitions of nearly equal size; bits that go together in these rows share a partition."""
+    width = bits.shape[1]
+    x = bits.astype(np.float32)
+    x -= x.mean(axis=0) if len(x) else 0
+    norm = np.sqrt((x**2).sum(axis=0))
+    corr = np.abs(x.T @ x) / np.maximum(np.outer(norm, norm), 1e-9)
     np.fill_diagonal(corr, 0)
-    free, groups = set(range(BITS)), []
+    free, ties, groups = np.ones(width, dtype=bool), corr.sum(axis=0), []
     for i in range(m):
-        want = BITS // m + (i < BITS % m)
-        group = [max(sorted(free), key=lambda b: corr[b, sorted(free)].sum())]
-        free.discard(group[0])
-        while len(group) < want:
-            nxt = max(sorted(free), key=lambda b: corr[b, group].mean())
+        group: list[int] = []
+        near = ties.copy()
+        while len(group) < width // m + (i < width % m):
+            nxt = int(np.argmax(np.where(free, near, -1.0)))
+            near = corr[nxt] if not group else near + corr[nxt]
             group.append(nxt)
-            free.discard(nxt)
+            free[nxt] = False
+            ties -= corr[nxt]
         groups.append(sorted(group))
     return groups
 
@@ -109,7 +114,7 @@ def plan_partitions(sample: np.ndarray, n: int, within: int) -> list[tuple[list[
     """The cheapest of 2 to ``within`` + 1 partitions with their thresholds."""
     plans = []
     for m in range(2, within + 2):
-        groups = bit_groups(sample, m)
+        groups = bit_groups(bits_of(sample), m)
         plans.append((*thresholds(sample, groups, n, within), groups))
     _, chosen, groups = min(plans, key=lambda p: p[0])
     return [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]
@@ -135,7 +140,7 @@ def _walk(values: np.ndarray, within: int) -> tuple[list[int], list[int]]:
 
 def _links(within: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Batches sorted by key; the last key of a batch waits for the next one."""
+        """Whole buckets to links."""
 
         def solve(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -155,23 +160,8 @@ def _links(within: int):
             none = [np.empty(0, dtype=np.uint64)]
             return pd.DataFrame({"a": np.concatenate(left or none).view(np.int64), "b": np.concatenate(right or none).view(np.int64)})
 
-        kept_k, kept_f = [], []
-        for batch in batches:
-            keys, fps = batch["_key"].to_numpy(), batch["_fp"].to_numpy().view(np.uint64)
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys != keys[-1], False)) if keys[0] == keys[-1] else int(np.flatnonzero(keys != keys[-1])[-1]) + 1
-            if kept_k and (last or kept_k[-1][-1] != keys[-1]):
-                k = np.concatenate([*kept_k, keys[:last]])
-                f = np.concatenate([*kept_f, fps[:last]])
-                kept_k, kept_f = [], []
-                yield solve(k, f)
-            elif last:
-                yield solve(keys[:last], fps[:last])
-            kept_k.append(keys[last:])
-            kept_f.append(fps[last:])
-        if kept_k:
-            yield solve(np.concatenate(kept_k), np.concatenate(kept_f))
+        for rows in whole_groups(batches, "_key"):
+            yield solve(rows["_key"].to_numpy(), rows["_fp"].to_numpy().view(np.uint64))
 
     return run
 
@@ -193,11 +183,9 @@ def _signatures(parts: list[tuple[list[int], int]]):
 
 def links(fps: DataFrame, within: int = 3) -> DataFrame:
     """(a, b): pairs of distinct fingerprints of column ``_fp`` that differ in at most ``within`` bits, enough to connect all that are linked."""
-    spark = fps.sparkSession
     n = fps.count()
     sample = np.array([r[0] for r in fps.select("_fp").orderBy(F.xxhash64(F.lit(7), "_fp"), "_fp").limit(ESTIMATE_ROWS).collect()], dtype=np.int64).view(np.uint64)
     parts = plan_partitions(sample, n, within)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     rows = cut(fps.select("_fp").mapInPandas(_signatures(parts), "_part int, _bits long, _fp long")) if max(t for _, t in parts) > 0 else fps.select("_fp").mapInPandas(_signatures(parts), "_part int, _bits long, _fp long")
     heavy = rows.groupBy("_part", "_bits").count().where(F.col("count") > HEAVY).select("_part", "_bits", F.lit(True).alias("_heavy"))
     marked = rows.join(heavy, ["_part", "_bits"], "left")
@@ -217,29 +205,20 @@ def _slice_key(parts, s: int, within: int):
     return key
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", within: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, columns of ``carry``, _fp, _root, component_id) for every row of ``docs``; rows whose fingerprints differ in at most ``within`` bits are linked.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", within: int = 3) -> DataFrame:
+    """(doc_id, _fp, _root, component_id) for every row of ``docs``; rows whose fingerprints differ in at most ``within`` bits are linked.
 
     component_id is the smallest doc_id that can be reached, the row's own included; null if all of those are null.
     Null and empty texts have fingerprint 0 and are linked like others; repeated rows are kept; an empty table gives none.
     Rows of one fingerprint are grouped before anything is compared, so copies never become pairs.
     """
-    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *carry), "_text").select("doc_id", *carry, "_fp"))
-    fps = cut(marked.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
+    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text").select("doc_id", "_fp"))
+    fps = cut(marked.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")))
     roots = components(links(fps, within))
-    rooted = fps.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    rooted = cut(rooted)
-    ids = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return marked.join(rooted.select("_fp", "_root").join(ids, "_root"), "_fp").select("doc_id", *carry, "_fp", "_root", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, within: int = 3) -> DataFrame:
-    """One row of each group of near-duplicates: one with the group's smallest doc_id (a null doc_id only if it has no other)."""
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    marked = docs.withColumns({"_name": named, "_hash": F.xxhash64("text")})  # equal texts are in one group, so a hash stands for the fingerprint
-    best = near_duplicates(marked, within=within, carry=("_name", "_hash")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = best.select("_name", "_hash", "_root").dropDuplicates(["_root"]).select("_name", "_hash")
-    return marked.join(best, ["_name", "_hash"], "left_semi").dropDuplicates(["_name", "_hash"]).select(*docs.columns)
+    rooted = cut(fps.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").select("_fp", "_least", "_n", F.coalesce("root", "_fp").alias("_root")))
+    ids = cut(rooted.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_many")))
+    rooted = cut(join_weighted(rooted.select("_fp", "_root", "_n"), ids, ["_root"], "_many").select("_fp", "_root", "_n", "component_id"))
+    return join_weighted(marked, rooted, ["_fp"], "_n").select("doc_id", "_fp", "_root", "component_id")
 
 
 def hex_fingerprint(fp: str = "_fp"):

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, small_batches
+from .common import partitions, shared_dir, slices
 from .tokens import default_tokenizer, encoder
 
 MAGIC = b"MSSTABL1"
@@ -195,7 +195,7 @@ def _write(path: str, uri: str, end: int):
             store.move(part, name)
             return pd.DataFrame([(task, seq, len(writer.keys), writer.ids)], columns=["task", "seq", "documents", "ids"])
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             for doc_id, ids in zip(batch["doc_id"].tolist(), enc.encode(batch["text"].tolist()), strict=True):
                 writer.add(doc_id, ids + last)
                 if len(writer.file) >= SHARD:
@@ -214,7 +214,6 @@ def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end: int = EN
     repeated doc_ids stand in the order of a hash of their text. An empty table writes no shard.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     placed = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
@@ -243,7 +242,6 @@ def _rows(task: int, seq: int, rows: list) -> pd.DataFrame:
 
 def read_digest(spark: SparkSession, uri: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the shards; start counts the ids of all documents before."""
-    small_batches(spark, 4)  # of whole shards
     if not manifest.take(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(uri).select("path", "content")

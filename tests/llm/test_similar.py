@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as pipe
-from marlstone.llm import near_copies
+from marlstone.llm import similar
 
 
 def shingles(text):
@@ -40,10 +40,12 @@ def kept_brute(rows):
     return sorted(out.values()), pairs
 
 
-@pytest.mark.parametrize("heavy", [1000, 7])
+@pytest.mark.parametrize("heavy", [0, 7])
 def test_planted_copies(spark, monkeypatch, heavy):
     """Copies edited so that their Jaccard lies at 0.6 to 1.0, copies of copies, one large group, and exact copies."""
-    monkeypatch.setattr(near_copies, "HEAVY", heavy)
+    if heavy:
+        for name in ("BUCKET", "GROUP", "HOT"):
+            monkeypatch.setattr(similar, name, heavy)
     random.seed(5)
     new = lambda: f"w{random.randrange(10**6)}"
     rows = []
