@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, pi
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, join_weighted, whole_groups
+from .sketches import close_links, connected
 
 COSINE = 0.93
 #: Hash tables; polytope hashes joined into a bucket; further buckets in which a vector is also put, next best first.
 TABLES, JOINED, PROBES, SEED = 6, 2, 2, 20240229
-#: A bucket of more vectors is compared in pairs of slices of about that size, each pair a key of its own.
+#: Bits of the sign sketch that travels with a bucket's members, and standard deviations from the limit at which a pair falls.
+SKETCH, DEVIATIONS = 192, 4.5
+#: A bucket or group of more vectors is compared in pairs of slices of about that size, each pair a key of its own.
 SLICE = 2048
-#: Buckets of up to so many vectors are compared by shifts of the whole batch, larger ones as matrices.
-SMALL = 24
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -31,6 +33,18 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """The signs of ``SKETCH`` fixed random projections, as words of 64 bits: they differ in the angle's share of pi."""
+    planes = np.random.default_rng([SEED, 1, x.shape[1]]).normal(size=(x.shape[1], SKETCH))
+    return np.packbits(units(x) @ planes > 0, axis=1, bitorder="little").view(np.int64)
+
+
 def buckets(x: np.ndarray, tables: int = TABLES, joined: int = JOINED, probes: int = PROBES) -> np.ndarray:
     """For each row of ``x`` (any length but zero) tables x (1 + probes) bucket codes.
 
@@ -39,7 +53,7 @@ def buckets(x: np.ndarray, tables: int = TABLES, joined: int = JOINED, probes: i
     """
     width = 1 << max(1, int(np.ceil(np.log2(x.shape[1]))))
     unit = np.zeros((len(x), width))
-    unit[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit[:, : x.shape[1]] = units(x)
     rng = np.random.default_rng([SEED, x.shape[1]])
     rows, out = np.arange(len(x)), np.empty((len(x), tables, 1 + probes), dtype=np.int64)
     for t in range(tables):
@@ -68,141 +82,106 @@ def buckets(x: np.ndarray, tables: int = TABLES, joined: int = JOINED, probes: i
     return out.reshape(len(x), -1)
 
 
-def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for _, part in batch.groupby(batch["embedding"].map(len), sort=True):
-            yield part.assign(_codes=list(buckets(np.stack(part["embedding"].to_numpy()).astype(np.float64))))
+def _vectors(values: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each length."""
+    for _, part in values.groupby(values.map(len), sort=True):
+        for k in range(0, len(part), 4096):
+            yield part.index[k : k + 4096].to_numpy(), np.stack(part.iloc[k : k + 4096].to_numpy()).astype(np.float64)
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row of code arrays, the first code of ``a`` that ``b`` has too."""
-    out = np.zeros(len(a), dtype=np.int64)
-    free = np.ones(len(a), dtype=bool)
-    for k in range(a.shape[1]):
-        hit = free & (b == a[:, k : k + 1]).any(axis=1)
-        out[hit] = a[hit, k]
-        free &= ~hit
-    return out
+_WORDS = [f"_c{k}" for k in range(SKETCH // 64)]
 
 
-def _pairs(rows: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row with the sketch for each different bucket of each vector."""
+    for batch in batches:
+        batch = batch.reset_index(drop=True)
+        for at, x in _vectors(batch["embedding"]):
+            code, sketch = np.sort(buckets(x), axis=1), sketches(x)
+            new = np.c_[np.ones(len(code), dtype=bool), code[:, 1:] != code[:, :-1]]
+            row, _ = np.nonzero(new)
+            yield pd.DataFrame({"_space": batch["_space"].to_numpy()[at][row], "_code": code[new], "_fp": batch["_rep"].to_numpy()[at][row], **dict(zip(_WORDS, sketch[row].T, strict=True))})
+
+
+def _pairs(x: np.ndarray, cross: bool, part: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of one key whose cosine reaches ``cosine``; of a key of two slices only pairs across them."""
-    x, key = rows["x"], rows["key"]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    size = np.repeat(sizes, sizes)
-    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    for d in range(1, min(SMALL, int(sizes.max()))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= SMALL))
-        i = i[np.einsum("ij,ij->i", x[i], x[i + d]) >= cosine]
-        left.append(i)
-        right.append(i + d)
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        own = x[s : s + n]
-        for k in range(0, n, 512):
-            i, j = np.nonzero(np.triu(own[k : k + 512] @ own.T >= cosine, k + 1))
-            left.append(i + k + s)
-            right.append(j + s)
-    i, j = np.concatenate(left), np.concatenate(right)
-    keep = ~rows["cross"][i] | (rows["part"][i] != rows["part"][j])
-    return i[keep], j[keep]
+    left, right = [], []
+    for k in range(0, len(x), 512):
+        near = x[k : k + 512] @ x[k:].T >= cosine
+        if cross:
+            near &= part[k : k + 512, None] != part[None, k:]
+        i, j = np.nonzero(np.triu(near, 1))
+        left.append(i + k)
+        right.append(j + k)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _verify(cosine: float):
-    def solve(rows: dict[str, np.ndarray]) -> pd.DataFrame:
-        """For the rows of whole keys: (a, b) for edges that connect what is linked, and (a, null, n) for the links first met here."""
-        i, j = _pairs(rows, cosine)
-        fresh = np.zeros(len(i), dtype=bool)
-        for s in range(0, len(i), 20_000):  # each pair counts in the first bucket that it shares, by its smaller number's order
-            a, b = i[s : s + 20_000], j[s : s + 20_000]
-            swap = rows["rep"][a] > rows["rep"][b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            fresh[s : s + 20_000] = _first_shared(rows["codes"][a], rows["codes"][b]) == rows["code"][a]
-        i, j = i[fresh], j[fresh]
-        links = np.bincount(i, rows["many"][j], len(rows["rep"])) + np.bincount(j, rows["many"][i], len(rows["rep"]))
-        root = list(range(len(rows["rep"])))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        edges = []
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            p2, q2 = find(p), find(q)
-            if p2 != q2:
-                root[q2] = p2
-                edges.append((p, q))
-        ends = np.array(edges, dtype=np.int64).reshape(-1, 2)
-        some = np.flatnonzero(links)
-        b = pd.array(rows["rep"][ends[:, 1]], dtype="Int64")
-        return pd.DataFrame({"a": np.r_[rows["rep"][ends[:, 0]], rows["rep"][some]], "b": pd.concat([pd.Series(b), pd.Series(pd.array([None] * len(some), dtype="Int64"))], ignore_index=True), "n": np.r_[np.zeros(len(ends)), links[some]].astype(np.int64)})
-
-    def arrays(batch: pd.DataFrame) -> dict[str, np.ndarray]:
-        x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return {"x": x, "codes": np.stack(batch["_codes"].to_numpy()), **{c: batch[f"_{c}"].to_numpy() for c in ("key", "code", "rep", "many", "part", "cross")}}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Batches sorted by vector length and key; the last key of a batch waits for the next one."""
-        held: list[dict[str, np.ndarray]] = []
-
-        def close() -> pd.DataFrame:
-            rows = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-            held.clear()
-            return solve(rows)
-
-        for batch in batches:
-            for _, part in batch.groupby(batch["embedding"].map(len), sort=True):
-                rows = arrays(part)
-                key = rows["key"]
-                if held and held[-1]["key"][-1] != key[0]:
-                    yield close()
-                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-                if last:
-                    held.append({c: v[:last] for c, v in rows.items()})
-                    yield close()
-                held.append({c: v[last:] for c, v in rows.items()})
-        if held:
-            yield close()
+        """Whole keys to (a, b) for edges that connect what is linked, and (a, null, n) for numbers of links."""
+        for rows in whole_groups(batches, "_key"):
+            a, b, n = [], [], []
+            for _, group in rows.groupby("_key", sort=False):
+                rep, many = group["_rep"].to_numpy(), group["_many"].to_numpy()
+                x = units(np.stack(group["embedding"].to_numpy()).astype(np.float64))
+                i, j = _pairs(x, bool(group["_cross"].iloc[0]), group["_part"].to_numpy(), cosine)
+                links = np.bincount(i, many[j], len(rep)) + np.bincount(j, many[i], len(rep))
+                root = connected(i, j, len(rep))
+                moved, some = np.flatnonzero(root != np.arange(len(rep))), np.flatnonzero(links)
+                a += [rep[root[moved]], rep[some]]
+                b += [rep[moved], np.full(len(some), -1)]
+                n += [np.zeros(len(moved), dtype=np.int64), links[some].astype(np.int64)]
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(n)})
 
     return run
 
 
+def _sliced(df: DataFrame, key: str, member: str, count: str) -> DataFrame:
+    """``df`` with _key, _part and _cross: keys of up to SLICE rows as they are, larger ones as each pair of slices."""
+    parts = F.ceil(F.col(count) / SLICE).cast("int")
+    own = F.pmod(F.xxhash64(member), parts).cast("int")
+    dealt = df.withColumn("_part", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pair = F.xxhash64(key, F.least("_part", "_other"), F.greatest("_part", "_other"))
+    return dealt.withColumn("_key", F.when(F.col(count) <= SLICE, F.col(key)).otherwise(pair)).withColumn("_cross", F.col("_part") != F.col("_other"))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: rows of one label are linked at cosine ``cosine`` or more.
 
-    Only rows that share a bucket are compared, then exactly, in double precision, so no link is false; the tables and
-    probes decide how many true ones are found (measured in the tests and the README). Null labels and vectors that are
-    null, empty, zero or hold null or non-finite numbers link with nothing and keep their own vec_id; vectors of
-    different lengths never link. Equal vectors are one point with a number, so copies are never compared. Repeated
-    vec_ids count as different rows.
+    Rows that share a bucket and whose sketches are near are candidates. Only numbers and sketches travel to the buckets;
+    each vector travels once, to the group that its candidates connect, where all pairs are compared exactly, in double
+    precision. So no link is false; the tables, probes and sketches decide how many true ones are found (measured in the
+    tests and the README). Null labels and vectors that are null, empty, zero or hold null or non-finite numbers link with
+    nothing and keep their own vec_id; vectors of different lengths never link. Equal vectors are one point with a
+    number, so copies are never compared. Repeated vec_ids count as different rows. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     nonzero = F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     able = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & nonzero, F.lit(False))
-    points = rows.where(able).groupBy("label", "embedding").agg(F.count("*").alias("_many"), F.min("vec_id").alias("_least"))
+    # Equal vectors of a label have equal hashes, of 96 bits.
+    named = vectors.select("vec_id", "embedding", able.alias("_able"), F.xxhash64("label", "embedding").alias("_h"), F.hash("embedding", "label").alias("_g"), F.xxhash64("label", F.size("embedding")).alias("_space"))
+    points = named.where("_able").groupBy("_h", "_g").agg(F.count("*").alias("_many"), F.min("vec_id").alias("_least"), F.any_value("_space").alias("_space"), F.any_value("embedding").alias("embedding"))
     points = cut(points.withColumn("_rep", F.monotonically_increasing_id()))
-    coded = points.mapInPandas(_codes, "label " + dict(points.dtypes)["label"] + ", embedding array<double>, _many long, _least long, _rep long, _codes array<long>")
-    slots = coded.withColumn("_code", F.explode(F.array_distinct("_codes"))).withColumn("_bucket", F.xxhash64("label", F.size("embedding"), "_code"))
-    sizes = coded.select("label", F.size("embedding").alias("_n"), F.explode(F.array_distinct("_codes")).alias("_code")).select(F.xxhash64("label", "_n", "_code").alias("_bucket")).groupBy("_bucket").count()
-    # Buckets of one vector have no pair: they needn't carry it anywhere.
-    slots = slots.join(sizes.where("count > 1"), "_bucket")
-    parts = F.ceil(F.col("count") / SLICE).cast("int")
-    slots = slots.withColumn("_part", F.pmod(F.xxhash64("_rep"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    slots = slots.withColumn("_key", F.when(F.col("count") <= SLICE, F.col("_bucket")).otherwise(F.xxhash64("_bucket", F.least("_part", "_other"), F.greatest("_part", "_other"))))
-    slots = slots.select("_key", "_code", "_rep", "_many", "_part", (F.col("_part") != F.col("_other")).alias("_cross"), "_codes", F.col("embedding").cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else "embedding")
-    met = cut(slots.repartition("_key").sortWithinPartitions(F.size("embedding"), "_key").mapInPandas(_verify(cosine), "a long, b long, n long"))
-    links = met.where("b IS NULL").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_links"))
-    roots = components(met.where("b IS NOT NULL").select("a", "b"))
-    placed = points.select("_rep", "_least", "_many", "label", "embedding").join(links, "_rep", "left").join(roots.withColumnRenamed("node", "_rep"), "_rep", "left")
-    placed = cut(placed.select("label", "embedding", "_least", (F.coalesce("_links", F.lit(0)) + F.col("_many") - 1).alias("_links"), F.coalesce("root", "_rep").alias("_root")))
-    least = placed.groupBy("_root").agg(F.min("_least").alias("_component"))
-    final = placed.join(least, "_root").select("label", "embedding", "_links", "_component")
-    found = rows.where(able).join(final, ["label", "embedding"]).select("vec_id", F.col("_links").alias("n_links"), F.col("_component").alias("component_id"))
-    rest = rows.where(~able).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    slot = "_space long, _code long, _fp long, " + ", ".join(f"{c} long" for c in _WORDS)
+    slots = points.select("_space", "_rep", "embedding").mapInPandas(_slots, slot)
+    slots = cut(slots.select(F.xxhash64("_space", "_code").alias("_bucket"), "_fp", *_WORDS))
+    heavy = cut(slots.groupBy("_bucket").count().where(F.col("count") > SLICE))
+    few = heavy.count() < 500_000  # rows of 16 bytes
+    dealt = slots.join(F.broadcast(heavy) if few else heavy, "_bucket", "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    dealt = _sliced(dealt, "_bucket", "_fp", "count").select("_key", "_fp", *_WORDS)
+    angle = acos(cosine) / pi
+    most = min(SKETCH, ceil(SKETCH * angle + DEVIATIONS * (SKETCH * angle * (1 - angle)) ** 0.5))
+    met = dealt.repartition("_key").sortWithinPartitions("_key").mapInPandas(close_links(most, SKETCH), "a long, b long")
+    groups = components(met).withColumnsRenamed({"node": "_rep", "root": "_root"})
+    groups = groups.join(groups.groupBy("_root").agg(F.count("*").alias("_n")), "_root")
+    placed = _sliced(points.select("_rep", "_many", "embedding").join(groups, "_rep"), "_root", "_rep", "_n").select("_key", "_rep", "_many", "_part", "_cross", "embedding")
+    met = cut(placed.repartition("_key").sortWithinPartitions("_key").mapInPandas(_verify(cosine), "a long, b long, n long"))
+    links = met.where("b < 0").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_links"))
+    roots = components(met.where("b >= 0").select("a", "b")).withColumnRenamed("node", "_rep")
+    final = points.select("_rep", "_h", "_g", "_least", "_many").join(links, "_rep", "left").join(roots, "_rep", "left")
+    final = cut(final.select("_h", "_g", "_least", "_many", (F.coalesce("_links", F.lit(0)) + F.col("_many") - 1).alias("n_links"), F.coalesce("root", "_rep").alias("_root")))
+    least = cut(final.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_of")))
+    final = cut(join_weighted(final, least, ["_root"], "_of").select("_h", "_g", "_many", "n_links", "component_id"))
+    found = join_weighted(named.where("_able").select("vec_id", "_h", "_g"), final, ["_h", "_g"], "_many").select("vec_id", "n_links", "component_id")
+    rest = named.where("NOT _able").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
