@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import cross_polytope, kd_shards, page_diff, quality_model, queries, sstable
 from marlstone.llm.gbt import fit
@@ -91,6 +92,64 @@ def test_longest_common_subsequence():
         assert all(a[k] in it for k in got)
 
 
+def test_longest_common_subsequence_halved(monkeypatch):
+    """Lists too long for one table are halved, and many equal lines cost no more than others."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, 300).tolist(), rng.integers(0, 9, 260).tolist()
+    whole = len(page_diff.common(a, b))
+    monkeypatch.setattr(page_diff, "TABLE_BITS", 500)
+    got = page_diff.common(a, b)
+    it = iter(b)
+    assert len(got) == whole and all(a[k] in it for k in got)
+    monkeypatch.undo()
+    assert page_diff.common([1] * 3000 + [2], [3] + [1] * 3000) == list(range(3000))
+
+
+def test_differencing_decides(spark):
+    """Random sites against a plain reading of the rule, in which alignment is a table of lengths; without differencing, all comes back."""
+    import random
+
+    def lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    random.seed(4)
+    pages = []
+    for host in range(12):
+        template = [f"menu {host} {k}" for k in range(random.choice([0, 2, 30]))] + ["--", f"foot {host}"]
+        for k in range(random.randint(1, 9)):
+            own = [f"story {host} {k} {x}" for x in range(random.randint(0, 3))]
+            pages.append((f"http://h{host}/p/{k:02d}", template[:-2] + own + template[-2:]))
+            if random.random() < 0.3:
+                pages.append((f"http://h{host}/p/{k:02d}/print", pages[-1][1]))  # the same page under another address
+            if random.random() < 0.3:
+                pages.append((f"http://h{host}/q/{k:02d}", [*pages[-1][1], f"copied on {k}"]))
+    want = {}
+    for url, mine in pages:
+        host, first = url.split("/")[2], {}
+        for u, x in sorted(pages):
+            if u.split("/")[2] == host:
+                first.setdefault(tuple(x), u)
+        order = sorted(first, key=lambda x: first[x])
+        i = order.index(tuple(mine))
+        votes, voters = Counter(), 0
+        for x in [order[j] for j in range(i - 2, i + 3) if j != i and 0 <= j < len(order)]:
+            if lcs(mine, x) < len(mine):
+                voters += 1
+                same, kinds = lcs(mine, x), Counter(x)
+                assert same == sum(t in kinds for t in mine)  # here no line is out of order, so shared lines are the alignment
+                votes.update(t for t in mine if t in kinds)
+        want[url] = [t for t in mine if not voters or votes[t] < min(2, voters)]
+    rows = [(i, u, "".join(f"<p>{t}</p>" for t in x)) for i, (u, x) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_sig", F.lit(1))
+    assert {r["url"]: r["text"].split("\n\n") if r["text"] else [] for r in page_diff.extract(df).collect()} == want
+    plain = {r["url"]: r["text"] for r in page_diff.extract(df, differencing=False).collect()}
+    assert plain == {u: "\n\n".join(x) for u, x in pages} and sum(len(x) > len(want[u]) for u, x in pages) > 30
+
+
 def test_nearest_pages_across_blocks(spark):
     """Every second line of a site is common; a site that spans blocks loses it on all pages."""
     pages = [(i, f"http://big.x/{i:05d}", f"<div>Site notice line</div><div>own {i}</div>") for i in range(300)]
