@@ -312,8 +312,8 @@ def links(fps: DataFrame, texts, n: int, groups_width: tuple[int, int], size: in
     width, parts = groups_width
     checks = CHECK // 64
     got = fps.select("_fp", "_bits").orderBy(F.xxhash64(F.lit(7), "_fp")).limit(SAMPLE).collect()
-    words = np.array([r["_bits"] for r in got], dtype=np.int64).reshape(len(got), -1).view(np.uint64)
-    bits = _unpack(words[:, checks:]) if len(got) else np.zeros((0, 64 * (-(-width * parts // 64))), dtype=np.uint8)
+    words = np.array([r["_bits"] for r in got], dtype=np.int64).reshape(len(got), checks + -(-width * parts // 64)).view(np.uint64)
+    bits = _unpack(words[:, checks:])
     groups = np.array(bit_groups(bits[:, : width * parts], parts))
     chosen = thresholds(bits, groups, n, percent)
     p = differing(percent)
