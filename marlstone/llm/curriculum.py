@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions
+from .common import WORD, cut, dense_rank, fresh_names, global_order, partitions
 
 #: Weights of the sources by code point, repeating; at most so many passes over a source.
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 #: How a source's weight changes over the run: w(t) = 1 + slope * (2 t - 1), by the same order, repeating.
 SLOPES = (-0.5, 0.0, 0.5)
-#: Hex digits of the hashed doc_id that form a bucket of a source.
-BUCKET_DIGITS = 3
+#: Documents that a bucket of a source may have on average.
+BUCKET_ROWS = 10_000
 
 
 def _cycle(values: tuple, rank: Column) -> Column:
@@ -23,20 +23,23 @@ def _cycle(values: tuple, rank: Column) -> Column:
 def source_plan(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, passes: int = PASSES, share: float = 1.0) -> DataFrame:
     """(_src, source_size, target, _slope) from (_src, source_size): one row for each source.
 
-    Targets are in proportion to the weights and sum to ``share`` of all words; where one would pass ``passes`` times its source it
-    stops there and the rest is shared anew. In the order of that limit over the weight the sources that stop come
-    first, so running sums find the level at which the others stand.
+    Targets are in proportion to the weights and sum to ``share`` of all words; where one would pass ``passes`` times its
+    source it stops there and the rest is shared anew, until none is above. Each round is one aggregate over the sources,
+    and more of them stop in each; sources are numbered by a range sort, so that however many there are, none gathers them.
     """
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy("_src")) - 1).withColumn("_w", _cycle(weights, F.col("_rank")))
-    ranked = ranked.withColumn("_slope", _cycle(slopes, F.col("_rank"))).withColumn("_limit", F.col("source_size") * passes)
-    order = Window.orderBy(F.col("_limit") / F.col("_w"), "_src")
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("_limit").over(before), F.lit(0))
-    weight = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), F.lit(0))
-    ranked = ranked.withColumn("_level", left / weight)
-    ranked = ranked.withColumn("_stops", F.col("_limit") / F.col("_w") <= F.col("_level"))
-    level = F.min(F.when(~F.col("_stops"), F.struct(F.col("_limit") / F.col("_w"), "_src", F.col("_level").alias("level")))).over(everything)["level"]
-    target = F.when(F.col("_stops"), F.col("_limit").cast("double")).otherwise(level * F.col("_w"))
+    ordered = global_order(sizes.withColumn("_all", F.lit(0)), ["_all", "_src"])
+    ranked = dense_rank(ordered, ["_all"], "_rank").drop("_all").withColumn("_w", _cycle(weights, F.col("_rank"))).withColumn("_slope", _cycle(slopes, F.col("_rank")))
+    ranked = cut(ranked.withColumn("_limit", F.col("source_size") * passes))
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level, stopped = None, -1
+    while True:
+        stops = F.lit(False) if level is None else F.col("_limit") / F.col("_w") <= F.lit(level)
+        held, weight, many = ranked.agg(F.sum(F.when(stops, F.col("_limit"))), F.sum(F.when(~stops, F.col("_w"))), F.count(F.when(stops, 1))).first()
+        if many == stopped or not weight:
+            break
+        stopped, level = many, (total * share - (held or 0)) / weight
+    level = F.lit(0.0 if level is None else level)
+    target = F.when(F.col("_limit") / F.col("_w") <= level, F.col("_limit").cast("double")).otherwise(level * F.col("_w"))
     return ranked.withColumn("target", target).select("_src", "source_size", "target", "_slope")
 
 
@@ -49,44 +52,60 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(b * b + 4 * slope * share) - b) / (2 * slope))
 
 
-def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``docs`` with size, source_size, target, taken (prefixed by ``_``), ``_copies``, and what positions need.
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Column:
+    """What the plan needs of a document: its size in words, its source (null last) and a hash of its doc_id."""
+    src = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.struct(size.alias("size"), src.alias("src"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("hash"))
+
+
+def plan(docs: DataFrame, key: str, **options) -> DataFrame:
+    """``docs``, whose column ``key`` is from ``sized``, with more fields in it: source_size, target, taken, copies, middle and slope.
 
     Within a source, documents stand in the order of a hash of their doc_id. Whole passes take every document; of the
     last pass, those are taken whose middle comes before the words that remain, so a source misses its target by at
-    most half a document. The running sums are those of hash buckets plus those within a bucket, so that no source is
-    gathered in one task. Null source: its own, last. Null doc_id: hashed as empty. Null text: size 0. Repeated
-    rows count each. An empty table gives none. New columns begin with ``_``.
+    most half a document. The running sums are those of hash buckets plus those within a bucket, and buckets are as many
+    as the documents need, so that no source is gathered in one task. Null source: its own, last. Null doc_id: hashed
+    as empty. Null text: size 0. Repeated rows count each. An empty table gives none. Columns keep their names.
     """
-    src = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source)))
-    marked = docs.withColumns({"_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "_src": src, "_hash": F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))})
-    marked = marked.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-    buckets = marked.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_words"))
+    slim = cut(docs.select(F.col(f"{key}.src").alias("_src"), F.col(f"{key}.hash").alias("_hash"), F.col(f"{key}.size").alias("_size")))
+    digits = 1
+    while 16**digits * BUCKET_ROWS < slim.count() and digits < 12:
+        digits += 1
+    buckets = cut(slim.groupBy("_src", F.substring("_hash", 1, digits).alias("_bucket")).agg(F.sum("_size").alias("_words")))
     plans = source_plan(buckets.groupBy("_src").agg(F.sum("_words").alias("source_size")), **options)
     ahead = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_ahead", F.coalesce(F.sum("_words").over(ahead), F.lit(0))).join(plans, "_src").drop("_words")
-    buckets = buckets.withColumnRenamed("source_size", "_source_size").withColumnRenamed("target", "_target")
-    inner = Window.partitionBy("_src", "_bucket").orderBy("_hash", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = marked.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0))).join(buckets, ["_src", "_bucket"])
-    placed = placed.withColumn("_middle", F.col("_ahead") + F.col("_inner") + F.col("_size") / 2.0)
-    ratio = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    placed = placed.withColumn("_passes", F.floor(ratio))
-    rest = F.col("_target") - F.col("_passes") * F.col("_source_size")
-    placed = placed.withColumn("_copies", (F.col("_passes") + F.when(F.col("_middle") <= rest, 1).otherwise(0)).cast("int"))
-    placed = placed.withColumn("_taken", F.col("_size") * F.col("_copies"))
-    return placed.drop("_bucket", "_inner", "_ahead", "_passes")
-
-
-def when_read(copy: Column) -> Column:
+    buckets = buckets.withColumn("_ahead", F.coalesce(F.sum("_words").over(ahead), F.lit(0))).join(plans, "_src")
+    src, bucket, at = fresh_names(docs, "src", "bucket", "at")
+    placed = docs.withColumns({src: F.col(f"{key}.src"), bucket: F.substring(F.col(f"{key}.hash"), 1, digits)})
+    inner = Window.partitionBy(src, bucket).orderBy(F.col(f"{key}.hash"), F.col(f"{key}.size")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn(at, F.coalesce(F.sum(F.col(f"{key}.size")).over(inner), F.lit(0)))
+    fields = F.struct("_ahead", "source_size", "target", F.col("_slope").alias("slope")).alias("_plan")
+    (held,) = fresh_names(docs, "plan")
+    placed = placed.join(buckets.select(F.col("_src").alias(src), F.col("_bucket").alias(bucket), fields.alias(held)), [src, bucket])
+    size, target, whole = F.col(f"{key}.size"), F.col(f"{held}.target"), F.col(f"{held}.source_size")
+    middle = F.col(f"{held}._ahead") + F.col(at) + size / 2.0
+    passes = F.floor(F.when(whole > 0, target / whole).otherwise(F.lit(0.0)))
+    rest = target - passes * whole
+    copies = (passes + F.when((rest > 0) & (middle <= rest), 1).otherwise(0)).cast("int")
+    more = {"source_size": whole, "target": target, "slope": F.col(f"{held}.slope"), "middle": middle, "copies": copies, "taken": size * copies}
+    new = F.struct(*[F.col(f"{key}.{f}").alias(f) for f in ("size", "src", "hash")], *[c.alias(f) for f, c in more.items()])
+    return placed.withColumn(key, new).select(*docs.columns)
+
+
+def when_read(key: str, copy: Column) -> Column:
     """The training position in 0..1 of a planned document's copy, numbered from 0."""
-    share = F.when(F.col("_target") > 0, (copy * F.col("_source_size") + F.col("_middle")) / F.col("_target")).otherwise(F.lit(0.0))
-    return position(F.least(share, F.lit(1.0)), F.col("_slope"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The training stream: each document as often as the mix takes it, range-sorted by position; the columns of ``docs`` and ``_position``."""
-    planned = plan(docs, **options).where("_copies > 0")
-    copies = planned.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    copies = copies.withColumn("_position", when_read(F.col("_copy"))).select(*docs.columns, "_position", "_hash")
-    sort = ["_position", "_hash"]
-    return copies.repartitionByRange(partitions(docs.sparkSession), *sort).sortWithinPartitions(*sort).drop("_hash")
+    target = F.col(f"{key}.target")
+    share = F.when(target > 0, (copy * F.col(f"{key}.source_size") + F.col(f"{key}.middle")) / target).otherwise(F.lit(0.0))
+    return position(F.least(share, F.lit(1.0)), F.col(f"{key}.slope"))
+
+
+def mix(docs: DataFrame, place: str | None = None, **options) -> DataFrame:
+    """The training stream: each document as often as the mix takes it, range-sorted by position; the columns of ``docs``, and the position as ``place``."""
+    key, copy, at = fresh_names(docs, "mix", "copy", "at")
+    planned = plan(docs.withColumn(key, sized(docs)), key, **options).where(F.col(f"{key}.copies") > 0)
+    copies = planned.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(f"{key}.copies") - 1)))
+    copies = copies.withColumn(at, when_read(key, F.col(copy)))
+    sort = [F.col(at), F.col(f"{key}.hash"), F.col(copy)]
+    placed = copies.repartitionByRange(partitions(docs.sparkSession), *sort).sortWithinPartitions(*sort)
+    return placed.select(*docs.columns, *([F.col(at).alias(place)] if place else []))

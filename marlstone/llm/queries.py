@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cross_polytope, curriculum, kd_shards, packing, page_diff, pii, quality_model, rules, simhash, sstable
-from .common import table
+from .common import cut, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = curriculum.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    first = F.when(F.col("_copies") > 0, F.round(curriculum.when_read(F.lit(0)), 9))
-    digest = planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_copies").alias("copies"), first.alias("first_position"))
+    docs = table(spark, sf_dir, "documents")
+    planned = curriculum.plan(cut(docs.select("doc_id", curriculum.sized(docs).alias("mix"))), "mix")
+    first = F.when(F.col("mix.copies") > 0, F.round(curriculum.when_read("mix", F.lit(0)), 9))
+    digest = planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", first.alias("first_position"))
     return digest.repartitionByRange(F.col("first_position"), F.col("doc_id")).sortWithinPartitions("first_position", "doc_id")
 
 
@@ -110,7 +111,7 @@ OP10_SQL = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT)
     t AS (SELECT source, z, slope, CASE WHEN lim / w <= lvl THEN CAST(lim AS DOUBLE) ELSE (SELECT lvl FROM o WHERE lim / w > lvl ORDER BY lim / w, source NULLS LAST LIMIT 1) * w END AS target FROM o),
     c AS (SELECT d.doc_id, d.size, t.z, t.target, t.slope, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0 AS middle,
       CASE WHEN t.z > 0 THEN CAST(floor(t.target / t.z) AS BIGINT) ELSE 0 END AS passes FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-    f AS (SELECT *, CAST(passes + CASE WHEN middle <= target - passes * z THEN 1 ELSE 0 END AS INTEGER) AS copies, least(CASE WHEN target > 0 THEN CAST(middle AS DOUBLE) / target ELSE 0.0 END, 1.0) AS share FROM c)
+    f AS (SELECT *, CAST(passes + CASE WHEN target - passes * z > 0 AND middle <= target - passes * z THEN 1 ELSE 0 END AS INTEGER) AS copies, least(CASE WHEN target > 0 THEN CAST(middle AS DOUBLE) / target ELSE 0.0 END, 1.0) AS share FROM c)
     SELECT doc_id, size, z AS source_size, target, size * copies AS taken, copies,
       CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END, 9) END AS first_position FROM f"""
 

@@ -253,10 +253,11 @@ def test_op10(spark, at):
         sizes[s] = max(sizes[s], r["size"])
     for s in taken:
         assert abs(taken[s] - target[s]) <= sizes[s] / 2 + 1e-6
-    stream = curriculum.mix(spark.read.parquet(f"{at}/documents.parquet")).collect()
+    stream = curriculum.mix(spark.read.parquet(f"{at}/documents.parquet"), "_position").collect()
     assert len(stream) == sum(r["copies"] for r in got)
     assert [r["_position"] for r in stream] == sorted(r["_position"] for r in stream)
     assert all(0 <= r["_position"] <= 1 for r in stream)
+    assert all(r["copies"] <= 3 for r in got)
 
 
 def test_encoder_is_exact(spark, sf, odd):
