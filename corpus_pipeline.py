@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import curriculum, packing, pii, rules, similar
+from marlstone.llm.common import file_order
 
 ORACLE_SQL = None
 
@@ -26,11 +27,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return curriculum.mix(docs).drop("_position")
+    return curriculum.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(docs)).drop("_part", "_gap")
+    return packing.pack(packing.pieces(docs, order=file_order(docs)))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", sequences)]

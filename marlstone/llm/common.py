@@ -31,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def file_order(df: DataFrame) -> Column | None:
+    """Where a row stands in the files that ``df`` was read from, as a string that sorts so; none if it wasn't read from files."""
+    from pyspark.errors import AnalysisException
+
+    place = F.concat_ws("/", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+    try:
+        df.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and reread from the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

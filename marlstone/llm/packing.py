@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices
@@ -16,33 +16,42 @@ from .tokens import default_tokenizer, encoder
 LENGTH = 2048
 #: The id that ends a document.
 END = 0
-#: Pieces that one task packs, and rounds in which partitions with a gap exchange documents.
-PIECES, ROUNDS = 25_000, 3
+#: Pieces that one task packs.
+PIECES = 25_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, length: int, end: int):
+def _pieces(path: str, length: int, end: int, order: bool):
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for batch in (piece for whole in batches for piece in slices(whole)):
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].tolist(), enc.encode(batch["text"].tolist()), strict=True):
+            places = batch["_order"].tolist() if order else [0] * len(batch)
+            for doc_id, place, ids in zip(batch["doc_id"].tolist(), places, enc.encode(batch["text"].tolist()), strict=True):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), place))
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_order"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut at ``length`` where longer."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, order: Column | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut at ``length`` where longer.
+
+    Null texts are empty: the end id alone. Null doc_ids stay null; repeated rows give their pieces each; texts of any
+    length are encoded whole; an empty table gives no pieces; other columns are dropped. With ``order``, a string by which
+    sequences shall follow each other, there is a column ``_order``.
+    """
     path = tokenizer or default_tokenizer()
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_pieces(path, length, end), _PIECE)
+    place = [] if order is None else [order.alias("_order")]
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *place)
+    out = rows.mapInPandas(_pieces(path, length, end, order is not None), _PIECE + (", _order string" if place else ", _order long"))
+    return out if place else out.drop("_order")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -91,7 +100,7 @@ def bound_of(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = _PIECE + ", _part long, _bin long, _room long, _gap long, offset long"
+_PACKED = _PIECE + ", _bin long, _open boolean, offset long"
 
 
 def _pack(capacity: int):
@@ -105,39 +114,60 @@ def _pack(capacity: int):
         first = np.flatnonzero(np.r_[True, np.diff(bins[by]) != 0])
         offset = np.empty(len(sizes), dtype=np.int64)
         offset[by] = ahead - np.repeat(ahead[first], np.diff(np.r_[first, len(by)]))
-        return rows.assign(_bin=bins, _room=room[bins], _gap=n - lower_bound(sizes, capacity), offset=offset)
+        # With a gap to the lower bound every bin with room is open; without, only the one with most room.
+        open_ = room > 0 if n > lower_bound(sizes, capacity) else (room > 0) & (np.arange(n) == np.argmax(room))
+        return rows.assign(_bin=bins, _open=open_[bins], offset=offset)
 
     return run
 
 
-def pack(parts: DataFrame, length: int = LENGTH, per_task: int = PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, length: int = LENGTH, per_task: int = PIECES) -> DataFrame:
     """``parts`` (as from ``pieces``) with sequence_id and offset.
 
-    Pieces are dealt to tasks by a hash and packed best-fit-decreasing. A task whose bins equal its lower bound is
-    done. The others give up their bins that have room; these pieces are dealt anew, to fewer tasks, and packed again,
-    until no gap is left, all met in one task, or the rounds are over. Only pieces of open bins move.
+    Pieces are dealt to tasks by a hash, or in ranges of ``_order`` where that is given, and packed best-fit-decreasing. The
+    bins that keep a task above its lower bound, and of the others the emptiest, are given up: their pieces are dealt anew
+    and packed again. This goes on while it lowers the number of bins, and ends early where that number is the lower
+    bound of all pieces together. Only pieces of open bins move. Nulls, repeated rows and pieces of equal length are told
+    apart by nothing, and needn't be; no pieces give no sequences.
     """
+    ordered = "_order" in parts.columns
+    columns = [c for c in parts.columns if c != "_order"]
     todo = cut(parts)
     n = todo.count()
-    tasks = max(1, -(-n // per_task))
-    done = None
-    for turn in range(rounds):
-        dealt = todo.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(tasks)) + (turn << 40))
-        packed = dealt.groupBy("_part").applyInPandas(_pack(length), _PACKED)
-        last = tasks == 1 or turn == rounds - 1
-        packed = packed if last and done is None else cut(packed)
-        if last:
-            done = packed if done is None else done.unionByName(packed)
+    least, done, before, turn = certificate(todo, length), None, None, 0
+    while True:
+        tasks = max(1, -(-n // per_task))
+        if ordered and turn == 0:
+            dealt = todo.repartitionByRange(tasks, "_order", "piece").withColumn("_part", F.spark_partition_id().cast("long"))
+        else:
+            dealt = todo.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(tasks)) + (turn << 40))
+        packed = cut(dealt.select(*columns, "_part").groupBy("_part").applyInPandas(_packed(length), _PACKED + ", _part long"))
+        bins = packed.groupBy("_part").agg((F.max("_bin") + 1).alias("b")).agg(F.sum("b")).first()[0] or 0
+        closed = (done[1] if done else 0) + bins
+        if before is not None and closed >= before[0]:  # no better than what was exchanged
+            packed = before[1]
+            result = packed if done is None else done[0].unionByName(packed)
             break
-        again = (F.col("_gap") > 0) & (F.col("_room") > 0)
-        done = packed.where(~again) if done is None else done.unionByName(packed.where(~again))
-        todo = packed.where(again).select(*parts.columns)
-        left = todo.count()
-        if not left:
+        rows = packed if done is None else done[0].unionByName(packed)
+        open_ = packed.where("_open")
+        n = open_.count()
+        if closed <= least or not n or tasks == 1:
+            result = rows
             break
-        # An exchange pays only if some tasks merge.
-        tasks = min(tasks - 1, max(1, -(-left // per_task)))
-    return done.select(*parts.columns, (F.col("_part") * (1 << 20) + F.col("_bin")).alias("sequence_id"), "offset", "_part", "_gap")
+        released = open_.select("_part", "_bin").distinct().count()
+        fixed = packed.where("NOT _open")
+        done = (fixed if done is None else done[0].unionByName(fixed), closed - released)
+        before, todo, turn = (closed, open_), open_.select(*columns), turn + 1
+    return result.select(*columns, (F.col("_part") * (1 << 20) + F.col("_bin")).alias("sequence_id"), "offset")
+
+
+def _packed(capacity: int):
+    pack_ = _pack(capacity)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pack_(rows.drop(columns="_part")).assign(_part=key[0])
+
+    return run
 
 
 def certificate(parts: DataFrame, length: int = LENGTH) -> int:
