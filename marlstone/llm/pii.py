@@ -1,8 +1,9 @@
 """Personal data by candidate gradient boosting. DataFrame and SQL functions only on the rows' path.
 
 High-recall patterns propose spans, boosted trees score format and context, and a calibrated threshold selects. Spans
-that meet the base definition of their kind always stay. The trees are fitted on examples that Spark makes from
-templates, so that labels are known; their number is bounded by EXAMPLES.
+that meet the base definition of their kind always stay. The trees are fitted on candidates mined from a sample of the
+documents, whose labels are the base definition and its checks, without what the definition itself asks for among the
+features; and on examples from templates for forms that the documents don't have. MINED and EXAMPLES bound both.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh_names
 from .gbt import Forest, fit
 
 KINDS = ("email", "ip", "card", "phone")
@@ -30,27 +32,58 @@ LOOSE = {
     "card": (r"(?<![0-9.])[0-9]{4}[ .-][0-9]{4}[ .-][0-9]{4}[ .-][0-9]{4}(?![0-9.])", r"[0-9]{4}[ .-][0-9]{4}[ .-][0-9]{4}"),
     "phone": (r"(?<![0-9+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"[0-9][ .-][0-9]{4}(?![0-9-])"),
 }
+#: Wider forms, mined for training: the base forms and what only resembles them.
+WIDE = {
+    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9.-]{1,255}+",
+    "ip": r"(?<![0-9.])[0-9]{1,9}+(?:\.[0-9]{1,9}+){2,5}+",
+    "card": r"(?<![0-9.-])[0-9]{4}(?:[ -]?[0-9]{2,4}){2,5}+(?![0-9])",
+    "phone": r"(?<![0-9.])\+?\(?[0-9]{1,4}+\)?(?:[ .-]?\(?[0-9]{2,4}+\)?){2,4}+",
+}
 CUES = r"(?i)(?:mail|write|contact|phone|tel|call|mobile|cell|fax|ring|whatsapp|card|visa|credit|pay|account|host|address|server|client|login|ssh)"
-#: Code points before a span that are its context; examples fitted; the precision for which the threshold is calibrated.
-CONTEXT, EXAMPLES, PRECISION = 24, 4000, 0.99
-FEATURES = ("kind", "n_chars", "n_digits", "n_seps", "valid", "cue", "glued", "letters", "sum_mod", "distinct")
+#: Code points before a span that are its context; template examples; documents mined and candidates kept of them; the precision for which the threshold is calibrated.
+CONTEXT, EXAMPLES, MINED_DOCS, MINED, PRECISION = 24, 4000, 3000, 4000, 0.99
+#: Hits of a text are handled in chunks of so many, so that arrays are never copied once a hit.
+CHUNK = 128
+FEATURES = ("kind", "n_chars", "n_digits", "n_seps", "valid", "cue", "glued", "letters", "numbered", "distinct")
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(items: Column) -> Column:
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.slice(F.array(items), 2, 1))
+
+
+_HIT = "s:int,e:int,t:string,b:string,a:string"
 
 
 def _hits(text: Column, pattern: str, when: Column) -> Column:
-    """array<struct<s,e,t>>: the matches of ``pattern`` with their code points, end exclusive; empty unless ``when``.
+    """array<struct<s,e,t,b,a>>: the matches of ``pattern`` with their code points, end exclusive, and what stands before and after; empty unless ``when``.
 
-    split() and regexp_extract_all() find the same matches, so gaps and matches alternate and their lengths add up.
+    split() and regexp_extract_all() find the same matches, so gaps and matches alternate and their lengths add up: over
+    chunks first, then within each.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, t: F.struct(F.length(g).alias("g"), F.length(t).alias("n"), t.alias("t")))
-    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none = F.array().cast(f"array<struct<{_HIT}>>")
+
+    def parts(found: Column, gaps: Column) -> Column:
+        n = F.size(found)
+        zipped = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("g"), found.alias("t"), F.slice(gaps, F.lit(2), n).alias("a"))
+        return F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["t"]).alias("n"), x["t"].alias("t"), F.right(x["g"], F.lit(CONTEXT)).alias("b"), F.left(x["a"], F.lit(1)).alias("a")))
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + x["g"]
-        return F.struct((s + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["t"].alias("t")))).alias("out"))
+        return F.struct((s + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["t"].alias("t"), x["b"].alias("b"), x["a"].alias("a")))).alias("out"))
+
+    def placed(chunks: Column) -> Column:
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["g"] + x["n"]))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
 
-    return F.when(when & (F.regexp_count(text, F.lit(pattern)) > 0), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    all_ = _let(found, lambda f: _let(parts(f, F.split(text, pattern, -1)), lambda p: _let(_chunks(p), placed)))
+    return F.when(when & (F.regexp_count(text, F.lit(pattern)) > 0), all_).otherwise(none)
 
 
 def _digits(t: Column) -> Column:
@@ -89,25 +122,24 @@ def _as(kind: int, name: str, *more: str):
     return lambda x: F.struct(F.lit(kind).alias(name), x["s"].alias("s"), x["e"].alias("e"), *[x[m].alias(m) for m in more])
 
 
-def base_spans() -> Column:
+def base_spans(out: str) -> Column:
     """After ``find``: array<struct<k,s,e>> of the base spans, by kind as in KINDS, then start."""
-    return F.array_sort(F.concat(*[F.transform(F.col("_base")[k], _as(i, "k")) for i, k in enumerate(KINDS)]))
+    return F.array_sort(F.concat(*[F.transform(F.col(out)[k], _as(i, "k")) for i, k in enumerate(KINDS)]))
 
 
 def candidates(text: Column) -> tuple[dict[str, Column], Column]:
-    """Base spans of each kind, and all loose candidates as array<struct<kind,s,e,t>>."""
+    """Base spans of each kind, and all loose candidates as array<struct<kind,s,e,t,b,a>>."""
     digit = F.rlike(text, F.lit("[0-9]"))
     need = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": F.rlike(text, F.lit("[0-9][ -]?[0-9]")), "phone": F.contains(text, F.lit("+"))}
     base = {k: F.filter(_hits(text, BASE[k], need[k]), _checked(k)) for k in KINDS}
-    loose = [F.transform(_hits(text, p, F.rlike(text, F.lit(test))), _as(i, "kind", "t")) for i, (p, test) in enumerate(LOOSE[k] for k in KINDS)]
+    loose = [F.transform(_hits(text, p, F.rlike(text, F.lit(test))), _as(i, "kind", "t", "b", "a")) for i, (p, test) in enumerate(LOOSE[k] for k in KINDS)]
     return base, F.concat(*loose)
 
 
-def features(text: Column, x: Column) -> Column:
-    """A candidate's format and context as a struct of doubles."""
-    t, digits = x["t"], _digits(x["t"])
-    before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
-    after = F.substring(text, x["e"] + 1, F.lit(1))
+def features(x: Column) -> Column:
+    """A candidate's format and context as a struct of doubles. A leading plus, for which the base definition asks, isn't looked at."""
+    t, before, after = F.ltrim(x["t"], F.lit("+")), x["b"], x["a"]
+    digits = _digits(t)
     values = {
         "kind": x["kind"],
         "n_chars": F.length(t),
@@ -117,12 +149,22 @@ def features(text: Column, x: Column) -> Column:
         "cue": F.rlike(before, F.lit(CUES)).cast("int"),
         "glued": (F.rlike(before, F.lit("[A-Za-z0-9_#=/$]$")) | F.rlike(after, F.lit("^[A-Za-z0-9_=/]"))).cast("int"),
         "letters": F.regexp_count(t, F.lit("[A-Za-z]")),
-        "sum_mod": F.when(F.rlike(before, F.lit(r"(?i)(?:order|ref|no|id|version|page|isbn|part)[.:# ]{0,3}$")), F.lit(1)).otherwise(F.lit(0)),
+        "numbered": F.when(F.rlike(before, F.lit(r"(?i)(?:order|ref|no|id|version|page|isbn|part)[.:# ]{0,3}$")), F.lit(1)).otherwise(F.lit(0)),
         "distinct": F.size(F.array_distinct(F.split(digits, ""))),
     }
     return F.struct(*[values[f].cast("double").alias(f) for f in FEATURES])
 
 
+def mined(docs: DataFrame, text: str = "text", most: int = MINED_DOCS) -> DataFrame:
+    """(id, y, f): wide candidates of about ``most`` documents, spread by a hash; y is 1 for those that meet the base definition."""
+    n = docs.count()
+    some = docs.select(F.xxhash64(text).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.pmod(F.col("id"), F.lit(max(1, n // most))) == 0)
+    hits = [F.transform(_hits(F.col("text"), WIDE[k], F.rlike("text", F.lit("[0-9@]"))), _as(i, "kind", "t", "b", "a")) for i, k in enumerate(KINDS)]
+    rows = some.select("id", F.explode(F.concat(*hits)).alias("x"))
+    good = reduce(lambda c, i: c.when(F.col("x.kind") == i, F.rlike("x.t", F.lit(f"^(?:{BASE[KINDS[i]]})$")) & _valid(KINDS[i], F.col("x.t"))), range(1, len(KINDS)), F.when(F.col("x.kind") == 0, F.rlike("x.t", F.lit(f"^(?:{BASE[KINDS[0]]})$"))))
+    return rows.select("id", F.coalesce(good, F.lit(False)).cast("int").alias("y"), features(F.col("x")).alias("f"))
+
+
 def _examples(spark: SparkSession, n: int) -> DataFrame:
     """(text, y): a candidate between two made-up contexts, from templates that hold personal data or only look so."""
 
@@ -162,12 +204,16 @@ def _examples(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(0, n, numPartitions=2).select("id", text.alias("text"), y.alias("y"))
 
 
-def train(spark: SparkSession, n: int = EXAMPLES) -> tuple[Forest, float]:
-    """The trees and the least margin at which, on examples they weren't fitted on, PRECISION of the selected are personal."""
-    made = _examples(spark, n).withColumn("_c", candidates(F.col("text"))[1])
-    rows = made.select("id", "y", F.explode("_c").alias("x"), "text").select("id", "y", features(F.col("text"), F.col("x")).alias("f")).orderBy("id").collect()
+def train(docs: DataFrame, text: str = "text", n: int = EXAMPLES) -> tuple[Forest, float, dict[str, float]]:
+    """The trees; the least margin at which, of the examples they weren't fitted on, PRECISION of the selected are personal;
+    and, of held-out mined candidates, the precision and the share found at that margin.
+    """
+    made = _examples(docs.sparkSession, n).withColumn("_c", candidates(F.col("text"))[1])
+    made = made.select("id", "y", F.explode("_c").alias("x")).select("id", "y", features(F.col("x")).alias("f")).withColumn("real", F.lit(False))
+    real = mined(docs, text).orderBy(F.xxhash64("id", "f"), "id", "f").limit(MINED).withColumn("real", F.lit(True))
+    rows = sorted(made.unionByName(real).collect(), key=lambda r: (r["real"], r["id"], tuple(r["f"]), r["y"]))
     x, y = np.array([list(r["f"]) for r in rows]), np.array([r["y"] for r in rows], dtype=float)
-    held = np.array([r["id"] % 5 == 0 for r in rows])
+    held, real_ = np.array([r["id"] % 5 == 0 for r in rows]), np.array([r["real"] for r in rows])
     forest = fit(x[~held], y[~held], trees=24, depth=3, rate=0.3)
     margin, truth = forest.margin(x[held]), y[held]
     order = np.argsort(-margin, kind="stable")
@@ -175,32 +221,44 @@ def train(spark: SparkSession, n: int = EXAMPLES) -> tuple[Forest, float]:
     m = margin[order]
     whole = np.r_[m[1:] < m[:-1], True]  # a margin is in with all its equals
     fine = np.flatnonzero((right >= PRECISION) & whole)
-    return forest, float(m[fine[-1]]) if len(fine) else float("inf")
+    least = float(m[fine[-1]]) if len(fine) else float("inf")
+    chosen, true = (margin >= least) & real_[held], truth[real_[held]].sum()
+    hits = truth[chosen].sum()
+    return forest, least, {"candidates": int(real_.sum()), "held_out": int(real_[held].sum()), "precision": float(hits / max(1, chosen.sum())), "recall": float(hits / max(1, true))}
 
 
-def find(docs: DataFrame, text: str = "text", model: tuple[Forest, float] | None = None) -> DataFrame:
-    """``docs`` with ``_base`` (struct of an array<struct<s,e,t>> for each kind) and ``_extra`` (array<struct<kind,s,e,t>>).
+def find(docs: DataFrame, out: str, text: str = "text", model: tuple[Forest, float, dict] | None = None) -> DataFrame:
+    """``docs`` and the struct ``out``: for each kind the base spans, array<struct<s,e,t,b,a>>, and in ``extra`` the trees', array<struct<kind,s,e>>.
 
     Extra spans overlap no base span. Null text counts as empty and has none. Repeated rows are judged alike; an empty
-    table stays empty. Everything happens within a row, so nothing is shuffled.
+    table stays empty; columns keep their names. Everything happens within a row, so nothing is shuffled.
     """
-    forest, least = model or train(docs.sparkSession)
-    held = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    base, loose = candidates(F.col("_text"))
-    held = held.withColumns({**{f"_{k}": base[k] for k in KINDS}, "_loose": loose})
-    taken = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    free = F.filter("_loose", lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    scored = F.transform(free, lambda x: F.struct(x.alias("x"), features(F.col("_text"), x).alias("f")))
-    held = held.withColumn("_scored", F.when(F.size("_loose") > 0, scored))
-    chosen = F.expr(f"transform(filter(_scored, c -> {forest.sql([f'c.f.{f}' for f in FEATURES])} >= {least!r}D), c -> c.x)") if np.isfinite(least) else F.lit(None)
-    extra = F.coalesce(chosen, F.array().cast("array<struct<kind:int,s:int,e:int,t:string>>"))
-    return held.withColumn("_extra", extra).withColumn("_base", F.struct(*[F.col(f"_{k}").alias(k) for k in KINDS])).drop("_text", "_loose", "_scored", *[f"_{k}" for k in KINDS])
-
-
-def all_spans() -> Column:
+    forest, least, _ = model or train(docs, text)
+    body, spans, scored = fresh_names(docs, "body", "spans", "scored")
+    held = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    base, loose = candidates(F.col(body))
+    held = held.withColumn(spans, F.struct(*[base[k].alias(k) for k in KINDS], loose.alias("loose")))
+
+    def boxes(items: Column) -> Column:
+        return F.transform(_chunks(items), lambda c: F.struct(c[0]["s"].alias("lo"), F.element_at(c, -1)["e"].alias("hi"), c.alias("c")))
+
+    def free(taken: Column) -> Column:
+        def meets(x: Column):
+            return lambda box: (box["lo"] < x["e"]) & (box["hi"] > x["s"]) & F.exists(box["c"], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+
+        return F.transform(F.filter(F.col(f"{spans}.loose"), lambda x: ~F.exists(taken, meets(x))), lambda x: F.struct(x.alias("x"), features(x).alias("f")))
+
+    some = F.size(F.col(f"{spans}.loose")) > 0
+    held = held.withColumn(scored, F.when(some, _let(F.concat(*[boxes(F.col(spans)[k]) for k in KINDS]), free)))
+    chosen = F.expr(f"transform(filter({scored}, c -> {forest.sql([f'c.f.{f}' for f in FEATURES])} >= {least!r}D), c -> struct(c.x.kind as kind, c.x.s as s, c.x.e as e))") if np.isfinite(least) else F.lit(None)
+    extra = F.coalesce(chosen, F.array().cast("array<struct<kind:int,s:int,e:int>>"))
+    return held.select(*docs.columns, F.struct(*[F.col(spans)[k].alias(k) for k in KINDS], extra.alias("extra")).alias(out))
+
+
+def all_spans(out: str) -> Column:
     """After ``find``: array<struct<k,s,e>> of base and extra spans, by kind as in KINDS, then start."""
-    extra = F.transform("_extra", lambda x: F.struct(x["kind"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    return F.array_sort(F.concat(base_spans(), extra))
+    extra = F.transform(F.col(out)["extra"], lambda x: F.struct(x["kind"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    return F.array_sort(F.concat(base_spans(out), extra))
 
 
 def joined(spans: Column) -> Column:
@@ -209,18 +267,33 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", model: tuple[Forest, float] | None = None) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = find(docs, text, model)
-    spans = F.array_sort(F.transform(all_spans(), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+def redact(docs: DataFrame, text: str = "text", model: tuple[Forest, float, dict] | None = None) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Null and empty texts stay as they are; all columns keep their names and places. Spans are replaced in chunks, so that
+    a text with very many of them isn't copied once for each.
+    """
+    found_, list_ = fresh_names(docs, "found", "list")
+    found = find(docs, found_, text, model)
+    spans = F.array_sort(F.transform(all_spans(found_), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     body = F.col(text)
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(body, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        out = F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], gap, F.element_at(names, x["k"] + 1)))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), out.alias("out"))
+    def chunk(a: Column, c: Column) -> Column:
+        end = F.greatest(a["at"], F.array_max(F.transform(c, lambda x: x["e"])))
+        part = F.substring(body, a["at"] + 1, end - a["at"])
+
+        def replaced(part: Column) -> Column:
+            def step(b: Column, x: Column) -> Column:
+                gap = F.substring(part, b["at"] - a["at"] + 1, F.greatest(x["s"] - b["at"], F.lit(0)))
+                text_ = F.when(x["s"] < b["at"], b["out"]).otherwise(F.concat(b["out"], gap, F.element_at(names, x["k"] + 1)))
+                return F.struct(F.greatest(b["at"], x["e"]).alias("at"), text_.alias("out"))
+
+            return F.aggregate(c, F.struct(a["at"].alias("at"), F.lit("").alias("out")), step, lambda b: b["out"])
+
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(_let(part, replaced))).alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body))))
-    found = found.withColumn("_spans", spans)
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(body)).select(*docs.columns)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(_chunks(F.col(list_)), start, chunk, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
+    found = found.withColumn(list_, spans)
+    return found.withColumn(text, F.when(F.size(list_) > 0, clean).otherwise(body)).select(*docs.columns)

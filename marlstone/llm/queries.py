@@ -33,9 +33,9 @@ def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.col("_base")[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(pii.base_spans()).cast("binary"), 256).alias("base_sha256"), pii.joined(pii.all_spans()).alias("spans"))
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), "pii")
+    counts = [F.size(F.col("pii")[k]).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(pii.base_spans("pii")).cast("binary"), 256).alias("base_sha256"), pii.joined(pii.all_spans("pii")).alias("spans"))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

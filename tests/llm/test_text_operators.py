@@ -270,3 +270,22 @@ def test_encoder_is_exact(spark, sf, odd):
     tok = Tokenizer.from_file(default_tokenizer())
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert Encoder(default_tokenizer()).encode(texts) == want
+
+
+def test_pii_many_spans_and_clashing_columns(spark):
+    """Thousands of spans in one text, and columns named like the operator's own."""
+    import time
+
+    many = " ".join(f"é{i} a{i}@b.co +1 (732) 555-{i % 10000:04d}" for i in range(12_000))
+    df = spark.createDataFrame([(1, many, 7, "x"), (2, None, 8, "y")], "doc_id long, text string, _body int, _spans string")
+    model = pii.train(df)
+    began = time.time()
+    out = {r["doc_id"]: r for r in pii.redact(df, model=model).collect()}
+    assert out[1]["text"] == " ".join(f"é{i} [EMAIL] [PHONE]" for i in range(12_000)) and out[2]["text"] is None
+    assert (out[1]["_body"], out[2]["_spans"]) == (7, "y") and time.time() - began < 20
+
+
+def test_pii_is_fitted_to_real_candidates(spark):
+    """Candidates mined from documents teach what their checks tell: held-out ones are told apart."""
+    _, least, report = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert report["candidates"] > 100 and report["precision"] >= 0.95 and least < float("inf"), report
