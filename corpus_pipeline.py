@@ -15,22 +15,33 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rules.keep(docs)
+    """Documents that the corpus policy doesn't reject. Null and empty texts go; repeated rows are judged alike; an empty table stays empty."""
+    return rules.keep(docs, "corpus")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates: five-word shingles, Jaccard of 0.8 or more.
+
+    Null and empty texts are one group, repeated rows another; an empty table stays empty.
+    """
     return similar.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind. Null and empty texts stay; repeated rows change alike."""
     return pii.redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in the order of training. Null sources are one source; repeated rows count each."""
     return curriculum.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed; sequences keep the order of the files that ``docs`` is read from, a task's pieces at a time.
+
+    Null texts are an end id alone; documents longer than a sequence are cut; no documents give no pieces.
+    """
     return packing.pack(packing.pieces(docs, order=file_order(docs)))
 
 

@@ -39,9 +39,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    values = [F.col(f"_ledger.{m}").alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged.select("doc_id", *values, rules.rejected("base").alias("base_failed"), (~rules.rejected()).alias("kept"))
+    judged = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), "ledger")
+    values = [F.col(f"ledger.{m}").alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *values, rules.rejected("ledger", "base").alias("base_failed"), (~rules.rejected("ledger")).alias("kept"))
 
 
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names
+from .common import bound_batches, fresh_names
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted", "n_marks")
 #: Rule: what fails it, over the measurements. Its bit is its place. Never reorder: append, so that old ledgers stay readable.
@@ -20,13 +20,16 @@ RULES = {
     "duplicate_lines": "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines",
     "shouting": "100 * n_shouted > 60 * n_words",
     "exclamations": "100 * n_marks > 60 * n_words",
+    "no_words": "n_words < 1",
 }
 BITS = {name: 1 << k for k, name in enumerate(RULES)}
 #: Version: the rules whose failure rejects a document.
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbols", "duplicate_lines"),
-    "v2": tuple(RULES),
+    "v2": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "shouting", "exclamations"),
+    # For training corpora: a short text isn't a bad one.
+    "corpus": ("no_words", "repeated_windows", "symbols", "duplicate_lines", "shouting", "exclamations"),
 }
 CURRENT = "v2"
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -70,36 +73,38 @@ def _measures(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t) for t in text], columns=list(MEASURES))
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_ledger``: a struct of every measurement and ``failed``, the mask of the rules that the text fails.
+def ledger(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
+    """``docs`` with the struct ``out``: every measurement and ``failed``, the mask of the rules that the text fails.
 
-    Null text counts as empty (it fails few_words). Repeated rows are judged alike; an empty table stays empty; columns
-    of ``docs`` are kept whatever their names, as everything new is inside ``_ledger``.
+    Null text counts as empty (it fails few_words). Repeated rows are judged alike; texts of any length are measured
+    whole; an empty table stays empty; columns of ``docs`` are kept, as everything new is inside ``out``.
     """
-    measured = docs.withColumn("_ledger", F.pandas_udf(_measures, ", ".join(f"{m} long" for m in MEASURES))(F.col(text)))
+    bound_batches(docs.sparkSession)
+    measured = docs.withColumn(out, F.pandas_udf(_measures, ", ".join(f"{m} long" for m in MEASURES))(F.col(text)))
     failed = F.lit(0)
     for name, rule in RULES.items():
-        inner = re.sub(r"\b(n_\w+|word_chars)\b", r"_ledger.\1", rule)
+        inner = re.sub(r"\b(n_\w+|word_chars)\b", rf"{out}.\1", rule)
         failed = failed.bitwiseOR(F.when(F.expr(inner), F.lit(BITS[name])).otherwise(F.lit(0)))
-    return measured.withColumn("_ledger", F.col("_ledger").withField("failed", failed))
+    return measured.withColumn(out, F.col(out).withField("failed", failed))
 
 
-def rejected(policy: str = CURRENT, failed: str = "_ledger.failed") -> Column:
+def rejected(out: str, policy: str = CURRENT) -> Column:
     """Whether a ledger's mask fails one of the policy's rules; the text isn't read again."""
-    return F.col(failed).bitwiseAND(F.lit(mask(policy))) != 0
+    return F.col(f"{out}.failed").bitwiseAND(F.lit(mask(policy))) != 0
 
 
 def keep(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy doesn't reject."""
-    return ledger(docs, text).where(~rejected(policy)).select(*docs.columns)
+    (out,) = fresh_names(docs, "ledger")
+    return ledger(docs, out, text).where(~rejected(out, policy)).select(*docs.columns)
 
 
-def ablation(ledgered: DataFrame, policy: str = CURRENT) -> DataFrame:
+def ablation(ledgered: DataFrame, out: str, policy: str = CURRENT) -> DataFrame:
     """(rule, failing, only): rows that fail each rule of the policy, and rows that would be kept without it.
 
     Works on the counts of the distinct masks, at most two to the number of rules.
     """
-    masks = ledgered.groupBy(F.col("_ledger.failed").bitwiseAND(F.lit(mask(policy))).alias("m")).count()
+    masks = ledgered.groupBy(F.col(f"{out}.failed").bitwiseAND(F.lit(mask(policy))).alias("m")).count()
     rows = masks.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BITS[r]).alias("bit")) for r in POLICIES[policy]])).alias("r"), "m", "count")
     hit = F.col("m").bitwiseAND(F.col("r.bit")) != 0
     return rows.groupBy(F.col("r.rule").alias("rule")).agg(
