@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import bound_batches, cut, slices
 from .tokens import default_tokenizer, encoder
 
 LENGTH = 2048
@@ -47,6 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     length are encoded whole; an empty table gives no pieces; other columns are dropped. With ``order``, a string by which
     sequences shall follow each other, there is a column ``_order``.
     """
+    bound_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     place = [] if order is None else [order.alias("_order")]
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *place)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .gbt import Forest, fit
 
 #: Labelled documents to which the trees are fitted, at most, chosen by a hash; trees and their depth.
@@ -61,9 +62,11 @@ def held_out(doc_id: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """The trees, fitted to ``quality`` of at most ``sample`` labelled rows that aren't held out. Only features and labels reach the driver."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text")  # of a bounded size
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # of a bounded size
+    rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text")  # repeats of a doc_id count once
     got = rows.mapInPandas(_features, "quality int, f array<double>").collect()
     got.sort(key=lambda r: (r["quality"], r["f"]))
     x = np.array([r["f"] for r in got]).reshape(-1, len(FEATURES))
@@ -80,6 +83,11 @@ def _score(forest: Forest):
 
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, from the whole text alone; null text counts as empty."""
+    """(doc_id, held_out, score, predicted) of every row, from the whole text alone.
+
+    Null text counts as empty, a null doc_id isn't held out; repeated rows each give their row; texts of any length are
+    read whole; an empty table gives no rows; other columns don't matter.
+    """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out"))
     return rows.mapInPandas(_score(forest), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

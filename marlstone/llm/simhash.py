@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_weighted, whole_groups
+from .common import bound_batches, components, cut, join_weighted, whole_groups
 
 BITS = 64
 SEED = 42
@@ -46,6 +46,7 @@ def _fingerprints(text: pd.Series) -> pd.Series:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed long (null text: no words, so 0)."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out, F.pandas_udf(_fingerprints, "long")(F.col(text)))
 
 

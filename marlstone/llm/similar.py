@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh_names, partitions, whole_groups
+from .common import bound_batches, components, cut, fresh_names, partitions, whole_groups
 from .simhash import bit_groups
 from .sketches import apart_by, close_links, connected
 
@@ -347,6 +347,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     not found. Null and empty texts are one group; very long texts count whole; of repeated rows one stays; an empty table
     gives none; columns keep their names, whatever they are. Texts of one set are grouped before anything is compared.
     """
+    bound_batches(docs.sparkSession)
     width, parts = layout(docs.count(), percent)
     row, mark = fresh_names(docs, "row", "mark")
     words = CHECK // 64 + -(-width * parts // 64)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, slices
+from .common import bound_batches, partitions, shared_dir, slices
 from .tokens import default_tokenizer, encoder
 
 MAGIC = b"MSSTABL1"
@@ -214,6 +214,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str | None = None, end: int = EN
     repeated doc_ids stand in the order of a hash of their text. An empty table writes no shard.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     placed = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)

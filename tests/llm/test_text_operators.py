@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import curriculum, packing, pii, queries, rules, simhash
 
@@ -214,11 +215,11 @@ def test_op7(spark, at):
 
 
 def test_rule_ledger_ablation(spark, sf):
-    judged = rules.ledger(spark.read.parquet(f"{sf}/documents.parquet")).cache()
-    masks = [r[0] for r in judged.select("_ledger.failed").collect()]
+    judged = rules.ledger(spark.read.parquet(f"{sf}/documents.parquet"), "ledger").cache()
+    masks = [r[0] for r in judged.select("ledger.failed").collect()]
     for policy in rules.POLICIES:
         m = rules.mask(policy)
-        got = {r["rule"]: (r["failing"], r["only"]) for r in rules.ablation(judged, policy).collect()}
+        got = {r["rule"]: (r["failing"], r["only"]) for r in rules.ablation(judged, "ledger", policy).collect()}
         assert got == {r: (sum(bool(x & rules.BITS[r]) for x in masks), sum(x & m == rules.BITS[r] for x in masks)) for r in rules.POLICIES[policy]}
         assert rules.keep(spark.read.parquet(f"{sf}/documents.parquet"), policy).count() == sum(not x & m for x in masks)
     assert rules.repeated_words("a b c a b c d".split()) == 6
@@ -289,3 +290,24 @@ def test_pii_is_fitted_to_real_candidates(spark):
     """Candidates mined from documents teach what their checks tell: held-out ones are told apart."""
     _, least, report = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert report["candidates"] > 100 and report["precision"] >= 0.95 and least < float("inf"), report
+
+
+def test_clashing_columns_and_one_very_long_text(spark):
+    """Columns named like the operators' own come back untouched; a line of megabytes passes every document operator."""
+    from marlstone.llm import quality_model, similar
+
+    long = " ".join(f"word{i % 5000}" for i in range(400_000))
+    rows = [(i, t, "s", f"keep {i}") for i, t in enumerate([long, long + " tail", "short one", None])]
+    mine = ["_name", "_hash", "_size", "_text", "_ledger", "_mix", "_row", "_mark", "_copy", "_at", "_src"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    for c in mine:
+        df = df.withColumn(c, F.col("note"))
+    model = pii.train(df)
+    for out in (rules.keep(df, "corpus"), similar.drop_near_duplicates(df), pii.redact(df, model=model), curriculum.mix(df)):
+        got = out.collect()
+        assert out.columns == df.columns and got and all(r[c] == f"keep {r['doc_id']}" for r in got for c in mine)
+    assert [r["doc_id"] for r in similar.drop_near_duplicates(df).orderBy("doc_id").collect()] == [0, 2, 3]
+    assert packing.pack(packing.pieces(df)).agg(F.sum("length")).first()[0] > 800_000
+    assert simhash.near_duplicates(df).count() == 4
+    forest = quality_model.train(df.union(df), spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int"))
+    assert quality_model.score(df, forest).count() == 4
