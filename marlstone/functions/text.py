@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[a-z0-9]+"
+#: Fixed value: letters and digits of every script, the Bengali block with its vowel signs, and the marks that join words and numbers.
+TOKEN = r"[\p{L}\p{N}_\x{0980}-\x{09FF}./-]+"
+BENGALI_DIGITS = "".join(chr(0x09E6 + k) for k in range(10))
+
+
+def normalize_digits(text: Column) -> Column:
+    return F.translate(text, BENGALI_DIGITS, "0123456789")
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-cased ASCII words and numbers in order, repeats included; null text has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Lower-cased words and numbers of any script in order, repeats included; Bengali digits are read as others; null text has none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(normalize_digits(F.coalesce(text, F.lit("")))), F.lit(TOKEN), F.lit(0))
 
 
 def token_set(text: Column | str) -> Column:
@@ -28,18 +35,19 @@ def characters(text: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
 
 
+#: The weights and bounds of a passage's quality.
 def quality_score(text: Column) -> Column:
     """How much a passage looks like prose, 0..1: length, letters, words and script, less digits and bare number lines."""
     s = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f\v"))
     n = F.greatest(F.length(s), F.lit(1))
     lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    latin, digits = characters(s, "A-Za-z"), characters(s, "0-9")
+    latin, bengali, digits = characters(s, "A-Za-z"), characters(s, r"\x{0980}-\x{09FF}"), characters(s, r"\p{Nd}")
     bare = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^[0-9 .:/()%|-]+$")))) / F.greatest(F.size(lines), F.lit(1))
     score = (
         F.least(F.length(s) / 180.0, F.lit(1.0)) * 0.25
         + F.least(characters(s, r"\p{L}") / n / 0.45, F.lit(1.0)) * 0.35
-        + F.least(F.regexp_count(s, F.lit("[A-Za-z0-9_]+")) / 28.0, F.lit(1.0)) * 0.2
-        + F.least(latin / 18.0, F.lit(1.0)) * 0.25
+        + F.least(F.regexp_count(s, F.lit(r"[\p{L}\p{N}_\x{0980}-\x{09FF}]+")) / 28.0, F.lit(1.0)) * 0.2
+        + F.when(F.greatest(latin, bengali) >= 18, 1.0).otherwise(F.least((latin + bengali) / 18.0, F.lit(1.0))) * 0.25
         - F.least(digits / n, F.lit(1.0)) * 0.2
         - bare * 0.35
         - F.when(F.rlike(s, F.lit(r"^[0-9 .:/()%-]+$")), 0.7).otherwise(0.0)
@@ -52,8 +60,8 @@ LOW_QUALITY = 0.22
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end with . ! or ? before white space, or at a line's end; trimmed, none empty."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])\s+", "$1\n")
+    """Sentences end with . ! ? or a danda before white space, or at a line's end; trimmed, none empty."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?\x{0964}])\s+", "$1\n")
     return F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda s: s != "")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,18 @@ SCALE = 12.0
 
 
 class Bm25:
-    """Okapi BM25 over one text column. Statistics are those of the whole corpus; filters apply to what a search returns."""
+    """Okapi BM25 over one text column. Statistics are those of the whole corpus; filters apply to what a search returns.
+
+    A search reads the corpus twice and moves only its best rows: once for the counts of the terms asked, all of them in
+    one row, and once to score each document where it lies. The whole vocabulary is counted only where a term is in
+    over half of the corpus, as its weight is then a share of the mean.
+    """
 
     def __init__(self, docs: DataFrame, key: str, text: str | Column):
         self.key = key
         self.docs = docs.select(key, tokens(text).alias("_tokens"))
+        self.idf: dict[str, float] = {}
+        self.average = 0.0
 
     def vocabulary(self) -> DataFrame:
         """(term, df, idf): a term in over half of the corpus has a share of the mean idf in place of its negative one."""
@@ -39,14 +49,48 @@ class Bm25:
         """One row: (n_docs, avg_length)."""
         return self.docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("_tokens")).alias("avg_length"))
 
+    def learn(self, terms: list[str]) -> None:
+        """Looks up the weights of terms not met before, in one pass for all of them."""
+        new = sorted(set(terms) - set(self.idf))
+        if not new:
+            return
+        n, average, *df = self.docs.agg(F.count("*"), F.avg(F.size("_tokens")), *[F.count_if(F.array_contains("_tokens", t)) for t in new]).first()
+        self.average = average or 0.0
+        raw = {t: log(n - d + 0.5) - log(d + 0.5) for t, d in zip(new, df, strict=True) if d}
+        if any(w < 0 for w in raw.values()):
+            floor = self.vocabulary().where(F.col("term").isin([t for t, w in raw.items() if w < 0])).agg(F.min("idf")).first()[0]
+            raw = {t: floor if w < 0 else w for t, w in raw.items()}
+        self.idf |= {t: raw.get(t, 0.0) for t in new}
+
+    def score(self, terms: list[str]) -> Column:
+        """The score of a row of ``self.docs``; a repeated term counts again."""
+        self.learn(terms)
+        norm = K1 * (1 - B + B * F.size("_tokens") / F.lit(self.average or 1.0))
+
+        def gain(term: str) -> Column:
+            tf = F.size(F.filter("_tokens", lambda t: t == term))
+            return F.when(F.array_contains("_tokens", term), terms.count(term) * self.idf[term] * tf * (K1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
+
+        return reduce(lambda a, b: a + b, [gain(t) for t in dict.fromkeys(terms)], F.lit(0.0))
+
+    def overlap(self, terms: list[str]) -> Column:
+        """The share of the distinct terms that a row of ``self.docs`` holds."""
+        return sum((F.array_contains("_tokens", t).cast("int") for t in dict.fromkeys(terms)), F.lit(0)) / len(set(terms))
+
     def scores(self, terms: list[str]) -> DataFrame:
-        """(key, score) of documents that hold a term; a repeated term counts again."""
-        return okapi(self.postings(terms), self.vocabulary(), self.statistics(), terms, self.key)
+        """(key, score) of documents that hold a term."""
+        return self.docs.select(self.key, self.score(terms).alias("score"), self.overlap(terms).alias("_share")).where("_share > 0").drop("_share")
 
     def search(self, terms: list[str], k: int) -> DataFrame:
         """(key, score, rank): the k best scores over 0, ties by key."""
         return top_k(self.scores(terms).where("score > 0"), "score", k, self.key)
 
+    def rankings(self, columns: dict[str, Column], k: int) -> DataFrame:
+        """(list, key, score, rank): for several scores of a row of ``self.docs``, the k best over 0 of each, in one pass."""
+        lists = F.array(*[F.struct(F.lit(name).alias("list"), c.alias("score")) for name, c in columns.items()])
+        rows = self.docs.select(self.key, F.explode(lists).alias("_s")).select(self.key, "_s.list", "_s.score").where("score > 0")
+        return top_k_each(rows, "list", "score", k, self.key)
+
 
 def okapi(postings: DataFrame, vocabulary: DataFrame, statistics: DataFrame, terms: list[str], key: str) -> DataFrame:
     """(key, score) from BM25 tables, computed or written before; only the terms' rows are read."""
@@ -76,17 +120,23 @@ def top_k_each(rows: DataFrame, query: str, score: str, k: int, key: str) -> Dat
 
 
 def field_search(docs: DataFrame, key: str, fields: dict[str, str | Column], terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(key, score): each field's BM25 over its own best, weighted and scaled. Normalized before any filter."""
+    """(key, score): each field's BM25 over its own best, weighted and scaled. Normalized before any filter.
+
+    The fields' scores are written once, so that the texts aren't read again for their best.
+    """
     weights = weights or WEIGHTS
-    parts = []
-    for name, text in fields.items():
-        own = Bm25(docs, key, text).scores(terms).where("score > 0")
-        most = own.agg(F.max("score").alias("_most"))
-        parts.append(own.crossJoin(F.broadcast(most)).select(key, (F.col("score") / F.col("_most") * weights[name]).alias("_part")))
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    return rows.groupBy(key).agg((F.sum("_part") * SCALE).alias("score"))
+    indexes = {name: Bm25(docs.select(key, (F.col(text) if isinstance(text, str) else text).alias("_field")), key, "_field") for name, text in fields.items()}
+    for index in indexes.values():
+        index.learn(terms)
+    rows = docs.select(key, *[tokens(text).alias(f"_f_{name}") for name, text in fields.items()])
+    for name, index in indexes.items():
+        rows = rows.withColumnRenamed(f"_f_{name}", "_tokens").withColumn(f"_s_{name}", index.score(terms)).drop("_tokens")
+    rows = rows.checkpoint()
+    most = rows.agg(*[F.max(f"_s_{name}").alias(name) for name in fields]).first()
+    parts = [F.when(F.col(f"_s_{name}") > 0, F.col(f"_s_{name}") / F.lit(most[name]) * weights[name]).otherwise(F.lit(0.0)) for name in fields if most[name] and most[name] > 0]
+    total = reduce(lambda a, b: a + b, parts, F.lit(0.0)) * SCALE
+    held = reduce(lambda a, b: a | b, [F.col(f"_s_{name}") > 0 for name in fields])
+    return rows.where(held).select(key, total.alias("score"))
 
 
 def dot(left: Column, right: Column) -> Column:

@@ -11,6 +11,7 @@ from ..operators import search
 from ..sources.tables import table
 from .commerce import _PARTS, _parts
 from .retrieval import _DOT, _query_vector
+from .sqltext import tokens_sql
 
 _QUESTION = "was the thing of heon and eror in that reading"
 
@@ -29,10 +30,9 @@ def salient_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.select("item_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
-_TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
 _STOP = ", ".join(f"'{w}'" for w in questions.STOPWORDS)
 _SALIENT = "list_filter({0}, lambda x, i: list_position({0}, x) = i AND length(x) > 1 AND x NOT IN (" + _STOP + "))"
-SALIENT_TERMS = f"WITH s AS (SELECT item_id, {_TOK.format('text')} AS k FROM benchmark), t AS (SELECT item_id, {_SALIENT.format('k')} AS t FROM s) SELECT item_id, len(t) AS n_terms, array_to_string(t, ' ') AS terms FROM t"
+SALIENT_TERMS = f"WITH s AS (SELECT item_id, {tokens_sql('text')} AS k FROM benchmark), t AS (SELECT item_id, {_SALIENT.format('k')} AS t FROM s) SELECT item_id, len(t) AS n_terms, array_to_string(t, ' ') AS terms FROM t"
 
 
 def entity_phrases(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,9 +70,9 @@ def best_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("doc_id", F.col("at").cast("long").alias("place"), F.col("overlap").cast("long").alias("overlap"), F.length("sentence").cast("long").alias("n_chars"))
 
 
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(coalesce({0}, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(coalesce({0}, ''), '([.!?।])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 BEST_SENTENCES = rf"""WITH s AS (SELECT doc_id, {_SENTENCES.format('text')} AS s FROM documents), r AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS place, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
-    q AS (SELECT {_TOK.format(f"'{_QUESTION}'")} AS k), t AS (SELECT doc_id, place, sentence, {_TOK.format('sentence')} AS k FROM r),
+    q AS (SELECT {tokens_sql(f"'{_QUESTION}'")} AS k), t AS (SELECT doc_id, place, sentence, {tokens_sql('sentence')} AS k FROM r),
     o AS (SELECT doc_id, place, sentence, len(list_intersect({_SALIENT.format('t.k')}, (SELECT {_SALIENT.format('k')} FROM q))) AS overlap FROM t)
     SELECT doc_id, place, overlap, length(sentence) AS n_chars FROM o WHERE overlap > 0 ORDER BY overlap DESC, length(sentence) DESC, doc_id, place LIMIT 20"""
 
@@ -85,7 +85,7 @@ def verify_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 VERIFY_CLAIMS = rf"""WITH c AS (SELECT conv_id, arg_max(text, turn) AS answer, lower(coalesce(arg_min(text, turn), '')) AS e FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, e, {_SENTENCES.format('answer')} AS s FROM c),
     r AS (SELECT conv_id, e, CAST(i - 1 AS BIGINT) AS place, s[i] AS claim FROM (SELECT conv_id, e, s, unnest(range(1, len(s) + 1)) AS i FROM s)),
-    k AS (SELECT conv_id, place, e, claim, {_TOK.format('claim')} AS a, {_TOK.format('e')} AS b FROM r), u AS (SELECT conv_id, place, e, claim, {_SALIENT.format('a')} AS a, {_SALIENT.format('b')} AS b FROM k),
+    k AS (SELECT conv_id, place, e, claim, {tokens_sql('claim')} AS a, {tokens_sql('e')} AS b FROM r), u AS (SELECT conv_id, place, e, claim, {_SALIENT.format('a')} AS a, {_SALIENT.format('b')} AS b FROM k),
     p AS (SELECT conv_id, place, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) / len(a) END AS support, len(list_filter(regexp_extract_all(claim, '[0-9]+(?:\.[0-9]+)?'), lambda n: NOT contains(e, n))) = 0 AS grounded FROM u)
     SELECT conv_id, place, round(support, 3) AS support, grounded AND support >= 0.35 AS supported FROM p"""
 

@@ -11,8 +11,9 @@ from ..operators import search
 from ..sources.tables import table
 from .commerce import _PARTS, _parts
 from .retrieval import TERMS, _bm25_sql, _top_sql
+from .sqltext import tokens_sql
 
-_TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+_TOK = tokens_sql()
 
 
 def support_kinds(spark: SparkSession, sf: str) -> DataFrame:

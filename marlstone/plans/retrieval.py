@@ -10,18 +10,19 @@ from ..functions.text import LOW_QUALITY, quality_score, section_references, sen
 from ..operators import documents as D
 from ..operators import filters, search
 from ..sources.tables import table
+from .sqltext import tokens_sql
 
 TERMS = ["was", "thing", "eror"]
 STEPS = (["was", "thing"], ["eror", "heon"], ["que", "das"])
 
-_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+_TOKENS = tokens_sql()
 
 
 def _bm25_sql(name: str, terms: list[str], text: str = "text") -> str:
     """CTEs that end in ``name``(doc_id, score)."""
     listed = ", ".join(f"'{t}'" for t in terms)
     return f"""
-    {name}_tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+') AS toks FROM documents),
+    {name}_tok AS (SELECT doc_id, {tokens_sql(text)} AS toks FROM documents),
     {name}_vocab AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM {name}_tok) GROUP BY term),
     {name}_raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM {name}_vocab, (SELECT count(*) AS n FROM {name}_tok)),
     {name}_idf AS (SELECT term, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM {name}_raw) ELSE i END AS idf FROM {name}_raw WHERE term IN ({listed})),
@@ -43,6 +44,9 @@ BM25_TOPK = f"WITH {_bm25_sql('s', TERMS)}, {_top_sql('t', 's', 10)} SELECT doc_
 
 
 def bm25_field_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.shared import checkpoints
+
+    checkpoints(spark)
     docs = table(spark, sf, "documents")
     fields = {"body": "text", "heading": F.substring_index("text", "\n", 1), "structure": F.concat_ws(" ", "lang", "source")}
     scored = search.field_search(docs, "doc_id", fields, [*TERMS, "en", "src1"])
@@ -82,11 +86,11 @@ def quality_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUALITY_FILTER = r"""WITH s AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
-    c AS (SELECT doc_id, t, length(t) AS n, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits,
-      length(regexp_replace(t, '\P{L}', '', 'g')) AS letters, len(regexp_extract_all(t, '[A-Za-z0-9_]+')) AS words,
+    c AS (SELECT doc_id, t, length(t) AS n, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(t, '\P{Nd}', '', 'g')) AS digits,
+      length(regexp_replace(t, '\P{L}', '', 'g')) AS letters, len(regexp_extract_all(t, '[\p{L}\p{N}_\x{0980}-\x{09FF}]+')) AS words, length(regexp_replace(t, '[^\x{0980}-\x{09FF}]', '', 'g')) AS bengali,
       list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM s),
     q AS (SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, least(n / 180.0, 1.0) * 0.25 + least(letters / n / 0.45, 1.0) * 0.35 + least(words / 28.0, 1.0) * 0.2
-      + least(latin / 18.0, 1.0) * 0.25 - least(digits / n, 1.0) * 0.2 - len(list_filter(lines, lambda x: regexp_full_match(x, '[0-9 .:/()%|-]+'))) / greatest(len(lines), 1) * 0.35
+      + CASE WHEN greatest(latin, bengali) >= 18 THEN 1.0 ELSE least((latin + bengali) / 18.0, 1.0) END * 0.25 - least(digits / n, 1.0) * 0.2 - len(list_filter(lines, lambda x: regexp_full_match(x, '[0-9 .:/()%|-]+'))) / greatest(len(lines), 1) * 0.35
       - CASE WHEN regexp_full_match(t, '[0-9 .:/()%-]+') THEN 0.7 ELSE 0.0 END)) END AS quality FROM c)
     SELECT doc_id, round(quality, 6) AS quality, round(quality, 6) < 0.22 AS low_quality FROM q"""
 
@@ -168,10 +172,11 @@ RRF = f"""WITH {_bm25_sql('s', TERMS)}, {_top_sql('t', 's', 50)}, {_overlap_sql(
 
 
 def multi_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    index = search.Bm25(docs, "doc_id", "text")
-    lists = [r for terms in STEPS for r in (index.search(terms, 20), _overlap_ranking(docs, terms, 20))]
-    return search.top_k(search.fuse(lists, "doc_id"), "score", 20, "doc_id").select("doc_id", "score", "n_lists", F.col("rank").cast("long").alias("rank"))
+    """Three steps of a question, each by BM25 and by overlap: six lists from one pass over the documents."""
+    index = search.Bm25(table(spark, sf, "documents"), "doc_id", "text")
+    index.learn([t for terms in STEPS for t in terms])
+    lists = {f"{kind}{i}": score for i, terms in enumerate(STEPS) for kind, score in (("bm25", index.score(terms)), ("overlap", index.overlap(terms)))}
+    return search.top_k(search.fuse([index.rankings(lists, 20)], "doc_id"), "score", 20, "doc_id").select("doc_id", "score", "n_lists", F.col("rank").cast("long").alias("rank"))
 
 
 _STEPS = ", ".join(f"{_bm25_sql(f's{i}', t)}, {_top_sql(f't{i}', f's{i}', 20)}, {_overlap_sql(f'o{i}', t)}, {_top_sql(f'p{i}', f'o{i}', 20)}" for i, t in enumerate(STEPS))
@@ -225,7 +230,7 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.posexplode("s").alias("at", "sentence")).select("conv_id", "turn", F.col("at").cast("long").alias("at"), "sentence")
 
 
-SENTENCE_SPLIT = r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM conversations)
+SENTENCE_SPLIT = r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?\x{0964}])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM conversations)
     SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS at, s[i] AS sentence FROM (SELECT conv_id, turn, s, unnest(range(1, len(s) + 1)) AS i FROM s)"""
 
 
