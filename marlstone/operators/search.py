@@ -119,24 +119,31 @@ def top_k_each(rows: DataFrame, query: str, score: str, k: int, key: str) -> Dat
     return rows.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def field_search(docs: DataFrame, key: str, fields: dict[str, str | Column], terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """(key, score): each field's BM25 over its own best, weighted and scaled. Normalized before any filter.
+def field_parts(docs: DataFrame, key: str, fields: dict[str, str | Column], terms: list[str]) -> DataFrame:
+    """(key, a column for each field): each field's BM25 over its own best, for documents with any.
 
     The fields' scores are written once, so that the texts aren't read again for their best.
     """
-    weights = weights or WEIGHTS
     indexes = {name: Bm25(docs.select(key, (F.col(text) if isinstance(text, str) else text).alias("_field")), key, "_field") for name, text in fields.items()}
     for index in indexes.values():
         index.learn(terms)
     rows = docs.select(key, *[tokens(text).alias(f"_f_{name}") for name, text in fields.items()])
     for name, index in indexes.items():
-        rows = rows.withColumnRenamed(f"_f_{name}", "_tokens").withColumn(f"_s_{name}", index.score(terms)).drop("_tokens")
+        rows = rows.withColumnRenamed(f"_f_{name}", "_tokens").withColumn(name, index.score(terms)).drop("_tokens")
     rows = rows.checkpoint()
-    most = rows.agg(*[F.max(f"_s_{name}").alias(name) for name in fields]).first()
-    parts = [F.when(F.col(f"_s_{name}") > 0, F.col(f"_s_{name}") / F.lit(most[name]) * weights[name]).otherwise(F.lit(0.0)) for name in fields if most[name] and most[name] > 0]
-    total = reduce(lambda a, b: a + b, parts, F.lit(0.0)) * SCALE
-    held = reduce(lambda a, b: a | b, [F.col(f"_s_{name}") > 0 for name in fields])
-    return rows.where(held).select(key, total.alias("score"))
+    most = rows.agg(*[F.max(name).alias(name) for name in fields]).first()
+    held = reduce(lambda a, b: a | b, [F.col(name) > 0 for name in fields])
+    return rows.where(held).select(key, *[F.when(F.col(name) > 0, F.col(name) / F.lit(most[name] or 1.0)).otherwise(F.lit(0.0)).alias(name) for name in fields])
+
+
+def weighted(weights: dict[str, float]) -> Column:
+    """The score of a row of ``field_parts``."""
+    return reduce(lambda a, b: a + b, [F.col(name) * w for name, w in weights.items()]) * SCALE
+
+
+def field_search(docs: DataFrame, key: str, fields: dict[str, str | Column], terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """(key, score): each field's BM25 over its own best, weighted and scaled. Normalized before any filter."""
+    return field_parts(docs, key, fields, terms).select(key, weighted(weights or WEIGHTS).alias("score"))
 
 
 def dot(left: Column, right: Column) -> Column:
