@@ -129,18 +129,21 @@ def sibling_links(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("source"), F.lead(node).over(w).alias("target"), F.lit("SIBLING_CONTEXT").alias("relation")).where("target IS NOT NULL")
 
 
-def ancestor(nodes: DataFrame, node: str, parent: str, kind: str, wanted: str, depth: int = 12) -> DataFrame:
-    """(node, ancestor): the first node of type ``wanted`` on each node's way up. As many joins as the tree is deep."""
+def ancestor(nodes: DataFrame, node: str, parent: str, kind: str, wanted: str) -> DataFrame:
+    """(node, ancestor): the first node of type ``wanted`` on each node's way up. As many joins as the tree is deep; a circle is refused."""
     up = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"), F.col(kind).alias("_k"))
     open_, done = nodes.select(F.col(node).alias("node"), F.col(parent).alias("_at")), None
-    for _ in range(depth):
+    most = nodes.count()
+    for turn in range(most + 1):
         met = open_.join(up, open_["_at"] == up["_n"]).checkpoint()
         hit = met.where(F.col("_k") == wanted).select("node", F.col("_n").alias("ancestor"))
         done = hit if done is None else done.unionByName(hit)
         open_ = met.where((F.col("_k") != wanted) & F.col("_p").isNotNull()).select("node", F.col("_p").alias("_at"))
         if not open_.take(1):
             break
-    return done
+        if turn == most:
+            raise ValueError("nodes go round in a circle")
+    return done if done is not None else open_.select("node", F.col("_at").alias("ancestor")).where("false")
 
 
 def claim_support(claims: DataFrame, claim: str, claim_text: str, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -303,13 +303,16 @@ RATE_LIMIT = """SELECT event_id, user_id, n AS in_window FROM (SELECT event_id,
 
 
 def regression_diff(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "labels")
-    base = labels.where("doc_id % 9 <> 0").select("doc_id", (F.col("quality") == 1).alias("passed"))
-    now = labels.where("doc_id % 10 <> 0").select("doc_id", ((F.col("quality") == 1) != (F.col("doc_id") % 4 == 0)).alias("passed"))
+    """Labels of quality as one run, and whether a document isn't toxic and isn't short as the next; each knows documents that the other doesn't."""
+    labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents")
+    base = labels.where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).alias("passed"))
+    now = docs.where("n_chars > 400").join(labels.where("toxic IS NOT NULL"), "doc_id").select("doc_id", ((F.col("toxic") == 0) & (F.col("n_chars") > 1500)).alias("passed"))
+    now = now.unionByName(docs.join(labels, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("passed")))
     return A.regression_diff(now, base, "doc_id").groupBy("change").agg(F.count("*").alias("n_cases"))
 
 
-REGRESSION_DIFF = """WITH b AS (SELECT doc_id, quality = 1 AS passed FROM labels WHERE doc_id % 9 <> 0), c AS (SELECT doc_id, (quality = 1) <> (doc_id % 4 = 0) AS passed FROM labels WHERE doc_id % 10 <> 0)
+REGRESSION_DIFF = """WITH b AS (SELECT doc_id, quality = 1 AS passed FROM labels WHERE quality IS NOT NULL),
+    c AS (SELECT doc_id, toxic = 0 AND n_chars > 1500 AS passed FROM documents JOIN labels USING (doc_id) WHERE n_chars > 400 AND toxic IS NOT NULL UNION ALL SELECT doc_id, true FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
     SELECT CASE WHEN b.passed IS NULL THEN 'new' WHEN c.passed IS NULL THEN 'removed' WHEN b.passed = c.passed THEN 'unchanged' WHEN c.passed THEN 'improved' ELSE 'regressed' END AS change, count(*) AS n_cases
     FROM c FULL JOIN b USING (doc_id) GROUP BY ALL"""
 

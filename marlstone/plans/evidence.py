@@ -124,13 +124,14 @@ MERGE_HITS = f"""WITH u AS (SELECT p_partkey, 'cheap' AS channel, round(p_size /
 
 
 def link_faults(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as links from orders to parts, against the parts of small keys."""
+    """Order lines as links from orders to parts, against the orders that are closed and the parts that suppliers share a key with."""
     links = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    nodes = table(spark, sf, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("k")).unionByName(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")))
+    nodes = table(spark, sf, "part").join(table(spark, sf, "supplier"), F.col("p_partkey") == F.col("s_suppkey"), "left_semi").select(F.col("p_partkey").alias("k"))
+    nodes = nodes.unionByName(table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k")))
     return E.link_faults(links, "l_orderkey", "l_partkey", nodes, "k")
 
 
-LINK_FAULTS = """WITH n AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 <> 0 UNION SELECT o_orderkey FROM orders),
+LINK_FAULTS = """WITH n AS (SELECT p_partkey AS k FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier) UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'),
     f AS (SELECT 'unknown_source' AS fault, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM n) UNION ALL SELECT 'unknown_target', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT k FROM n)
       UNION ALL SELECT 'duplicate', coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1))
     SELECT fault, CAST(n AS BIGINT) AS n FROM f WHERE n > 0"""
@@ -197,15 +198,15 @@ SPEC_CREDIT = """WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p
 
 
 def fuzzy_corrections(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of conversations against the words of the benchmark."""
-    word = lambda t: table(spark, sf, t).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,9}"), F.lit(0)))).alias("w"))
-    found = fuzzy.corrections(word("conversations"), "w", word("benchmark"), "w", most=1)
+    """Whole words of what users ask against those of the benchmark."""
+    word = lambda rows: rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
+    found = fuzzy.corrections(word(table(spark, sf, "conversations").where("role = 'user'")), "w", word(table(spark, sf, "benchmark")), "w")
     return found.select("word", "correction", F.col("distance").cast("long").alias("distance"))
 
 
-FUZZY_CORRECTIONS = """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,9}')) AS known FROM benchmark), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,9}')) AS word FROM conversations),
-    p AS (SELECT word, known AS correction, levenshtein(word, known) AS distance FROM w JOIN v ON abs(length(word) - length(known)) <= 1 WHERE word NOT IN (SELECT known FROM v))
-    SELECT word, correction, CAST(distance AS BIGINT) AS distance FROM p WHERE distance <= 1 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, correction) = 1"""
+FUZZY_CORRECTIONS = """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS known FROM benchmark), w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM conversations WHERE role = 'user'),
+    p AS (SELECT word, known AS correction, levenshtein(word, known) AS distance FROM w JOIN v ON abs(length(word) - length(known)) <= 2 WHERE word NOT IN (SELECT known FROM v))
+    SELECT word, correction, CAST(distance AS BIGINT) AS distance FROM p WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, correction) = 1"""
 
 
 def fuzzy_words(spark: SparkSession, sf: str) -> DataFrame:

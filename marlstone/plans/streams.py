@@ -18,12 +18,13 @@ STREAM_FUNNEL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS
 
 
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of each conversation through keyed state."""
-    turns = funnel.read_table(spark, f"{sf}/conversations.parquet").select("conv_id", (F.col("role") == "nobody").alias("failed"))
-    rows = funnel.run_updates(funnel.session_state(turns, "conv_id", "failed"), funnel.scratch(spark, "sessions"), ["conv_id"])
-    return rows.select("conv_id", "n_turns", "failures")
+    """Each user's events through keyed state: how many, and the errors in a row at their end."""
+    events = funnel.read_table(spark, f"{sf}/events.parquet").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"))
+    rows = funnel.run_updates(funnel.session_state(events, "user_id", "failed", "event_id"), funnel.scratch(spark, "sessions"), ["user_id"])
+    return rows.select("user_id", "n_turns", "failures")
 
 
-STREAM_SESSIONS = "SELECT conv_id, count(*) AS n_turns, CAST(0 AS BIGINT) AS failures FROM conversations GROUP BY conv_id"
+STREAM_SESSIONS = """WITH l AS (SELECT user_id, max(event_id) FILTER (event_type IS DISTINCT FROM 'error') AS good FROM events GROUP BY user_id)
+    SELECT user_id, count(*) AS n_turns, count(*) FILTER (event_id > coalesce(good, -1)) AS failures FROM events JOIN l USING (user_id) GROUP BY user_id"""
 
 QUERIES = {"q_stream_funnel": (stream_funnel, STREAM_FUNNEL), "q_stream_sessions": (stream_sessions, STREAM_SESSIONS)}

@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import catalog
 from ..sources.tables import last_wins
 
 
+#: Folders among which the rows of a table kept by a stream are dealt: at most so many small broadcast rows.
+BUCKETS = 256
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a table's files, with ``ts`` as a timestamp."""
     return read_table(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -29,14 +33,14 @@ def windowed_funnel(events: DataFrame, window: str = "1 day", late: str = "1 hou
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def session_state(turns: DataFrame, key: str, failed: str) -> DataFrame:
-    """(key, n_turns, failures): after each batch, every key's turns so far and its failures in a row, by arrival."""
+def session_state(turns: DataFrame, key: str, failed: str, order: str) -> DataFrame:
+    """(key, n_turns, failures): after each batch, every key's turns so far and its failures in a row. Batches by arrival, rows of a batch by ``order``."""
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turns_, run = state.get if state.exists else (0, 0)
-        for batch in batches:
-            for bad in batch[failed]:
-                turns_, run = turns_ + 1, run + 1 if bad else 0
+        bad = pd.concat(list(batches)).sort_values(order)[failed].fillna(False).to_numpy(dtype=bool)
+        good = np.flatnonzero(~bad)
+        turns_, run = turns_ + len(bad), len(bad) - 1 - int(good[-1]) if len(good) else run + len(bad)
         state.update((turns_, run))
         yield pd.DataFrame({key: [name[0]], "n_turns": [turns_], "failures": [run]})
 
@@ -59,21 +63,40 @@ def run_updates(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
 
 
 def apply_changes(stream: DataFrame, path: str, key: str, order: str) -> None:
-    """Keeps a table in step with a change stream: each batch's last row of a key replaces the table's.
+    """Keeps a table in step with a change stream: of each key the last row by ``order`` stays, in whatever batch it came.
 
-    Versions are written beside one another and named by batch, so a repeated batch starts from the same version.
+    Rows are dealt to ``BUCKETS`` folders by a hash of their key; a batch rewrites only the folders that it touches, each as a
+    new version named by the batch, so a repeated batch starts from the same versions. ``current_rows`` reads the newest ones;
+    versions before the last two are of no more use and may be removed.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = last_wins(batch, [key], [order])
-        table = catalog.upsert(spark.read.parquet(f"{path}/table/{number - 1}"), new, key) if number else new
-        table.write.mode("overwrite").parquet(f"{path}/table/{number}")
+        new = last_wins(batch, [key], [order]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        held = versions(spark, path, number)
+        if held is not None:
+            touched = new.select("bucket").distinct()
+            new = last_wins(held.join(F.broadcast(touched), "bucket", "left_semi").select(*new.columns).unionByName(new), [key], [order])
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/table/version={number}")
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def versions(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """The newest rows of each bucket among the versions before a batch; none before the first. A file listing decides, no data is read for it."""
+    if not before:
+        return None
+    rows = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table").where(F.col("version") < before)
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("version")
+
+
+def current_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``apply_changes`` keeps."""
+    return versions(spark, path, 1 << 62).drop("bucket")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see."""
     from ..operators.shared import shared_folder

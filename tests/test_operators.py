@@ -119,7 +119,7 @@ def test_overlapping_equals_brute_force(spark):
 def test_packed_segments(spark):
     rows = spark.createDataFrame([(1, "a b c\nd e\nf\n\ng h i j k l m n"), (2, None), (3, "x")], "id long, t string")
     got = {(r["id"], r["piece"]): r["chunk"] for r in documents.packed_segments(rows, "id", "t", 2, 4, 6).collect()}
-    assert got == {(1, 0): "a b c d e", (1, 1): "f", (1, 2): "g h i j k l", (1, 3): "m n", (3, 0): "x"} or got[1, 0] == "a b c d e"
+    assert got == {(1, 0): "a b c d e", (1, 1): "f", (1, 2): "g h i j k l", (1, 3): "m n", (3, 0): "x"}
     assert all(len(c.split()) <= 6 for c in got.values())
     lines = spark.createDataFrame([("d", 1, "H1"), ("d", 2, None), ("d", 3, "H2"), ("d", 4, None)], "doc string, n int, head string")
     assert [r["heading"] for r in documents.carried_heading(lines, "doc", "n", F.col("head")).orderBy("n").collect()] == ["H1", "H1", "H2", "H2"]
@@ -142,8 +142,7 @@ def test_stream_changes_and_streaks(spark, tmp_path):
         spark.createDataFrame(rows, "id string, at int, v int").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema("id string, at int, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     funnel.apply_changes(stream, str(tmp_path / "out"), "id", "at")
-    last = max(int(p.name) for p in (tmp_path / "out/table").iterdir())
-    assert {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / f"out/table/{last}")).collect()} in ({"a": 7, "b": 1, "c": 3}, {"a": 1, "b": 1, "c": 3})
+    assert {r["id"]: r["v"] for r in funnel.current_rows(spark, str(tmp_path / "out")).collect()} == {"a": 7, "b": 1, "c": 3}
     events = spark.createDataFrame([("u", 1, True), ("u", 2, True), ("u", 3, False), ("u", 4, True), ("w", 1, False)], "k string, n int, bad boolean")
     assert [tuple(r) for r in analytics.streaks(events, "k", ["n"], F.col("bad")).collect()] == [("u", 2, 2)]
 
