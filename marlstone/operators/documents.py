@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens, windows
 
+#: Bytes of the claims that a task holds at once.
+CLAIM_BYTES = 8 << 20
+
 
 def overlapping(docs: DataFrame, key: str, group: str, text: str, least: float = 0.82) -> DataFrame:
     """(group, a, b, overlap): pairs of different token sets of one group whose Jaccard is ``least`` or more; a < b.
@@ -17,12 +21,13 @@ def overlapping(docs: DataFrame, key: str, group: str, text: str, least: float =
     Equal sets are one, named by the smallest key. Sets that overlap so much share one of the rarest tokens of each, so
     only those prefixes are joined; and by size only sets that could reach the share meet.
     """
-    sets = docs.select(key, group, F.array_sort(token_set(text)).alias("_t")).where(F.size("_t") > 0)
-    sets = sets.groupBy(group, "_t").agg(F.min(key).alias(key))
+    sets = docs.select(key, group, F.transform(token_set(text), lambda w: F.xxhash64(w)).alias("_t")).where(F.size("_t") > 0).select(key, group, F.array_sort("_t").alias("_t"))
+    sets = sets.groupBy(group, "_t").agg(F.min(key).alias(key)).checkpoint()  # tokens as numbers: read three times, and moved twice
     rare = sets.select(group, F.explode("_t").alias("_w")).groupBy(group, "_w").agg(F.count("*").alias("_df"))
-    words = sets.select(group, key, F.size("_t").alias("_size"), F.explode("_t").alias("_w")).join(rare, [group, "_w"])
-    place = F.row_number().over(Window.partitionBy(group, key).orderBy("_df", "_w"))
-    prefix = words.withColumn("_at", place).where(F.col("_at") <= F.col("_size") - F.ceil(F.col("_size") * least) + 1)
+    words = sets.select(group, key, F.size("_t").alias("_size"), F.explode("_t").alias("_w")).join(rare.where("_df > 1"), [group, "_w"], "left")
+    held = words.groupBy(group, key).agg(F.first("_size").alias("_size"), F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(1)).alias("_df"), "_w"))).alias("_o"))
+    start = (F.col("_size") - F.ceil(F.col("_size") * least) + 1).cast("int")
+    prefix = held.select(group, key, "_size", F.explode(F.filter(F.slice("_o", F.lit(1), start), lambda x: x["_df"] > 1)).alias("_x")).select(group, key, "_size", F.col("_x._w").alias("_w"))
     a = prefix.select(group, "_w", F.col(key).alias("a"), F.col("_size").alias("_na"))
     b = prefix.select(group, "_w", F.col(key).alias("b"), F.col("_size").alias("_nb"))
     near = (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least) & (F.col("a") < F.col("b"))
@@ -149,14 +154,49 @@ def ancestor(nodes: DataFrame, node: str, parent: str, kind: str, wanted: str) -
 def claim_support(claims: DataFrame, claim: str, claim_text: str, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(claim, best_doc, support): the document with the largest share of the claim's tokens; ties to the smallest key.
 
-    Documents meet claims by tokens that both hold; tokens of no claim are dropped before the join.
+    Claims are taken in blocks of a bounded size, which every task holds; a task counts what its documents share with each
+    claim and passes on one best document a claim, so that no pairs of claims and documents are ever moved.
     """
-    asked = claims.select(claim, F.explode(token_set(claim_text)).alias("_w"))
-    sizes = claims.select(claim, F.size(token_set(claim_text)).alias("_n"))
-    held = docs.select(key, F.explode(token_set(text)).alias("_w")).join(asked.select("_w").distinct(), "_w", "left_semi")
-    common = held.join(asked, "_w").groupBy(claim, key).agg(F.count("*").alias("_c"))
-    best = common.groupBy(claim).agg(F.max_by(F.struct("_c", key), F.struct("_c", (-F.col(key)).alias("k"))).alias("_b"))
-    return best.join(sizes, claim).select(claim, F.col(f"_b.{key}").alias("best_doc"), F.round(F.col("_b._c") / F.col("_n"), 6).alias("support"))
+    asked = claims.select(claim, token_set(claim_text).alias("_t")).where(F.size("_t") > 0)
+    bytes_ = asked.agg(F.sum(F.length(F.array_join("_t", " ")) + 16)).first()[0] or 0
+    blocks = -(-bytes_ // CLAIM_BYTES)
+    kinds = dict(claims.dtypes)[claim], dict(docs.dtypes)[key]
+    held = docs.select(F.col(key).alias("_key"), token_set(text).alias("_t")).where(F.size("_t") > 0)
+    found = None
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64(claim), F.lit(blocks)) == b).collect()
+        part = held.mapInPandas(_most_shared([(r[0], r[1]) for r in block]), f"claim {kinds[0]}, doc {kinds[1]}, shared int, asked int")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return asked.select(claim, F.lit(None).cast(kinds[1]).alias("best_doc"), F.lit(0.0).alias("support")).where("false")
+    best = found.groupBy("claim").agg(F.min_by(F.struct("doc", "shared", "asked"), F.struct((-F.col("shared")).alias("s"), "doc")).alias("_b"))
+    return best.select(F.col("claim").alias(claim), F.col("_b.doc").alias("best_doc"), F.round(F.col("_b.shared") / F.col("_b.asked"), 6).alias("support"))
+
+
+def _most_shared(claims: list[tuple]):
+    """Over the documents of a task: for each claim the document that shares most of its tokens."""
+    number: dict[str, int] = {}
+    rows = [np.array([number.setdefault(t, len(number)) for t in words]) for _, words in claims]
+    of = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    starts = np.r_[0, np.cumsum(np.bincount(np.concatenate(rows), minlength=len(number)))]
+    of, names, sizes = of[order], [c for c, _ in claims], [len(r) for r in rows]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most, best = np.zeros(len(claims), dtype=np.int64), [None] * len(claims)
+        for batch in batches:
+            for doc, words in zip(batch["_key"].tolist(), batch["_t"], strict=True):
+                met = [number[t] for t in words if t in number]
+                if not met:
+                    continue
+                shared = np.bincount(np.concatenate([of[starts[k] : starts[k + 1]] for k in met]), minlength=len(claims))
+                for i in np.flatnonzero((shared >= most) & (shared > 0)).tolist():
+                    if shared[i] > most[i] or doc < best[i]:
+                        most[i], best[i] = shared[i], doc
+        some = [i for i, d in enumerate(best) if d is not None]
+        yield pd.DataFrame({"claim": [names[i] for i in some], "doc": [best[i] for i in some], "shared": most[some].astype("int32"), "asked": np.array([sizes[i] for i in some], dtype="int32")})
+
+    return run
 
 
 def token_statistics(docs: DataFrame, group: str, text: str) -> DataFrame:

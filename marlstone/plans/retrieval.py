@@ -104,6 +104,9 @@ TOKENIZE_STATS = f"""SELECT lang, count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT
 
 
 def jaccard_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.shared import checkpoints
+
+    checkpoints(spark)
     found = D.overlapping(table(spark, sf, "documents"), "doc_id", "source", "text")
     return found.select("source", F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.round("overlap", 6).alias("overlap"))
 
