@@ -165,6 +165,8 @@ def claim_support(claims: DataFrame, claim: str, claim_text: str, docs: DataFram
     found = None
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64(claim), F.lit(blocks)) == b).collect()
+        if not block:
+            continue
         part = held.mapInPandas(_most_shared([(r[0], r[1]) for r in block]), f"claim {kinds[0]}, doc {kinds[1]}, shared int, asked int")
         found = part if found is None else found.unionByName(part)
     if found is None:

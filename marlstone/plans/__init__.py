@@ -1,5 +1,5 @@
 """All registered queries: name to (function of session and table folder, SQL or None)."""
 
-from . import commerce, evidence, guides, ranking, records, retrieval, streams, vectors
+from . import chunks, commerce, evidence, guides, ranking, records, retrieval, streams, vectors
 
-QUERIES = {**retrieval.QUERIES, **commerce.QUERIES, **evidence.QUERIES, **guides.QUERIES, **ranking.QUERIES, **records.QUERIES, **streams.QUERIES, **vectors.QUERIES}
+QUERIES = {**retrieval.QUERIES, **commerce.QUERIES, **chunks.QUERIES, **evidence.QUERIES, **guides.QUERIES, **ranking.QUERIES, **records.QUERIES, **streams.QUERIES, **vectors.QUERIES}
