@@ -79,7 +79,7 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def slices(batch: pd.DataFrame, text: str = "text", chars: int = 2 << 20) -> Iterator[pd.DataFrame]:
+def slices(batch: pd.DataFrame, text: str = "text", chars: int = 1 << 19) -> Iterator[pd.DataFrame]:
     """``batch`` in pieces of about so many characters: Spark bounds the bytes of a batch, this what is made of them."""
     ends = batch[text].str.len().fillna(0).cumsum() // chars
     for _, piece in batch.groupby(ends.to_numpy(), sort=False):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, dense_rank, global_order
 
 SHARDS = 8
-#: Metadata by which documents are split; on equal widths the first is taken.
+#: Metadata by which documents are split; on equal widths the one that varies more is taken, then the first.
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 #: Bins of each histogram by which a median is narrowed down, and the share of a shard's bytes at which that ends.
 BINS, NEAR = 4096, 1e-4
@@ -47,56 +47,61 @@ def coordinates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "_tie", *codes)
 
 
-def leaf_of(node: Node) -> Column:
-    if not node.children:
-        return F.lit(node.first)
-    return F.when(F.col(f"_{node.dim}") < node.at, leaf_of(node.children[0])).otherwise(leaf_of(node.children[1]))
+def _joined(rows: DataFrame, table: list[tuple], columns: str) -> DataFrame:
+    """``rows`` with what ``table`` says of their node: a row for each open node, which every task holds."""
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, f"_leaf int, {columns}")), "_leaf")
 
 
-def grow(rows: DataFrame, leaves: int) -> Node:
-    """The tree for ``coordinates``: all nodes of a level are split in the same passes, and only histograms reach the driver."""
+def _code(dim: str = "_dim") -> Column:
+    return F.element_at(F.array(*[F.col(f"_{d}") for d in DIMENSIONS]), F.col(dim) + 1)
+
+
+def grow(rows: DataFrame, leaves: int) -> tuple[Node, DataFrame]:
+    """The tree for ``coordinates``, and the rows with ``_leaf``, their shard.
+
+    All nodes of a level are split in the same passes. Histograms stay with the tasks: a window over a node's bins finds the
+    one in which its median lies, and one row a node reaches the driver. Rows learn their node by a join with the level's
+    cuts and are cut once a level, so neither a plan nor an expression grows with the number of shards.
+    """
     root = Node(0, leaves)
-    level = [root]
+    level, placed = [root], rows.withColumn("_leaf", F.lit(0))
     while todo := [n for n in level if n.leaves > 1]:
-        placed = rows.withColumn("_leaf", leaf_of(root))
-        stats = {r["_leaf"]: r for r in placed.groupBy("_leaf").agg(F.sum("size").alias("bytes"), *[(F.max(f"_{d}") - F.min(f"_{d}")).alias(d) for d in DIMENSIONS]).collect()}
+        spans = [f(f"_{d}").alias(f"{w}_{d}") for d in DIMENSIONS for w, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev_pop))]
+        stats = {r["_leaf"]: r for r in placed.groupBy("_leaf").agg(F.sum("size").alias("bytes"), *spans).collect()}  # a row for each node
         seek = {}
         for n in todo:
             r = stats.get(n.first)
-            n.dim = max(DIMENSIONS, key=lambda d: r[d] >> _BITS) if r else DIMENSIONS[0]
+            n.dim = max(DIMENSIONS, key=lambda d: ((r[f"hi_{d}"] >> _BITS) - (r[f"lo_{d}"] >> _BITS), r[f"sd_{d}"])) if r else DIMENSIONS[0]
             n.at = 0
             if r:
-                goal = r["bytes"] * (n.leaves // 2) / n.leaves
-                seek[n.first] = [n, 0, 1 << 2 * _BITS + 1, 0, goal, NEAR * r["bytes"] / n.leaves]
+                seek[n.first] = [n, 0, 1 << 2 * _BITS + 1, 0, r["bytes"] * (n.leaves // 2) / n.leaves, NEAR * r["bytes"] / n.leaves]
         while seek:
-            code = lo = width = F.lit(None).cast("long")
-            for k, (n, a, b, *_) in seek.items():
-                here = F.col("_leaf") == k
-                code = F.when(here, F.col(f"_{n.dim}")).otherwise(code)
-                lo, width = F.when(here, F.lit(a)).otherwise(lo), F.when(here, F.lit(max(1, -(-(b - a) // BINS)))).otherwise(width)
-            bins = placed.where(code.isNotNull()).select("_leaf", "size", (code - lo).alias("_d"), width.alias("_w"))
-            bins = bins.where(f"_d >= 0 AND _d div _w < {BINS}").groupBy("_leaf", F.expr("_d div _w").alias("_bin")).agg(F.sum("size").alias("bytes"))
-            found: dict[int, list] = {}
-            for r in bins.collect():
-                found.setdefault(r["_leaf"], []).append((r["_bin"], r["bytes"]))
+            table = [(k, DIMENSIONS.index(n.dim), a, max(1, -(-(b - a) // BINS)), below, float(goal)) for k, (n, a, b, below, goal, _) in seek.items()]
+            bins = _joined(placed.select("_leaf", "size", *[f"_{d}" for d in DIMENSIONS]), table, "_dim int, _lo long, _w long, _below long, _goal double")
+            bins = bins.withColumn("_bin", F.expr("CASE WHEN {c} >= _lo THEN ({c} - _lo) div _w END".format(c="element_at(array(" + ", ".join(f"_{d}" for d in DIMENSIONS) + "), _dim + 1)")))
+            bins = bins.where(F.col("_bin") < BINS).groupBy("_leaf", "_bin").agg(F.sum("size").alias("bytes"), F.first("_below").alias("_below"), F.first("_goal").alias("_goal"))
+            upto = F.col("_below") + F.sum("bytes").over(Window.partitionBy("_leaf").orderBy("_bin"))
+            met = bins.withColumn("_upto", upto).groupBy("_leaf").agg(F.min(F.when(F.col("_upto") >= F.col("_goal"), F.struct("_bin", "bytes", "_upto"))).alias("b"), F.max("_upto").alias("all"))
+            found = {r["_leaf"]: r for r in met.collect()}  # a row for each node
             for k, (n, a, b, below, goal, near) in list(seek.items()):
                 w = max(1, -(-(b - a) // BINS))
-                for i, bytes_ in sorted(found.get(k, [])):
-                    if below + bytes_ >= goal:
-                        break
-                    below += bytes_
-                else:
-                    i, bytes_ = BINS, 0
+                hit = found[k]["b"] if k in found else None
+                i, bytes_, before = (hit["_bin"], hit["bytes"], hit["_upto"] - hit["bytes"]) if hit else (BINS, 0, found[k]["all"] if k in found else below)
                 if w == 1 or bytes_ <= near:  # cut before or after the bin, whichever is nearer
-                    n.at = a + (i + (2 * (goal - below) >= bytes_)) * w
+                    n.at = a + (i + (2 * (goal - before) >= bytes_)) * w
                     del seek[k]
                 else:
-                    seek[k] = [n, a + i * w, a + (i + 1) * w, below, goal, near]
+                    seek[k] = [n, a + i * w, a + (i + 1) * w, before, goal, near]
+        cuts = [(n.first, DIMENSIONS.index(n.dim), n.at, n.first + n.leaves // 2) for n in todo]
+        done = placed.join(F.broadcast(placed.sparkSession.createDataFrame([(n.first,) for n in todo], "_leaf int")), "_leaf", "left_anti")
+        split = _joined(placed, cuts, "_dim int, _at long, _right int")
+        split = split.withColumn("_leaf", F.when(_code() < F.col("_at"), F.col("_leaf")).otherwise(F.col("_right"))).drop("_dim", "_at", "_right")
+        placed = cut(split.unionByName(done))
         for n in todo:
             half = n.leaves // 2
             n.children = [Node(n.first, half), Node(n.first + half, n.leaves - half)]
         level = [c for n in todo for c in n.children]
-    return root
+    return root, placed
 
 
 def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
@@ -110,5 +115,5 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None
     if target_bytes:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    placed = rows.withColumn("shard", leaf_of(grow(rows, shards)).cast("int")).select("doc_id", "size", "text_crc32", "shard", "_tie")
+    placed = grow(rows, shards)[1].select("doc_id", "size", "text_crc32", F.col("_leaf").alias("shard"), "_tie")
     return dense_rank(global_order(placed, ["shard", "doc_id", "_tie", "size"]), ["shard"], "slot").drop("_tie")

@@ -37,6 +37,32 @@ def test_op2(spark, at):
         assert {r["shard"] for r in kd_shards.shard(docs, target_bytes=sum(sizes) // 3 + 1).collect()} == set(range(3))
 
 
+def test_op2_tree_against_brute_medians(spark, sf):
+    """Every cut of the tree, recomputed in plain Python: the widest dimension, and a place that halves the node's bytes as no other place could."""
+    rows = kd_shards.coordinates(spark.read.parquet(f"{sf}/documents.parquet"))
+    tree, placed = kd_shards.grow(rows, 5)
+    held = [r.asDict() for r in placed.collect()]
+    bits = kd_shards._BITS
+
+    def check(node, own):
+        assert {r["_leaf"] for r in own} <= set(range(node.first, node.first + node.leaves))
+        if not node.children:
+            return
+        width = {d: (max(r[f"_{d}"] for r in own) >> bits) - (min(r[f"_{d}"] for r in own) >> bits) for d in kd_shards.DIMENSIONS}
+        assert width[node.dim] == max(width.values())
+        left, right = ([r for r in own if (r[f"_{node.dim}"] < node.at) == side] for side in (True, False))
+        goal = sum(r["size"] for r in own) * (node.leaves // 2) / node.leaves
+        own.sort(key=lambda r: r[f"_{node.dim}"])
+        sums = np.r_[0, np.cumsum([r["size"] for r in own])]
+        slack = kd_shards.NEAR * sums[-1] / node.leaves
+        assert abs(sum(r["size"] for r in left) - goal) <= np.abs(sums - goal).min() + slack + max(r["size"] for r in own) * (len({r[f"_{node.dim}"] for r in own}) < len(own))
+        check(node.children[0], left)
+        check(node.children[1], right)
+
+    check(tree, held)
+    assert len(held) == rows.count()
+
+
 def test_op2_query_columns(spark, sf):
     df = queries.op2_kd_shards(spark, sf)
     assert dict(df.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
