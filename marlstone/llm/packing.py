@@ -134,8 +134,8 @@ def pack(parts: DataFrame, length: int = LENGTH, per_task: int = PIECES) -> Data
     ordered = "_order" in parts.columns
     columns = [c for c in parts.columns if c != "_order"]
     todo = cut(parts)
-    n = todo.count()
-    least, done, before, turn = certificate(todo, length), None, None, 0
+    lengths = _lengths(todo, length)
+    n, least, done, before, turn = int(lengths.sum()), bound_of(lengths, length), None, None, 0
     while True:
         tasks = max(1, -(-n // per_task))
         if ordered and turn == 0:
@@ -143,7 +143,8 @@ def pack(parts: DataFrame, length: int = LENGTH, per_task: int = PIECES) -> Data
         else:
             dealt = todo.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(tasks)) + (turn << 40))
         packed = cut(dealt.select(*columns, "_part").groupBy("_part").applyInPandas(_packed(length), _PACKED + ", _part long"))
-        bins = packed.groupBy("_part").agg((F.max("_bin") + 1).alias("b")).agg(F.sum("b")).first()[0] or 0
+        first = F.col("offset") == 0  # one piece of each bin
+        bins, n, released = packed.agg(F.count_if(first), F.count_if("_open"), F.count_if(first & F.col("_open"))).first()
         closed = (done[1] if done else 0) + bins
         if before is not None and closed >= before[0]:  # no better than what was exchanged
             packed = before[1]
@@ -151,11 +152,9 @@ def pack(parts: DataFrame, length: int = LENGTH, per_task: int = PIECES) -> Data
             break
         rows = packed if done is None else done[0].unionByName(packed)
         open_ = packed.where("_open")
-        n = open_.count()
         if closed <= least or not n or tasks == 1:
             result = rows
             break
-        released = open_.select("_part", "_bin").distinct().count()
         fixed = packed.where("NOT _open")
         done = (fixed if done is None else done[0].unionByName(fixed), closed - released)
         before, todo, turn = (closed, open_), open_.select(*columns), turn + 1
@@ -171,9 +170,14 @@ def _packed(capacity: int):
     return run
 
 
-def certificate(parts: DataFrame, length: int = LENGTH) -> int:
-    """The lower bound for all pieces together, from the counts of their at most ``length`` different lengths."""
+def _lengths(parts: DataFrame, length: int) -> np.ndarray:
+    """The number of pieces of each of the at most ``length`` different lengths."""
     count = np.zeros(length + 1, dtype=np.int64)
     for r in parts.groupBy("length").count().collect():
         count[r["length"]] = r["count"]
-    return bound_of(count, length)
+    return count
+
+
+def certificate(parts: DataFrame, length: int = LENGTH) -> int:
+    """The lower bound for all pieces together."""
+    return bound_of(_lengths(parts, length), length)

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Pieces whose ids a Python worker holds in each of two generations; the older is dropped when the newer is full.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 CHUNK = 200
 #: Texts of these characters alone are lower-cased, composed and split alike by every Unicode version.
 _LETTERS = "À-ÖØ-öø-įı-ňŊ-ž"
