@@ -31,6 +31,8 @@ CHECK, DEVIATIONS = 192, 4.5
 SAMPLE = 4096
 #: Rows of a bucket, and sets and bytes of a candidate group, that one call compares; larger ones are sliced.
 BUCKET, GROUP, GROUP_BYTES = 2048, 400, 32 << 20
+#: Parts among whose bits correlations are looked at together.
+BLOCK = 128
 #: A bucket that so many fingerprints of the sample share is sliced before it is dealt.
 HOT = 8
 #: What is broadcast, at most; beyond, it is joined by shuffling.
@@ -91,10 +93,9 @@ def thresholds(bits: np.ndarray, groups: np.ndarray, n: int, percent: int) -> li
     reach = [within(p, width, t) for t in (0, 1)]
     unit = log(1 / MISS) / 400
     worth = [min(400, int(log(1 / (1 - min(r, 1 - 1e-12))) / unit)) for r in reach]
-    pairs, some = max(1, len(bits) ** 2 - len(bits)), bits[:, groups].astype(np.int64) @ (1 << np.arange(width))
-    cost = []
-    for v in some.T:
-        _, count = np.unique(v, return_counts=True)
+    pairs, cost = max(1, len(bits) ** 2 - len(bits)), []
+    for group in groups:
+        _, count = np.unique(bits[:, group].astype(np.int64) @ (1 << np.arange(width)), return_counts=True)
         share = max(float((count * (count - 1)).sum()) / pairs, 2.0**-width)
         cost.append([(probes * (1 + 0.0025 * min(1.0, probes * share) * n / 2)) for probes in (1, 1 + width)])
     best: list[tuple[float, tuple]] = [(0.0, ())] + [(float("inf"), ())] * 400
@@ -314,7 +315,7 @@ def links(fps: DataFrame, texts, n: int, groups_width: tuple[int, int], size: in
     got = fps.select("_fp", "_bits").orderBy(F.xxhash64(F.lit(7), "_fp")).limit(SAMPLE).collect()
     words = np.array([r["_bits"] for r in got], dtype=np.int64).reshape(len(got), checks + -(-width * parts // 64)).view(np.uint64)
     bits = _unpack(words[:, checks:])
-    groups = np.array(bit_groups(bits[:, : width * parts], parts))
+    groups = np.concatenate([np.array(bit_groups(bits[:, i * width : j * width], j - i)) + i * width for i in range(0, parts, BLOCK) for j in [min(parts, i + BLOCK)]])
     chosen = thresholds(bits, groups, n, percent)
     p = differing(percent)
     most = min(CHECK // 2 - 20, ceil(CHECK * p + DEVIATIONS * (CHECK * p * (1 - p)) ** 0.5))
