@@ -69,8 +69,8 @@ def plan(docs: DataFrame, key: str, **options) -> DataFrame:
     as empty. Null text: size 0. Repeated rows count each. An empty table gives none. Columns keep their names.
     """
     slim = cut(docs.select(F.col(f"{key}.src").alias("_src"), F.col(f"{key}.hash").alias("_hash"), F.col(f"{key}.size").alias("_size")))
-    digits = 1
-    while 16**digits * BUCKET_ROWS < slim.count() and digits < 12:
+    n, digits = slim.count(), 3
+    while 16**digits * BUCKET_ROWS < n and digits < 12:
         digits += 1
     buckets = cut(slim.groupBy("_src", F.substring("_hash", 1, digits).alias("_bucket")).agg(F.sum("_size").alias("_words")))
     plans = source_plan(buckets.groupBy("_src").agg(F.sum("_words").alias("source_size")), **options)
