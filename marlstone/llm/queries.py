@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, curriculum, kd_shards, packing, page_diff, pii, quality_model, rules, simhash, sstable
+from . import cross_polytope, curriculum, kd_shards, merkle, packing, page_diff, pii, quality_model, rules, simhash, spelling, sstable, topk
 from .common import cut, table
 
 
@@ -61,6 +61,18 @@ def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.repartitionByRange(F.col("first_position"), F.col("doc_id")).sortWithinPartitions("first_position", "doc_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=199)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_newlines()).fold()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_quality": op9_quality,
     "op10_curriculum": op10_curriculum,
+    "op11_spelling": op11_spelling,
+    "op12_topk": op12_topk,
+    "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
 
@@ -115,4 +130,69 @@ OP10_SQL = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT)
     SELECT doc_id, size, z AS source_size, target, size * copies AS taken, copies,
       CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope) END, 9) END AS first_position FROM f"""
 
-SQL = {"op7_rules": OP7_SQL, "op8_cross_polytope": OP8_SQL, "op10_curriculum": OP10_SQL}
+#: The crc32 of a string: its table of 256 numbers, and a fold over the UTF-8 bytes.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS crc_table"
+
+
+def _crc(s: str) -> str:
+    byte = f"CAST('0x' || substring(hex(encode({s})), 2 * i + 1, 2) AS BIGINT)"
+    return f"xor(4294967295, list_reduce(list_transform(range(strlen({s})), lambda i: {byte}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295))"
+
+
+_A_TO_Z, _ACCENTED = "".join(map(chr, range(65, 91))), "".join(map(chr, range(0xC0, 0x100)))
+_ONE_BYTE = "".join(map(chr, range(33, 97))).replace("'", "''")
+
+#: All words against all of a like length. DuckDB's distance counts bytes, so accented letters are first written as one byte each.
+OP11_SQL = f"""WITH RECURSIVE t AS ({_CRC_TABLE}),
+    r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(run, '{_A_TO_Z}', '{_A_TO_Z.lower()}') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+    h AS (SELECT run, n, {_crc("id || run")} AS h FROM r, t),
+    w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM h)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    b AS (SELECT *, length(word) AS l, translate(word, '{_ACCENTED}', '{_ONE_BYTE}') AS s FROM w),
+    p AS (SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM b x JOIN b y ON abs(x.l - y.l) <= 1 AND x.word <> y.word AND levenshtein(x.s, y.s) = 1),
+    f AS (SELECT word, count(*) AS n_near, min(struct_pack(a := -near_n, b := near)) AS best FROM p GROUP BY word),
+    v AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.a >= 5 * w.n THEN best.b END AS form, CASE WHEN -best.a >= 5 * w.n THEN -best.a END AS form_n FROM w LEFT JOIN f USING (word)),
+    up AS (SELECT word, form AS top, 1 AS k FROM v WHERE form IS NOT NULL UNION ALL SELECT up.word, v.form, k + 1 FROM up JOIN v ON v.word = up.top WHERE v.form IS NOT NULL)
+    SELECT v.word, form, coalesce(root, v.word) AS root, n, n_near, form_n FROM v LEFT JOIN (SELECT word, arg_max(top, k) AS root FROM up GROUP BY word) e USING (word)"""
+
+OP12_SQL = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.rid <> c.rid AND len(q.e) = len(c.e)),
+    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 5"""
+
+
+def _part(s: str) -> str:
+    return f"coalesce(strlen(CAST({s} AS VARCHAR)) || ':' || CAST({s} AS VARCHAR), '-')"
+
+
+_EVEN = "coalesce(" + _crc("CAST(doc_id AS VARCHAR)") + " % 2 = 0, FALSE)"
+
+
+def _levels(base: str, own: str) -> str:
+    """All nodes of the trees of ``base`` (tree, pos, h); c is how many there are on a node's level."""
+    return f"SELECT tree, 0 AS lvl, pos, h, count(*) OVER (PARTITION BY tree) AS c FROM {base} UNION ALL SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (min(c) + 2) // 3 FROM {own} WHERE c > 1 GROUP BY tree, lvl, pos // 3"
+
+
+def _folds(base: str, nodes: str, own: str) -> str:
+    """Values of ``base`` (rid, tree, pos, v, s) folded through the trees of ``nodes``; s gathers siblings."""
+    return f"""SELECT rid, tree, 0 AS lvl, pos, v, s FROM {base} UNION ALL
+      SELECT f.rid, f.tree, f.lvl + 1, f.pos // 3, sha256(string_agg(CASE WHEN n.pos = f.pos THEN f.v ELSE n.h END, '' ORDER BY n.pos)), f.s || coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos <> f.pos), '')
+      FROM {own} f JOIN {nodes} n ON n.tree = f.tree AND n.lvl = f.lvl AND n.pos // 3 = f.pos // 3 WHERE n.c > 1 GROUP BY f.rid, f.tree, f.lvl, f.pos, f.v, f.s"""
+
+
+OP13_SQL = f"""WITH RECURSIVE t AS ({_CRC_TABLE}),
+    a AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, {" || ".join(_part(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS fields, text, CASE WHEN {_EVEN} THEN replace(text, chr(10), '') ELSE text END AS other FROM documents, t),
+    o AS (SELECT row_number() OVER () AS rid, doc_id, tree, h, v, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM (SELECT doc_id, tree, sha256(fields || {_part("text")}) AS h, sha256(fields || {_part("other")}) AS v FROM a)),
+    n AS ({_levels("o", "n")}),
+    u AS (SELECT tree AS source_tree, 'all' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM n WHERE c = 1),
+    m AS ({_levels("u", "m")}),
+    f AS ({_folds("(SELECT *, '' AS s FROM o)", "n", "f")}),
+    e AS (SELECT e.rid, u.tree, u.pos, e.v, e.s FROM (SELECT rid, any_value(tree) AS tree, arg_max(v, lvl) AS v, arg_max(s, lvl) AS s FROM f GROUP BY rid) e JOIN u ON u.source_tree = e.tree),
+    g AS ({_folds("e", "m", "g")}),
+    z AS (SELECT rid, arg_max(v, lvl) AS folded_root, sha256(arg_max(s, lvl)) AS proof_sha256 FROM g GROUP BY rid)
+    SELECT o.doc_id, o.h AS leaf, u.h AS subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+    FROM o JOIN u ON u.source_tree = o.tree JOIN z USING (rid), (SELECT h AS root FROM m WHERE c = 1)"""
+
+SQL = {"op7_rules": OP7_SQL, "op8_cross_polytope": OP8_SQL, "op10_curriculum": OP10_SQL, "op11_spelling": OP11_SQL, "op12_topk": OP12_SQL, "op13_merkle": OP13_SQL}
