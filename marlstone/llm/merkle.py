@@ -193,7 +193,7 @@ def manifest(docs: DataFrame, claim: Column | None = None, levels: int = LEVELS)
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("1"), "source"), F.lit("0")).alias("_tree"), own.alias("_hash"), (own if claim is None else claim).alias("claim"), F.monotonically_increasing_id().alias("_at"))
     order = ["_tree", F.asc_nulls_first("doc_id"), "_hash", "_at"]
     leaves = cut(_grouped(dense_rank(global_order(rows, order), ["_tree"], "_pos").select("doc_id", "claim", "_tree", F.col("_pos").cast("long").alias("_pos"), "_hash"), levels))
-    tops = cut(_in_groups(leaves.drop("doc_id", "claim")).mapInPandas(_tops(most), "_tree string, _pos long, _hash string"))
+    tops = cut(_in_groups(leaves.drop("doc_id", "claim")).mapInPandas(_tops(levels), "_tree string, _pos long, _hash string"))
     subroots, paths = _climb(tops, levels)
     subroots = cut(subroots)
     ranked = dense_rank(global_order(subroots.withColumn("_all", F.lit("")), ["_tree"]), ["_all"], "_pos")
