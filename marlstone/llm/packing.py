@@ -18,7 +18,13 @@ LENGTH = 2048
 END = 0
 #: Pieces that one task packs.
 PIECES = 25_000
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_TEXTUAL = "doc_id string, piece int, start long, length long, ids_crc32 long"
+#: Pieces that a task packs at most once exchanging no longer helps.
+MOST_PIECES = 8 * PIECES
+#: Where a turn lowers the number of bins by a smaller share, the next one has larger tasks.
+GAIN = 1e-4
+#: Bits of a task among the tasks of a turn and of a bin in a task; the rest of a sequence_id tells turns apart.
+TASK_BITS, BIN_BITS = 36, 20
 
 
 def _pieces(path: str, length: int, end: int, order: bool):
@@ -35,7 +41,7 @@ def _pieces(path: str, length: int, end: int, order: bool):
                     part = ids[at : at + 4 * length]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), place))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_order"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield out
 
     return run
 
@@ -50,8 +56,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     bound_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     place = [] if order is None else [order.alias("_order")]
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *place)
-    out = rows.mapInPandas(_pieces(path, length, end, order is not None), _PIECE + (", _order string" if place else ", _order long"))
+    # A long beside a null would reach pandas as a floating-point number, so identifiers go there as text.
+    rows = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"), *place)
+    out = rows.mapInPandas(_pieces(path, length, end, order is not None), _TEXTUAL + (", _order string" if place else ", _order long"))
+    out = out.withColumn("doc_id", F.col("doc_id").cast("long"))
     return out if place else out.drop("_order")
 
 
@@ -101,7 +109,7 @@ def bound_of(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = _PIECE + ", _bin long, _open boolean, offset long"
+_PACKED = _TEXTUAL + ", _bin long, _open boolean, offset long"
 
 
 def _pack(capacity: int):
@@ -115,9 +123,7 @@ def _pack(capacity: int):
         first = np.flatnonzero(np.r_[True, np.diff(bins[by]) != 0])
         offset = np.empty(len(sizes), dtype=np.int64)
         offset[by] = ahead - np.repeat(ahead[first], np.diff(np.r_[first, len(by)]))
-        # With a gap to the lower bound every bin with room is open; without, only the one with most room.
-        open_ = room > 0 if n > lower_bound(sizes, capacity) else (room > 0) & (np.arange(n) == np.argmax(room))
-        return rows.assign(_bin=bins, _open=open_[bins], offset=offset)
+        return rows.assign(_bin=bins, _open=(room > 0)[bins], offset=offset)
 
     return run
 
@@ -125,40 +131,45 @@ def _pack(capacity: int):
 def pack(parts: DataFrame, length: int = LENGTH, per_task: int = PIECES) -> DataFrame:
     """``parts`` (as from ``pieces``) with sequence_id and offset.
 
-    Pieces are dealt to tasks by a hash, or in ranges of ``_order`` where that is given, and packed best-fit-decreasing. The
-    bins that keep a task above its lower bound, and of the others the emptiest, are given up: their pieces are dealt anew
-    and packed again. This goes on while it lowers the number of bins, and ends early where that number is the lower
-    bound of all pieces together. Only pieces of open bins move. Nulls, repeated rows and pieces of equal length are told
-    apart by nothing, and needn't be; no pieces give no sequences.
+    Pieces are dealt to tasks by a hash, or in ranges of ``_order`` where that is given, and packed best-fit-decreasing. A
+    task with more bins than its lower bound has a gap; one that meets it is certified, and what it can still give is less
+    than a bin. Full bins stay. The bins with room are given up: their pieces are dealt anew and packed again. This goes on
+    while it lowers the number of bins; where it hardly does, the pieces are dealt to fewer, larger tasks, of MOST_PIECES at
+    most. It ends early where the number of bins is the lower bound of all pieces together, or all tasks are full.
+    Only pieces of open bins move. Nulls, repeated rows and pieces of equal length are told apart by nothing, and needn't
+    be; no pieces give no sequences.
     """
     ordered = "_order" in parts.columns
     columns = [c for c in parts.columns if c != "_order"]
-    todo = cut(parts)
+    todo = cut(parts.withColumn("doc_id", F.col("doc_id").cast("string")))
     lengths = _lengths(todo, length)
-    n, least, done, before, turn = int(lengths.sum()), bound_of(lengths, length), None, None, 0
+    n, least, turn, most = int(lengths.sum()), bound_of(lengths, length), 0, max(MOST_PIECES, per_task)
+    done, closed, best, open_ = None, 0, None, None  # bins that stay and their number; the number of all bins, and the open ones, as best so far
     while True:
         tasks = max(1, -(-n // per_task))
         if ordered and turn == 0:
             dealt = todo.repartitionByRange(tasks, "_order", "piece").withColumn("_part", F.spark_partition_id().cast("long"))
         else:
-            dealt = todo.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(tasks)) + (turn << 40))
+            dealt = todo.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(turn)), F.lit(tasks)) + (turn << TASK_BITS))
         packed = cut(dealt.select(*columns, "_part").groupBy("_part").applyInPandas(_packed(length), _PACKED + ", _part long"))
         first = F.col("offset") == 0  # one piece of each bin
-        bins, n, released = packed.agg(F.count_if(first), F.count_if("_open"), F.count_if(first & F.col("_open"))).first()
-        closed = (done[1] if done else 0) + bins
-        if before is not None and closed >= before[0]:  # no better than what was exchanged
-            packed = before[1]
-            result = packed if done is None else done[0].unionByName(packed)
+        bins, still, released = packed.agg(F.count_if(first), F.count_if("_open"), F.count_if(first & F.col("_open"))).first()
+        turn += 1
+        if best is None or closed + bins < best:
+            if best is not None and best - closed - bins < GAIN * best:
+                per_task = min(most, 4 * per_task)
+            best, n, open_ = closed + bins, still, packed.where("_open")
+            fixed = packed.where("NOT _open")
+            done = fixed if done is None else done.unionByName(fixed)
+            closed, todo = best - released, open_.select(*columns)
+            if best <= least or not n or tasks == 1:
+                break
+        elif tasks == 1 or per_task >= most or turn >= 1 << 63 - TASK_BITS - BIN_BITS:
             break
-        rows = packed if done is None else done[0].unionByName(packed)
-        open_ = packed.where("_open")
-        if closed <= least or not n or tasks == 1:
-            result = rows
-            break
-        fixed = packed.where("NOT _open")
-        done = (fixed if done is None else done[0].unionByName(fixed), closed - released)
-        before, todo, turn = (closed, open_), open_.select(*columns), turn + 1
-    return result.select(*columns, (F.col("_part") * (1 << 20) + F.col("_bin")).alias("sequence_id"), "offset")
+        else:
+            per_task = min(most, 4 * per_task)
+    result = done.unionByName(open_)
+    return result.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in columns if c != "doc_id"], (F.shiftleft("_part", BIN_BITS) + F.col("_bin")).alias("sequence_id"), "offset")
 
 
 def _packed(capacity: int):

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, slices
 from .gbt import Forest, fit
 
 #: Labelled documents to which the trees are fitted, at most, chosen by a hash; trees and their depth.
@@ -75,9 +75,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 
 def _score(forest: Forest):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             x = np.array([statistics(t) for t in batch["text"]]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": forest.predict(x)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": forest.predict(x)})
 
     return run
 
@@ -89,5 +89,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
     read whole; an empty table gives no rows; other columns don't matter.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out"))
-    return rows.mapInPandas(_score(forest), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    # A long beside a null would reach pandas as a floating-point number, so identifiers go there as text.
+    rows = docs.select(F.col("doc_id").cast("string"), "text", held_out().alias("held_out"))
+    scored = rows.mapInPandas(_score(forest), "doc_id string, held_out boolean, score double")
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

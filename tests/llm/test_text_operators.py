@@ -132,7 +132,7 @@ def test_packing_exchange_and_bounds(spark):
 
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 90, 3000)
-    parts = spark.createDataFrame([(i, 0, 0, int(s), 0) for i, s in enumerate(sizes)], packing._PIECE)
+    parts = spark.createDataFrame([(i, 0, 0, int(s), 0) for i, s in enumerate(sizes)], packing._TEXTUAL.replace("doc_id string", "doc_id long"))
     packed = packing.pack(parts, length=100, per_task=500)
     per = packed.groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert sum(r[1] for r in per) == sizes.sum() and max(r[1] for r in per) <= 100
