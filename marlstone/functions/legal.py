@@ -17,6 +17,10 @@ ORDER_WORDS = r"এস\.?\s*আর\.?\s*ও\.?|s\.?\s*r\.?\s*o\.?"
 DEFINITIONS = (r"(?i)what is (?:the\s+)?definition of\s+(.+?)(?:\?|$)", r"(?i)definition of\s+(.+?)(?:\?|$)", r"(.+?)\s+মানে\s+কী(?:\?|$)", r"(.+?)\s+এর\s+সংজ্ঞা\s+কী(?:\?|$)")
 # Terms that a question of a kind gains; with words, only a question that holds one of them.
 EXPANSIONS = (
+    ("eligibility", (), ("taxable", "chargeable to tax", "tax exemption", "individual", "resident", "assessee", "income", "employee", "employment", "income from employment")),
+    ("eligibility", ("labour", "labor", "worker", "day labourer", "day laborer"), ("day labourer", "worker", "employee")),
+    ("eligibility", ("salary", "salaried", "employee", "employment"), ("salary", "employee", "income from employment")),
+    ("eligibility", ("resident", "individual"), ("resident", "individual assessee")),
     ("amount_lookup", (), ("threshold", "amount", "limit", "taka", "lakh", "crore", "not more than", "exceeds")),
     ("count_lookup", (), ("count", "number", "classes", "items", "listed", "namely")),
     ("duration_lookup", (), ("years", "months", "days", "period", "carry forward", "successive")),
@@ -28,6 +32,7 @@ EXPANSIONS = (
     ("mention_lookup", (), ("mentioned", "included", "listed")),
     ("mention_lookup", ("software",), ("software", "service", "software service", "software test lab service", "website development service", "software maintenance service")),
     ("mention_lookup", ("act",), ("act", "income tax act")),
+    ("definition", ("commissioner",), ("definition", "definitions", "commissioner", "means")),
     ("definition", (), ("definition", "definitions", "means")),
     ("list_lookup", (), ("list", "listed", "namely", "following", "classes")),
     ("comparison", (), ("compare", "versus", "difference", "company", "other than company")),
@@ -93,6 +98,6 @@ def query_signals(text: Column) -> Column:
     first = lambda xs: F.try_element_at(xs, F.lit(1))
     sub = first(F.filter(sections, lambda s: F.contains(s, F.lit("."))))
     return F.struct(
-        question_kind(text).alias("kind"), F.array_join(rewritten(text), " ").alias("rewritten"), F.coalesce(F.substring_index(sub, ".", 1), first(sections)).alias("section"), sub.alias("subsection"),
+        question_kind(text).alias("kind"), F.array_join(rewritten(text), " ").alias("rewritten"), F.coalesce(F.substring_index(sub, ".", 1), first(sections)).alias("section"), sub.alias("subsection"), first(sections).alias("reference"),
         first(tax_years(text)).alias("tax_year"), first(appendix_ids(text)).alias("appendix"), first(order_ids(text)).alias("order_id"), definition_target(text).alias("definition"), F.size(salient_terms(text)).alias("n_salient"),
     )
