@@ -11,7 +11,8 @@ BENGALI_DIGITS = "".join(chr(0x09E6 + k) for k in range(10))
 
 
 def normalize_digits(text: Column) -> Column:
-    return F.translate(text, BENGALI_DIGITS, "0123456789")
+    """Bengali digits as others; a text without any isn't rewritten."""
+    return F.when(F.rlike(text, F.lit(f"[{BENGALI_DIGITS}]")), F.translate(text, BENGALI_DIGITS, "0123456789")).otherwise(text)
 
 
 def tokens(text: Column | str) -> Column:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set, tokens, windows
+from .lineage import ancestor  # noqa: F401 - part of this module too
 
 #: Bytes of the claims that a task holds at once.
 CLAIM_BYTES = 8 << 20
@@ -134,71 +136,80 @@ def sibling_links(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("source"), F.lead(node).over(w).alias("target"), F.lit("SIBLING_CONTEXT").alias("relation")).where("target IS NOT NULL")
 
 
-def ancestor(nodes: DataFrame, node: str, parent: str, kind: str, wanted: str) -> DataFrame:
-    """(node, ancestor): the first node of type ``wanted`` on each node's way up. As many joins as the tree is deep; a circle is refused."""
-    up = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"), F.col(kind).alias("_k"))
-    open_, done = nodes.select(F.col(node).alias("node"), F.col(parent).alias("_at")), None
-    most = nodes.count()
-    for turn in range(most + 1):
-        met = open_.join(up, open_["_at"] == up["_n"]).checkpoint()
-        hit = met.where(F.col("_k") == wanted).select("node", F.col("_n").alias("ancestor"))
-        done = hit if done is None else done.unionByName(hit)
-        open_ = met.where((F.col("_k") != wanted) & F.col("_p").isNotNull()).select("node", F.col("_p").alias("_at"))
-        if not open_.take(1):
-            break
-        if turn == most:
-            raise ValueError("nodes go round in a circle")
-    return done if done is not None else open_.select("node", F.col("_at").alias("ancestor")).where("false")
-
-
 def claim_support(claims: DataFrame, claim: str, claim_text: str, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(claim, best_doc, support): the document with the largest share of the claim's tokens; ties to the smallest key.
+    """(claim, best_doc, support): the document with the largest share of the claim's tokens; ties to the smallest key, null last.
 
-    Claims are taken in blocks of a bounded size, which every task holds; a task counts what its documents share with each
-    claim and passes on one best document a claim, so that no pairs of claims and documents are ever moved.
+    Blocks of claims, of a bounded size, meet slices of the documents in tasks. A task counts what each document shares with
+    the block's claims and passes on one best document a claim, so neither pairs nor claims ever gather. Claims without
+    tokens, or of which no document has any, have no row. Documents are tokenized once and moved once a block of claims.
     """
-    asked = claims.select(claim, token_set(claim_text).alias("_t")).where(F.size("_t") > 0)
-    bytes_ = asked.agg(F.sum(F.length(F.array_join("_t", " ")) + 16)).first()[0] or 0
-    blocks = -(-bytes_ // CLAIM_BYTES)
+    spark = docs.sparkSession
     kinds = dict(claims.dtypes)[claim], dict(docs.dtypes)[key]
-    held = docs.select(F.col(key).alias("_key"), token_set(text).alias("_t")).where(F.size("_t") > 0)
-    found = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64(claim), F.lit(blocks)) == b).collect()
-        if not block:
-            continue
-        part = held.mapInPandas(_most_shared([(r[0], r[1]) for r in block]), f"claim {kinds[0]}, doc {kinds[1]}, shared int, asked int")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return asked.select(claim, F.lit(None).cast(kinds[1]).alias("best_doc"), F.lit(0.0).alias("support")).where("false")
-    best = found.groupBy("claim").agg(F.min_by(F.struct("doc", "shared", "asked"), F.struct((-F.col("shared")).alias("s"), "doc")).alias("_b"))
+    nothing = [F.lit(None).cast(k) for k in kinds]
+    asked = claims.select(F.col(claim).alias("_claim"), token_set(claim_text).alias("_t")).where(F.size("_t") > 0)
+    blocks = max(1, -(-(asked.agg(F.sum(F.length(F.array_join("_t", " ")) + 16)).first()[0] or 0) // CLAIM_BYTES))
+    slices = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    held = docs.select(F.col(key).alias("_key"), F.explode(F.array(token_set(text))).alias("_t")).where(F.size("_t") > 0)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    heads = asked.select(F.pmod(F.xxhash64("_claim"), F.lit(blocks)).cast("int").alias("_block"), every(slices).alias("_slice"), F.lit(0).alias("_kind"), "_claim", nothing[1].alias("_key"), "_t")
+    rows = held.select(every(blocks).alias("_block"), F.pmod(F.xxhash64("_key", F.size("_t")), F.lit(slices)).cast("int").alias("_slice"), F.lit(1).alias("_kind"), nothing[0].alias("_claim"), "_key", "_t")
+    dealt = heads.unionByName(rows).repartition(blocks * slices, "_block", "_slice").sortWithinPartitions("_block", "_slice", "_kind")
+    found = dealt.mapInArrow(_most_shared, f"claim {kinds[0]}, doc {kinds[1]}, shared int, asked int")
+    best = found.groupBy("claim").agg(F.min_by(F.struct("doc", "shared", "asked"), F.struct((-F.col("shared")).alias("s"), F.col("doc").isNull().alias("n"), "doc")).alias("_b"))
     return best.select(F.col("claim").alias(claim), F.col("_b.doc").alias("best_doc"), F.round(F.col("_b.shared") / F.col("_b.asked"), 6).alias("support"))
 
 
-def _most_shared(claims: list[tuple]):
-    """Over the documents of a task: for each claim the document that shares most of its tokens."""
-    number: dict[str, int] = {}
-    rows = [np.array([number.setdefault(t, len(number)) for t in words]) for _, words in claims]
-    of = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
-    order = np.argsort(np.concatenate(rows), kind="stable")
-    starts = np.r_[0, np.cumsum(np.bincount(np.concatenate(rows), minlength=len(number)))]
-    of, names, sizes = of[order], [c for c, _ in claims], [len(r) for r in rows]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        most, best = np.zeros(len(claims), dtype=np.int64), [None] * len(claims)
-        for batch in batches:
-            for doc, words in zip(batch["_key"].tolist(), batch["_t"], strict=True):
-                met = [number[t] for t in words if t in number]
-                if not met:
-                    continue
-                shared = np.bincount(np.concatenate([of[starts[k] : starts[k + 1]] for k in met]), minlength=len(claims))
-                for i in np.flatnonzero((shared >= most) & (shared > 0)).tolist():
-                    if shared[i] > most[i] or doc < best[i]:
-                        most[i], best[i] = shared[i], doc
-        some = [i for i, d in enumerate(best) if d is not None]
-        yield pd.DataFrame({"claim": [names[i] for i in some], "doc": [best[i] for i in some], "shared": most[some].astype("int32"), "asked": np.array([sizes[i] for i in some], dtype="int32")})
-
-    return run
+class _Claims:
+    """A block's claims by their tokens, and the document that shares most with each so far."""
+
+    def __init__(self):
+        self.names: list = []
+        self.words: list[list[int]] = []
+        self.number: dict[str, int] = {}
+        self.of = None
+
+    def add(self, name, words: list[str]) -> None:
+        self.names.append(name)
+        self.words.append([self.number.setdefault(t, len(self.number)) for t in words])
+
+    def meet(self, doc, words: list[str]) -> None:
+        if self.of is None:
+            token = np.concatenate([np.array(w) for w in self.words])
+            self.of = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])[np.argsort(token, kind="stable")]
+            self.starts = np.r_[0, np.cumsum(np.bincount(token, minlength=len(self.number)))]
+            self.most, self.best = np.zeros(len(self.words), dtype=np.int64), [None] * len(self.words)
+        met = [self.number[t] for t in words if t in self.number]
+        if met:
+            shared = np.bincount(np.concatenate([self.of[self.starts[k] : self.starts[k + 1]] for k in met]), minlength=len(self.words))
+            for i in np.flatnonzero((shared >= self.most) & (shared > 0)).tolist():
+                if shared[i] > self.most[i] or doc is not None and (self.best[i] is None or doc < self.best[i]):
+                    self.most[i], self.best[i] = shared[i], doc
+
+    def found(self) -> list[tuple]:
+        some = [] if self.of is None else np.flatnonzero(self.most).tolist()
+        return [(self.names[i], self.best[i], int(self.most[i]), len(self.words[i])) for i in some]
+
+
+def _most_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and slice, claims before documents, to one best document of each claim."""
+    own, at, schema = _Claims(), None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*own.found(), strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        schema = pa.schema([("claim", batch.schema.field("_claim").type), ("doc", batch.schema.field("_key").type), ("shared", pa.int32()), ("asked", pa.int32())])
+        for block, slice_, kind, claim, key, words in zip(*(batch.column(c).to_pylist() for c in ("_block", "_slice", "_kind", "_claim", "_key", "_t")), strict=True):
+            if (block, slice_) != at:
+                if own.found():
+                    yield out()
+                own, at = _Claims(), (block, slice_)
+            if kind == 0:
+                own.add(claim, words)
+            elif own.names:
+                own.meet(key, words)
+    if own.found():
+        yield out()
 
 
 def token_statistics(docs: DataFrame, group: str, text: str) -> DataFrame:

@@ -84,7 +84,7 @@ def matrix(judged: DataFrame, group: list[str] | None = None) -> DataFrame:
         F.count("*").alias("cases"),
         F.count_if("passed").alias("passed"),
         F.count_if(~F.col("passed")).alias("failed"),
-        F.coalesce(F.round(F.count_if("passed") / F.count("*"), 3), F.lit(0.0)).alias("accuracy"),
+        F.coalesce(F.round(F.try_divide(F.count_if("passed"), F.count("*")), 3), F.lit(0.0)).alias("accuracy"),
         F.count_if(F.coalesce(F.col("failure_stage") == "retrieval", F.lit(False))).alias("retrieval_failures"),
         F.count_if(F.coalesce(F.col("failure_stage") == "answer", F.lit(False))).alias("answer_failures"),
         F.count_if(wanted).alias("expected_abstentions"),

@@ -10,15 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.specs import product_text
+
 #: What a phrase of n words counts, and what it counts more in the name, the category, the brand or a tag; what a tag of the type's name counts, and a category that is the type's own.
 WORDS, NAME, CATEGORY, BRAND, TAG, TYPE_TAG, OWN_CATEGORY = 3, 2, 2, 1, 3, 3, 2
 
 
-def normalize_product_text(text: Column) -> Column:
-    """Lower-cased letters, digits, plus and hyphen; all else is a space, and spaces are single."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s+-]", " "), r"\s+", " "))
-
-
 @dataclass(frozen=True)
 class Ontology:
     """``synonyms``: the phrases of each type, in the order of preference; ``families`` and ``categories`` of types; ``sold_with``: what goes with a type; ``signals``: (type, tag, other tags, points), tags that together tell a type."""
@@ -120,9 +117,9 @@ def detect(rows: DataFrame, ontology: Ontology, name: str, category: str, brand:
 
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (name, category, brand, *more)]
     listed = F.coalesce(F.col(tags), F.array().cast("array<string>"))
-    searched = normalize_product_text(F.concat_ws(" ", *texts, F.array_join(listed, " ")))
-    clean = F.filter(F.transform(listed, normalize_product_text), lambda t: t != "")
-    return rows.withColumn(into, best(searched, normalize_product_text(F.col(name)), normalize_product_text(F.col(category)), normalize_product_text(F.col(brand)), clean))
+    searched = product_text(F.concat_ws(" ", *texts, F.array_join(listed, " ")))
+    clean = F.filter(F.transform(listed, product_text), lambda t: t != "")
+    return rows.withColumn(into, best(searched, product_text(F.col(name)), product_text(F.col(category)), product_text(F.col(brand)), clean))
 
 
 def relation_score(ontology: Ontology, asked: str | None, kind: Column, category: Column) -> Column:

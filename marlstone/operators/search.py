@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from copy import copy
 from functools import reduce
 from math import log
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import rrf_gain
 from ..functions.text import tokens
+from .shared import checkpoints
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Field weights of a general query; scores are scaled to this most.
@@ -20,16 +22,33 @@ SCALE = 12.0
 class Bm25:
     """Okapi BM25 over one text column. Statistics are those of the whole corpus; filters apply to what a search returns.
 
-    A search reads the corpus twice and moves only its best rows: once for the counts of the terms asked, all of them in
-    one row, and once to score each document where it lies. The whole vocabulary is counted only where a term is in
-    over half of the corpus, as its weight is then a share of the mean.
+    A search reads the texts once and keeps, of each document, its length and the tokens that are asked: from these come the
+    counts of the terms, in one row, and the scores. The whole vocabulary is counted, by another reading, only where a
+    term is in over half of the corpus, as its weight is then a share of the mean. For many questions, or the same
+    corpus again and again, ``postings`` keeps an index.
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str | Column):
         self.key = key
-        self.docs = docs.select(key, tokens(text).alias("_tokens"))
+        # A generator's column is computed once; a projected one would be again in each place that reads it.
+        self.docs = docs.select(key, F.explode(F.array(tokens(text))).alias("_tokens"))
+        self.length: Column = F.size("_tokens")
         self.idf: dict[str, float] = {}
         self.average = 0.0
+        self.whole = self
+
+    def narrow(self, terms: list[str]) -> Bm25:
+        """This index for ``terms`` alone, of which it has all counts and weights; its rows are written once."""
+        checkpoints(self.docs.sparkSession)
+        rows = self.docs.select(self.key, self.length.alias("_dl"), F.filter("_tokens", lambda t: t.isin(terms)).alias("_tokens"))
+        return self._over(rows.checkpoint(), terms)
+
+    def _over(self, rows: DataFrame, terms: list[str]) -> Bm25:
+        """An index of this corpus whose rows (key, _dl, _tokens) hold no tokens but ``terms``."""
+        other = copy(self)
+        other.docs, other.length, other.idf = rows, F.col("_dl"), {}
+        other.learn(terms)
+        return other
 
     def vocabulary(self) -> DataFrame:
         """(term, df, idf): a term in over half of the corpus has a share of the mean idf in place of its negative one."""
@@ -54,18 +73,18 @@ class Bm25:
         new = sorted(set(terms) - set(self.idf))
         if not new:
             return
-        n, average, *df = self.docs.agg(F.count("*"), F.avg(F.size("_tokens")), *[F.count_if(F.array_contains("_tokens", t)) for t in new]).first()
+        n, average, *df = self.docs.agg(F.count("*"), F.avg(self.length), *[F.count_if(F.array_contains("_tokens", t)) for t in new]).first()
         self.average = average or 0.0
         raw = {t: log(n - d + 0.5) - log(d + 0.5) for t, d in zip(new, df, strict=True) if d}
         if any(w < 0 for w in raw.values()):
-            floor = self.vocabulary().where(F.col("term").isin([t for t, w in raw.items() if w < 0])).agg(F.min("idf")).first()[0]
+            floor = self.whole.vocabulary().where(F.col("term").isin([t for t, w in raw.items() if w < 0])).agg(F.min("idf")).first()[0]
             raw = {t: floor if w < 0 else w for t, w in raw.items()}
         self.idf |= {t: raw.get(t, 0.0) for t in new}
 
     def score(self, terms: list[str]) -> Column:
         """The score of a row of ``self.docs``; a repeated term counts again."""
         self.learn(terms)
-        norm = K1 * (1 - B + B * F.size("_tokens") / F.lit(self.average or 1.0))
+        norm = K1 * (1 - B + B * self.length / F.lit(self.average or 1.0))
 
         def gain(term: str) -> Column:
             tf = F.size(F.filter("_tokens", lambda t: t == term))
@@ -83,7 +102,7 @@ class Bm25:
 
     def search(self, terms: list[str], k: int) -> DataFrame:
         """(key, score, rank): the k best scores over 0, ties by key."""
-        return top_k(self.scores(terms).where("score > 0"), "score", k, self.key)
+        return top_k(self.narrow(terms).scores(terms).where("score > 0"), "score", k, self.key)
 
     def rankings(self, columns: dict[str, Column], k: int) -> DataFrame:
         """(list, key, score, rank): for several scores of a row of ``self.docs``, the k best over 0 of each, in one pass."""
@@ -122,15 +141,16 @@ def top_k_each(rows: DataFrame, query: str, score: str, k: int, key: str) -> Dat
 def field_parts(docs: DataFrame, key: str, fields: dict[str, str | Column], terms: list[str]) -> DataFrame:
     """(key, a column for each field): each field's BM25 over its own best, for documents with any.
 
-    The fields' scores are written once, so that the texts aren't read again for their best.
+    The fields' lengths and the tokens asked are written once, so that the texts aren't read again for counts, scores and bests.
     """
-    indexes = {name: Bm25(docs.select(key, (F.col(text) if isinstance(text, str) else text).alias("_field")), key, "_field") for name, text in fields.items()}
-    for index in indexes.values():
-        index.learn(terms)
-    rows = docs.select(key, *[tokens(text).alias(f"_f_{name}") for name, text in fields.items()])
-    for name, index in indexes.items():
-        rows = rows.withColumnRenamed(f"_f_{name}", "_tokens").withColumn(name, index.score(terms)).drop("_tokens")
-    rows = rows.checkpoint()
+    checkpoints(docs.sparkSession)
+    read = docs.select(key, F.inline(F.array(F.struct(*[tokens(text).alias(name) for name, text in fields.items()]))))
+    kept = read.select(key, *[c for name in fields for c in (F.size(name).alias(f"_n_{name}"), F.filter(name, lambda t: t.isin(terms)).alias(f"_t_{name}"))]).checkpoint()
+    rows = kept
+    for name, text in fields.items():
+        own = Bm25(docs.select(key, (F.col(text) if isinstance(text, str) else text).alias("_field")), key, "_field")
+        index = own._over(kept.select(key, F.col(f"_n_{name}").alias("_dl"), F.col(f"_t_{name}").alias("_tokens")), terms)
+        rows = rows.withColumnsRenamed({f"_n_{name}": "_dl", f"_t_{name}": "_tokens"}).withColumn(name, index.score(terms)).drop("_dl", "_tokens")
     most = rows.agg(*[F.max(name).alias(name) for name in fields]).first()
     held = reduce(lambda a, b: a | b, [F.col(name) > 0 for name in fields])
     return rows.where(held).select(key, *[F.when(F.col(name) > 0, F.col(name) / F.lit(most[name] or 1.0)).otherwise(F.lit(0.0)).alias(name) for name in fields])

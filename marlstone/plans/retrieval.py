@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import AUTHORITY, authority_value
 from ..functions.text import LOW_QUALITY, quality_score, section_references, sentences, strip_markup
 from ..operators import documents as D
-from ..operators import filters, search
+from ..operators import filters, lineage, search
 from ..sources.tables import table
 from .sqltext import tokens_sql
 
@@ -176,8 +176,7 @@ RRF = f"""WITH {_bm25_sql('s', TERMS)}, {_top_sql('t', 's', 50)}, {_overlap_sql(
 
 def multi_rrf(spark: SparkSession, sf: str) -> DataFrame:
     """Three steps of a question, each by BM25 and by overlap: six lists from one pass over the documents."""
-    index = search.Bm25(table(spark, sf, "documents"), "doc_id", "text")
-    index.learn([t for terms in STEPS for t in terms])
+    index = search.Bm25(table(spark, sf, "documents"), "doc_id", "text").narrow([t for terms in STEPS for t in terms])
     lists = {f"{kind}{i}": score for i, terms in enumerate(STEPS) for kind, score in (("bm25", index.score(terms)), ("overlap", index.overlap(terms)))}
     return search.top_k(search.fuse([index.rankings(lists, 20)], "doc_id"), "score", 20, "doc_id").select("doc_id", "score", "n_lists", F.col("rank").cast("long").alias("rank"))
 
@@ -291,13 +290,33 @@ def ancestor(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.shared import checkpoints
 
     checkpoints(spark)
-    found = D.ancestor(_tree(spark, sf), "node_id", "parent_id", "node_type", "region")
+    found = lineage.ancestor(_tree(spark, sf), "node_id", "parent_id", "node_type", "region")
     return found.where("node LIKE 'o%'").groupBy("ancestor").agg(F.count("*").alias("n_orders"))
 
 
 ANCESTOR = """SELECT 'r' || n_regionkey AS ancestor, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey"""
 
 
+def governing_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tree as a law: regions are sections, some nations subsections, some customers clauses, and orders hang on them."""
+    from ..operators.shared import checkpoints
+
+    checkpoints(spark)
+    n = F.substring("node_id", F.lit(2), F.lit(20)).cast("long")
+    kind = F.when(F.col("node_type") == "region", "section").when(F.col("node_type") == "nation", F.when(n % 2 == 0, "subsection").otherwise("group")).when(F.col("node_type") == "customer", F.when(n % 3 > 0, "clause").otherwise("note"))
+    law = _tree(spark, sf).withColumn("kind", kind.otherwise(F.element_at(F.array(*[F.lit(k) for k in ("proviso", "explanation", "table", "example")]), (n % 4 + 1).cast("int"))))
+    return lineage.governing(law, "node_id", "parent_id", "kind")
+
+
+GOVERNING_RULES = """WITH c AS (SELECT c_custkey, n_nationkey, n_regionkey, 'c' || c_custkey AS c, 'n' || n_nationkey AS n, 'r' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    k AS (SELECT *, CASE WHEN c_custkey % 3 > 0 THEN c WHEN n_nationkey % 2 = 0 THEN n ELSE r END AS rule FROM c),
+    o AS (SELECT 'o' || o_orderkey AS node, o_orderkey % 4 AS q, k.* FROM orders JOIN k ON o_custkey = c_custkey)
+    SELECT 'r' || r_regionkey AS node, 'r' || r_regionkey AS reasoning_parent, 'r' || r_regionkey AS governing_rule FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'r' || n_regionkey FROM nation
+    UNION ALL SELECT c, x, x FROM (SELECT c, CASE WHEN c_custkey % 3 > 0 AND n_nationkey % 2 > 0 THEN r ELSE n END AS x FROM k)
+    UNION ALL SELECT node, CASE WHEN q < 2 THEN rule WHEN q = 2 THEN r ELSE c END, CASE WHEN q < 3 THEN rule ELSE c END FROM o"""
+
+
 def keep_first_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents dropped because an earlier kept one of the same source overlaps them; no SQL: the rule is recursive."""
     from ..operators.shared import checkpoints
@@ -340,4 +359,5 @@ QUERIES = {
     "q_html_strip": (html_strip, HTML_STRIP),
     "q_parent_child": (parent_child, PARENT_CHILD),
     "q_ancestor": (ancestor, ANCESTOR),
+    "q_governing_rules": (governing_rules, GOVERNING_RULES),
 }
