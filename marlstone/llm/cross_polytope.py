@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, pi
 
 import numpy as np
 import pandas as pd
@@ -11,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, join_weighted, whole_groups
-from .sketches import close_links, connected
+from .sketches import connected
 
 COSINE = 0.93
 #: Hash tables; polytope hashes joined into a bucket; further buckets in which a vector is also put, next best first.
 TABLES, JOINED, PROBES, SEED = 6, 2, 2, 20240229
-#: Bits of the sign sketch that travels with a bucket's members, and standard deviations from the limit at which a pair falls.
-SKETCH, DEVIATIONS = 192, 4.5
+#: Bytes of the sketch that travels with a bucket's members, at most; how far rounding, and in how many standard deviations projection, may move a cosine.
+WIDTH, ROUNDING, DEVIATIONS = 128, 0.012, 4.5
 #: A bucket or group of more vectors is compared in pairs of slices of about that size, each pair a key of its own.
 SLICE = 2048
 
@@ -40,9 +39,16 @@ def units(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(x: np.ndarray) -> np.ndarray:
-    """The signs of ``SKETCH`` fixed random projections, as words of 64 bits: they differ in the angle's share of pi."""
-    planes = np.random.default_rng([SEED, 1, x.shape[1]]).normal(size=(x.shape[1], SKETCH))
-    return np.packbits(units(x) @ planes > 0, axis=1, bitorder="little").view(np.int64)
+    """Rows of small whole numbers with nearly the cosines of ``x``: a byte a component, of longer vectors of WIDTH random projections."""
+    x = units(x)
+    if x.shape[1] > WIDTH:
+        x = x @ np.random.default_rng([SEED, 1, x.shape[1]]).normal(size=(x.shape[1], WIDTH))
+    return np.rint(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300))).astype(np.int8)
+
+
+def least_near(cosine: float, width: int) -> float:
+    """The cosine of two sketches below which those of their vectors don't reach ``cosine``."""
+    return cosine - ROUNDING - (DEVIATIONS * (1 - cosine**2) / width**0.5 if width >= WIDTH else 0.0)
 
 
 def buckets(x: np.ndarray, tables: int = TABLES, joined: int = JOINED, probes: int = PROBES) -> np.ndarray:
@@ -89,9 +95,6 @@ def _vectors(values: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part.index[k : k + 4096].to_numpy(), np.stack(part.iloc[k : k + 4096].to_numpy()).astype(np.float64)
 
 
-_WORDS = [f"_c{k}" for k in range(SKETCH // 64)]
-
-
 def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row with the sketch for each different bucket of each vector."""
     for batch in batches:
@@ -100,7 +103,37 @@ def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             code, sketch = np.sort(buckets(x), axis=1), sketches(x)
             new = np.c_[np.ones(len(code), dtype=bool), code[:, 1:] != code[:, :-1]]
             row, _ = np.nonzero(new)
-            yield pd.DataFrame({"_space": batch["_space"].to_numpy()[at][row], "_code": code[new], "_fp": batch["_rep"].to_numpy()[at][row], **dict(zip(_WORDS, sketch[row].T, strict=True))})
+            yield pd.DataFrame({"_space": batch["_space"].to_numpy()[at][row], "_code": code[new], "_fp": batch["_rep"].to_numpy()[at][row], "_sketch": [sketch[i].tobytes() for i in row.tolist()]})
+
+
+def _near(cosine: float, small: int = 12):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by _key to (a, b): links that connect, within a bucket, those whose sketches are near."""
+        for rows in whole_groups(batches, "_key"):
+            for width, own in rows.groupby(rows["_sketch"].map(len), sort=False):
+                key, fp = own["_key"].to_numpy(), own["_fp"].to_numpy()
+                x = np.frombuffer(b"".join(own["_sketch"]), dtype=np.int8).reshape(len(own), width).astype(np.float32)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                least = least_near(cosine, width)
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                sizes = np.diff(np.r_[starts, len(key)])
+                size = np.repeat(sizes, sizes)
+                left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+                for d in range(1, min(small, int(sizes.max()))):
+                    i = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= small))
+                    i = i[np.einsum("ij,ij->i", x[i], x[i + d]) >= least]
+                    left.append(i)
+                    right.append(i + d)
+                for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+                    for k in range(s, s + n, 512):
+                        i, j = np.nonzero(np.triu(x[k : min(k + 512, s + n)] @ x[k : s + n].T >= least, 1))
+                        left.append(i + k)
+                        right.append(j + k)
+                root = connected(np.concatenate(left), np.concatenate(right), len(fp))
+                linked = fp[root] != fp
+                yield pd.DataFrame({"a": fp[root[linked]], "b": fp[linked]}).drop_duplicates()
+
+    return run
 
 
 def _pairs(x: np.ndarray, cross: bool, part: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +181,9 @@ def _sliced(df: DataFrame, key: str, member: str, count: str) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: rows of one label are linked at cosine ``cosine`` or more.
 
-    Rows that share a bucket and whose sketches are near are candidates. Only numbers and sketches travel to the buckets;
-    each vector travels once, to the group that its candidates connect, where all pairs are compared exactly, in double
-    precision. So no link is false; the tables, probes and sketches decide how many true ones are found (measured in the
+    Rows that share a bucket and whose sketches are near are candidates: a byte a component, which tells a cosine to about
+    0.01, so that what is merely alike doesn't gather. Only numbers and sketches travel to the buckets; each vector travels
+    once, to the group that its candidates connect, where pairs are compared exactly, in double precision. So no link is false; the tables, probes and sketches decide how many true ones are found (measured in the
     tests and the README). Null labels and vectors that are null, empty, zero or hold null or non-finite numbers link with
     nothing and keep their own vec_id; vectors of different lengths never link. Equal vectors are one point with a
     number, so copies are never compared. Repeated vec_ids count as different rows. An empty table gives no rows.
@@ -162,16 +195,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     named = vectors.select("vec_id", "embedding", able.alias("_able"), F.xxhash64("label", "embedding").alias("_h"), F.hash("embedding", "label").alias("_g"), F.xxhash64("label", F.size("embedding")).alias("_space"))
     points = named.where("_able").groupBy("_h", "_g").agg(F.count("*").alias("_many"), F.min("vec_id").alias("_least"), F.any_value("_space").alias("_space"), F.any_value("embedding").alias("embedding"))
     points = cut(points.withColumn("_rep", F.monotonically_increasing_id()))
-    slot = "_space long, _code long, _fp long, " + ", ".join(f"{c} long" for c in _WORDS)
-    slots = points.select("_space", "_rep", "embedding").mapInPandas(_slots, slot)
-    slots = cut(slots.select(F.xxhash64("_space", "_code").alias("_bucket"), "_fp", *_WORDS))
+    slots = points.select("_space", "_rep", "embedding").mapInPandas(_slots, "_space long, _code long, _fp long, _sketch binary")
+    slots = cut(slots.select(F.xxhash64("_space", "_code").alias("_bucket"), "_fp", "_sketch"))
     heavy = cut(slots.groupBy("_bucket").count().where(F.col("count") > SLICE))
     few = heavy.count() < 500_000  # rows of 16 bytes
     dealt = slots.join(F.broadcast(heavy) if few else heavy, "_bucket", "left").withColumn("count", F.coalesce("count", F.lit(1)))
-    dealt = _sliced(dealt, "_bucket", "_fp", "count").select("_key", "_fp", *_WORDS)
-    angle = acos(cosine) / pi
-    most = min(SKETCH, ceil(SKETCH * angle + DEVIATIONS * (SKETCH * angle * (1 - angle)) ** 0.5))
-    met = dealt.repartition("_key").sortWithinPartitions("_key").mapInPandas(close_links(most, SKETCH), "a long, b long")
+    dealt = _sliced(dealt, "_bucket", "_fp", "count").select("_key", "_fp", "_sketch")
+    met = dealt.repartition("_key").sortWithinPartitions("_key").mapInPandas(_near(cosine), "a long, b long")
     groups = components(met).withColumnsRenamed({"node": "_rep", "root": "_root"})
     groups = groups.join(groups.groupBy("_root").agg(F.count("*").alias("_n")), "_root")
     placed = _sliced(points.select("_rep", "_many", "embedding").join(groups, "_rep"), "_root", "_rep", "_n").select("_key", "_rep", "_many", "_part", "_cross", "embedding")

@@ -262,6 +262,33 @@ def test_op8_recall_slices_and_odd_rows(spark, monkeypatch):
     assert cross_polytope.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_op8_like_vectors_dont_gather(spark, monkeypatch):
+    """A dense label, all cosines about 0.8 and hardly one true link: few pairs pass the sketches, so what is verified isn't all pairs."""
+    rng = np.random.default_rng(8)
+    base, noise = rng.normal(size=64), rng.normal(size=(3000, 64))
+    noise -= np.outer(noise @ base, base) / (base @ base)
+    x = np.sqrt(0.8) * base / np.linalg.norm(base) + np.sqrt(0.2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.r_[x, x[:20] + 1e-3]
+    counts, components = [], cross_polytope.components
+    monkeypatch.setattr(cross_polytope, "components", lambda edges: counts.append(edges.count()) or components(edges))
+    got = cross_polytope.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert 20 <= counts[0] < 300
+    assert {r["vec_id"]: r["component_id"] for r in got if r["vec_id"] >= 3000} == {3000 + i: i for i in range(20)}
+
+
+@pytest.mark.parametrize("width", [3, 64, 300])
+def test_op8_sketches_keep_cosines(width):
+    """No pair at the limit falls below what sketches are asked for."""
+    rng = np.random.default_rng(width)
+    a = rng.normal(size=(2000, width))
+    b = rng.normal(size=(2000, width))
+    b -= a * ((a * b).sum(axis=1) / (a * a).sum(axis=1))[:, None]
+    b = 0.93 * a / np.linalg.norm(a, axis=1, keepdims=True) + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (cross_polytope.sketches(v).astype(float) for v in (a, b))
+    near = (x * y).sum(axis=1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+    assert near.min() >= cross_polytope.least_near(0.93, x.shape[1])
+
+
 def test_op9(spark):
     at = "/root/testdata/sf0.01"
     got = queries.op9_quality(spark, at).collect()
