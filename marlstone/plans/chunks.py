@@ -78,7 +78,21 @@ def structured_rows(spark: SparkSession, sf: str) -> DataFrame:
 STRUCTURED_ROWS = """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS block, lpad(CAST(l_partkey % 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0') AS codes, l_linenumber, l_returnflag FROM lineitem)
     SELECT l_orderkey, block, codes, md5(l_linenumber || '.' || chr(10) || codes || chr(10) || 'goods ' || l_returnflag) AS digest FROM r"""
 
-_NAMES = "page_blocks cleaned_pages table_rows structured_rows".split()
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a source as the pages of one, some of which open a part or a section; no SQL: blocks are folded."""
+    from ..operators.shared import checkpoints
+    from ..operators.spans import page_chunks as chunks
+
+    checkpoints(spark)
+    opens = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("PART "), F.col("doc_id") % 5 + 1, F.lit("\n"))).when(F.col("doc_id") % 7 == 2, F.concat(F.col("doc_id"), F.lit(". Levy of tax\n"))).otherwise("")
+    pages = table(spark, sf, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").select("source", "doc_id", F.concat(opens, "text").alias("text"))
+    return chunks(pages, "source", "doc_id", "text").select("source", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "kind", "heading", "chunk")
+
+
+PAGE_CHUNKS = None
+
+
+_NAMES = "page_chunks page_blocks cleaned_pages table_rows structured_rows".split()
 QUERIES = {f"q_{n}": (globals()[n], globals()[n.upper()]) for n in _NAMES}
 
 

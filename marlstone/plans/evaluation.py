@@ -16,10 +16,10 @@ from .retrieval import QUALITY_FILTER
 from .sqltext import tokens_sql
 
 
-def _batch_sql(name: str, asked: str, k: int, text: str = "text") -> str:
+def _batch_sql(name: str, asked: str, k: int, text: str = "text", source: str = "documents") -> str:
     """CTEs that end in ``name``(question, key, score, rank): every document scored for every question of ``asked``(question, term, times)."""
     return f"""
-    {name}_tok AS (SELECT doc_id AS key, {tokens_sql(text)} AS toks FROM documents),
+    {name}_tok AS (SELECT doc_id AS key, {tokens_sql(text)} AS toks FROM {source}),
     {name}_raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM {name}_tok) GROUP BY term), (SELECT count(*) AS n FROM {name}_tok)),
     {name}_idf AS (SELECT term, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM {name}_raw) ELSE i END AS idf FROM {name}_raw),
     {name}_tf AS (SELECT key, dl, term, count(*) AS tf FROM (SELECT key, len(toks) AS dl, unnest(toks) AS term FROM {name}_tok) GROUP BY ALL),
@@ -39,6 +39,27 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
 BM25_BATCH = f"""WITH q AS (SELECT question, term, count(*) AS times FROM (SELECT item_id AS question, unnest({tokens_sql()}) AS term FROM benchmark) GROUP BY ALL), {_batch_sql('h', 'q', 10)}
     SELECT question AS item_id, key AS doc_id, score, rank FROM h"""
 
+def index_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of most documents, changed three times and compacted: the benchmark's texts asked of the third version and of the compacted one."""
+    from uuid import uuid4
+
+    from ..operators.segments import SegmentedIndex
+    from ..operators.shared import shared_folder
+
+    docs, asked = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    index = SegmentedIndex(spark, f"{shared_folder(spark)}/segments-{uuid4().hex}", "doc_id")
+    index.upsert(docs.where("doc_id % 10 < 8"))
+    index.upsert(docs.where("doc_id % 10 IN (0, 8, 9)").withColumn("text", F.substring_index("text", "\n", 1)))
+    merged = index.delete(docs.where("doc_id % 7 = 3"))
+    index.compact()
+    hits = [index.search(asked, 10, "item_id", version=v).withColumn("state", F.lit(n)) for n, v in (("merged", merged), ("compacted", merged + 1))]
+    return hits[0].unionByName(hits[1]).select("state", F.col("question").alias("item_id"), F.col("key").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+_LIVE = "(SELECT doc_id, CASE WHEN doc_id % 10 IN (0, 8, 9) THEN split_part(text, chr(10), 1) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3)"
+INDEX_VERSIONS = f"""WITH q AS (SELECT question, term, count(*) AS times FROM (SELECT item_id AS question, unnest({tokens_sql()}) AS term FROM benchmark) GROUP BY ALL), {_batch_sql('h', 'q', 10, source=_LIVE)}
+    SELECT state, question AS item_id, key AS doc_id, score, rank FROM h, (VALUES ('merged'), ('compacted')) v(state)"""
+
 #: Ranks that a channel, the fusion and the cut let through.
 CHANNEL, FUSED, CUT = 50, 20, 3
 STAGES = ["channel", "fusion", "gate", "cut"]
@@ -200,4 +221,4 @@ EVAL_APPROVED = """WITH e AS (SELECT *, CAST(CAST(floor(value) AS BIGINT) AS VAR
       CASE WHEN event_id % 2 > 0 AND event_id % 3 > 0 AND event_id % 5 > 0 AND event_id % 7 > 0 THEN 'no expectations' END], lambda x: x IS NOT NULL) AS issues FROM e)
     SELECT event_id, checks, array_to_string(issues, '; ') AS issues, len(issues) = 0 AS passed FROM i"""
 
-QUERIES = {f"q_{n}": (globals()[n], globals()[n.upper()]) for n in ("bm25_batch", "eval_cascade", "eval_families", "eval_cases", "eval_matrix", "eval_modes", "eval_contract", "eval_sections", "eval_approved")}
+QUERIES = {f"q_{n}": (globals()[n], globals()[n.upper()]) for n in ("bm25_batch", "index_versions", "eval_cascade", "eval_families", "eval_cases", "eval_matrix", "eval_modes", "eval_contract", "eval_sections", "eval_approved")}

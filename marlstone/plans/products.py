@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import specs
 from ..operators import ontology as O
+from ..operators import wishes as W
 from ..sources.tables import table
 
 #: What sellers write; parts have no such facts.
@@ -103,4 +104,37 @@ ONTOLOGY_CROSS_SELL = f"""WITH {_TYPED}, c AS (SELECT * FROM (VALUES ('ring', 'g
     m AS (SELECT a, count(*) AS n, list(CAST(p_partkey AS VARCHAR) ORDER BY place, b, p_partkey) AS best FROM c JOIN r ON r.product_type = c.b GROUP BY a)
     SELECT p_partkey, coalesce(n, 0) AS n_cross_sell, array_to_string(best[1:3], ',') AS cross_sell FROM s LEFT JOIN m ON m.a = s.product_type"""
 
-QUERIES = {f"q_{n}": (globals()[n], globals()[n.upper()]) for n in ("spec_support", "ontology_types", "ontology_cross_sell")}
+#: A wish for parts, with a column and an SQL condition for each slot, and what each counts.
+_WISH = {
+    "kind": ("p_type = 'PROMO'", 3.0), "size": ("p_size >= 25", 2.0), "budget": ("p_retailprice <= 1400", 2.5), "colour": ("p_name LIKE '%red%' OR p_name LIKE '%blue%'", 1.5), "maker": ("p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#12')", 1.0),
+    "thing": ("p_name LIKE '%ring%'", 0.5),
+}
+
+
+def _slots() -> dict:
+    return {n: F.expr(c) for n, (c, _) in _WISH.items()}
+
+
+def wish_relaxations(spark: SparkSession, sf: str) -> DataFrame:
+    return W.relaxations(table(spark, sf, "part"), _slots())
+
+
+def _subset(mask: int) -> str:
+    names = [n for i, n in enumerate(_WISH) if mask >> i & 1]
+    where = " AND ".join(f"({_WISH[n][0]})" for n in names) or "TRUE"
+    return f"SELECT {mask} AS kept, '{','.join(names)}' AS slots, {len(names)} AS n_slots, count(*) AS items FROM part WHERE {where}"
+
+
+WISH_RELAXATIONS = " UNION ALL ".join(_subset(m) for m in range(1 << len(_WISH)))
+
+
+def wish_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The best parts for the wish, within the budget."""
+    found = W.best(table(spark, sf, "part"), _slots(), {n: w for n, (_, w) in _WISH.items()}, [F.col("p_retailprice"), F.col("p_partkey")], 25, ("budget",))
+    return found.select("p_partkey", "score", "missed")
+
+
+WISH_TOP = f"""SELECT p_partkey, round({" + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for c, w in _WISH.values())}, 6) AS score,
+    array_to_string(list_filter([{", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, (c, _) in _WISH.items())}], lambda x: x IS NOT NULL), ',') AS missed FROM part WHERE {_WISH["budget"][0]} ORDER BY score DESC, p_retailprice, p_partkey LIMIT 25"""
+
+QUERIES = {f"q_{n}": (globals()[n], globals()[n.upper()]) for n in ("spec_support", "ontology_types", "ontology_cross_sell", "wish_relaxations", "wish_top")}

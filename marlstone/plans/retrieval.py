@@ -318,13 +318,19 @@ GOVERNING_RULES = """WITH c AS (SELECT c_custkey, n_nationkey, n_regionkey, 'c'
 
 
 def keep_first_near_dup(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents dropped because an earlier kept one of the same source overlaps them; no SQL: the rule is recursive."""
+    """Documents dropped because an earlier kept one of the same source overlaps them."""
     from ..operators.shared import checkpoints
 
     checkpoints(spark)
     return D.keep_first(table(spark, sf, "documents"), "doc_id", "source", "text")
 
 
+KEEP_FIRST_NEAR_DUP = f"""WITH RECURSIVE p AS ({JACCARD_NEAR_DUP}), n AS (SELECT doc_b, list(doc_a) AS earlier, row_number() OVER (ORDER BY doc_b) AS i FROM p GROUP BY doc_b),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS dropped UNION ALL SELECT n.i, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(dropped, x))) > 0 THEN list_append(dropped, doc_b) ELSE dropped END FROM r JOIN n ON n.i = r.i + 1),
+    c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, t) AS first FROM (SELECT source, doc_id, list_sort(list_distinct({_TOKENS})) AS t FROM documents) WHERE len(t) > 0 AND source IS NOT NULL)
+    SELECT unnest(dropped) AS doc_id FROM (SELECT dropped FROM r ORDER BY i DESC LIMIT 1) UNION ALL SELECT doc_id FROM c WHERE doc_id <> first"""
+
+
 def jaccard_copies(spark: SparkSession, sf: str) -> DataFrame:
     """The documents that ``q_jaccard_near_dup`` folds into their representative."""
     return D.copies(table(spark, sf, "documents"), "doc_id", "source", "text")
@@ -343,7 +349,7 @@ QUERIES = {
     "q_tokenize_stats": (tokenize_stats, TOKENIZE_STATS),
     "q_jaccard_near_dup": (jaccard_near_dup, JACCARD_NEAR_DUP),
     "q_jaccard_copies": (jaccard_copies, JACCARD_COPIES),
-    "q_keep_first_near_dup": (keep_first_near_dup, None),
+    "q_keep_first_near_dup": (keep_first_near_dup, KEEP_FIRST_NEAR_DUP),
     "q_dense_topk": (dense_topk, DENSE_TOPK),
     "q_cosine_minscore": (cosine_minscore, COSINE_MINSCORE),
     "q_channel_argmax": (channel_argmax, CHANNEL_ARGMAX),
