@@ -14,7 +14,8 @@ SHARDS = 8
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 #: Bins of each histogram by which a median is narrowed down, and the share of a shard's bytes at which that ends.
 BINS, NEAR = 4096, 1e-4
-_BITS = 31
+#: Bits of a code that part ties, and how many of them part equal rows.
+_BITS, _REPEATS = 31, 11
 
 
 @dataclass
@@ -31,12 +32,12 @@ class Node:
 def coordinates(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and, for each dimension, a code of 62 bits: the scaled value, then a hash that parts ties.
 
-    Nulls come first on every dimension. Rows equal in doc_id and text have equal codes and share a shard.
+    Nulls come first on every dimension. Rows equal in doc_id and text have nearly equal codes, so a cut may fall among them.
     """
     text = F.coalesce("text", F.lit(""))
     name = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)).cast("double")
     raw = {"source": name("source"), "lang": name("lang"), "size": F.log2(F.octet_length(text) + 1.0), "doc_id": F.col("doc_id").cast("double")}
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.xxhash64(text, "doc_id"), F.lit(1 << _BITS)).alias("_tie"), *[raw[d].alias(f"_{d}") for d in DIMENSIONS])
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), (F.pmod(F.xxhash64(text, "doc_id"), F.lit(1 << _BITS - _REPEATS)) * (1 << _REPEATS) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << _REPEATS))).alias("_tie"), *[raw[d].alias(f"_{d}") for d in DIMENSIONS])
     rows = cut(rows)
     span = rows.agg(*[f(f"_{d}").alias(f"{w}_{d}") for d in DIMENSIONS for w, f in (("lo", F.min), ("hi", F.max))]).first()
     codes = []
@@ -74,14 +75,14 @@ def grow(rows: DataFrame, leaves: int) -> tuple[Node, DataFrame]:
             n.dim = max(DIMENSIONS, key=lambda d: ((r[f"hi_{d}"] >> _BITS) - (r[f"lo_{d}"] >> _BITS), r[f"sd_{d}"])) if r else DIMENSIONS[0]
             n.at = 0
             if r:
-                seek[n.first] = [n, 0, 1 << 2 * _BITS + 1, 0, r["bytes"] * (n.leaves // 2) / n.leaves, NEAR * r["bytes"] / n.leaves]
+                seek[n.first] = [n, r[f"lo_{n.dim}"], r[f"hi_{n.dim}"] + 1, 0, r["bytes"] * (n.leaves // 2) / n.leaves, NEAR * r["bytes"] / n.leaves]
         while seek:
             table = [(k, DIMENSIONS.index(n.dim), a, max(1, -(-(b - a) // BINS)), below, float(goal)) for k, (n, a, b, below, goal, _) in seek.items()]
             bins = _joined(placed.select("_leaf", "size", *[f"_{d}" for d in DIMENSIONS]), table, "_dim int, _lo long, _w long, _below long, _goal double")
-            bins = bins.withColumn("_bin", F.expr("CASE WHEN {c} >= _lo THEN ({c} - _lo) div _w END".format(c="element_at(array(" + ", ".join(f"_{d}" for d in DIMENSIONS) + "), _dim + 1)")))
-            bins = bins.where(F.col("_bin") < BINS).groupBy("_leaf", "_bin").agg(F.sum("size").alias("bytes"), F.first("_below").alias("_below"), F.first("_goal").alias("_goal"))
+            bins = bins.withColumn("_c", _code()).withColumn("_bin", F.expr("CASE WHEN _c >= _lo THEN (_c - _lo) div _w END"))
+            bins = bins.where(F.col("_bin") < BINS).groupBy("_leaf", "_bin").agg(F.sum("size").alias("bytes"), F.min("_c").alias("_from"), F.max("_c").alias("_to"), F.first("_below").alias("_below"), F.first("_goal").alias("_goal"))
             upto = F.col("_below") + F.sum("bytes").over(Window.partitionBy("_leaf").orderBy("_bin"))
-            met = bins.withColumn("_upto", upto).groupBy("_leaf").agg(F.min(F.when(F.col("_upto") >= F.col("_goal"), F.struct("_bin", "bytes", "_upto"))).alias("b"), F.max("_upto").alias("all"))
+            met = bins.withColumn("_upto", upto).groupBy("_leaf").agg(F.min(F.when(F.col("_upto") >= F.col("_goal"), F.struct("_bin", "bytes", "_upto", "_from", "_to"))).alias("b"), F.max("_upto").alias("all"))
             found = {r["_leaf"]: r for r in met.collect()}  # a row for each node
             for k, (n, a, b, below, goal, near) in list(seek.items()):
                 w = max(1, -(-(b - a) // BINS))
@@ -91,7 +92,7 @@ def grow(rows: DataFrame, leaves: int) -> tuple[Node, DataFrame]:
                     n.at = a + (i + (2 * (goal - before) >= bytes_)) * w
                     del seek[k]
                 else:
-                    seek[k] = [n, a + i * w, a + (i + 1) * w, before, goal, near]
+                    seek[k] = [n, hit["_from"], hit["_to"] + 1, before, goal, near]  # no wider than what the bin holds
         cuts = [(n.first, DIMENSIONS.index(n.dim), n.at, n.first + n.leaves // 2) for n in todo]
         done = placed.join(F.broadcast(placed.sparkSession.createDataFrame([(n.first,) for n in todo], "_leaf int")), "_leaf", "left_anti")
         split = _joined(placed, cuts, "_dim int, _at long, _right int")
@@ -107,8 +108,7 @@ def grow(rows: DataFrame, leaves: int) -> tuple[Node, DataFrame]:
 def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): every row in one of ``shards``, or of as many as make leaves of ``target_bytes``.
 
-    A cut falls between two documents, so sizes differ by no more than single documents; documents equal in both doc_id
-    and text have one place in the order and stay together. Null text: size 1. Null metadata come first. An empty table
+    A cut falls between two documents, so sizes differ by no more than single documents, repeated rows among them. Null text: size 1. Null metadata come first. An empty table
     gives no rows. Slots number a shard's rows by doc_id without gathering a shard anywhere.
     """
     rows = cut(coordinates(docs))

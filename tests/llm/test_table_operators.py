@@ -63,6 +63,16 @@ def test_op2_tree_against_brute_medians(spark, sf):
     assert len(held) == rows.count()
 
 
+def test_op2_repeated_rows_are_parted(spark):
+    """A thousand times one row, and few others: shards are still as large as each other."""
+    rows = [(1, "the same text", "s", "en")] * 1000 + [(i, "x" * i, "t", "de") for i in range(2, 12)]
+    placed = kd_shards.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)).collect()
+    sizes = Counter()
+    for r in placed:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 3 * 14
+
+
 def test_op2_query_columns(spark, sf):
     df = queries.op2_kd_shards(spark, sf)
     assert dict(df.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
