@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import search
+from ..operators import visual as V
 from ..sources.tables import table
 from .retrieval import _DOT, _NORM
 
@@ -67,5 +68,34 @@ def prune_outliers_all(spark: SparkSession, sf: str) -> DataFrame:
 PRUNE_OUTLIERS_ALL = f"""WITH b AS (SELECT query, score AS s, label AS c FROM {_SCORED} QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) = 1)
     SELECT query, vec_id, label AS family, score FROM {_SCORED} JOIN b USING (query) WHERE s < 0.85 OR c IS NULL OR label IS NOT DISTINCT FROM c OR score >= s - 0.18"""
 
-_NAMES = "dense_topk_all cosine_minscore_all channel_argmax_all exact_gate_all prune_outliers_all".split()
+CHANNELS = ("full_visual", "pattern_visual", "text_visual_tags")
+
+
+def visual_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a label, forty ways parted, as the pictures of products: each hundredth asked in all channels, eight products decided on."""
+    vectors = table(spark, sf, "embeddings")
+    own = vectors.select(F.concat(F.lit("p"), F.coalesce("label", F.lit(-1)), F.lit("-"), F.col("vec_id") % 40).alias("product"), F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), (F.col("vec_id") % 3 + 1).cast("int")).alias("channel"), "embedding", "vec_id", "label")
+    first = F.min("vec_id")
+    products = own.groupBy("product").agg((first % 5).alias("stock"), F.min("label").cast("string").alias("category"), F.when(first % 3 > 0, "product_photo").otherwise("design").alias("kind"), (first % 7 == 0).alias("is_reference"))
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question"), F.explode(F.array(*[F.lit(c) for c in CHANNELS])).alias("channel"), "embedding")
+    return V.decide(V.best_vectors(own, queries, products), 8)
+
+
+_PLACE = "CASE {0} WHEN 'confirmed_exact' THEN 5 WHEN 'likely_same_design' THEN 3 WHEN 'similar_style' THEN 2 ELSE 0 END"
+VISUAL_MATCH = f"""WITH v AS (SELECT *, 'p' || coalesce(label, -1) || '-' || vec_id % 40 AS product, ['full_visual', 'pattern_visual', 'text_visual_tags'][vec_id % 3 + 1] AS channel FROM embeddings),
+    p AS (SELECT product, min(vec_id) % 5 AS stock, CAST(min(label) AS VARCHAR) AS category, min(vec_id) % 3 > 0 AS photo, min(vec_id) % 7 = 0 AS ref FROM v GROUP BY product),
+    s AS (SELECT q.vec_id AS question, product, channel, round({_DOT} / ({_NORM.format('e')} * {_NORM.format('q')}), 6) AS raw, stock FROM v e JOIN p USING (product), (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q),
+    w AS (SELECT *, raw * CASE WHEN stock = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS worth FROM s),
+    b AS (SELECT question, product, round(max(worth), 4) AS score, coalesce(list(DISTINCT channel) FILTER (raw >= 0.5), [first(channel ORDER BY worth DESC, channel DESC)]) AS ch FROM w GROUP BY question, product),
+    t AS (SELECT * FROM b JOIN p USING (product) QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, product) <= 8),
+    l AS (SELECT *, CASE WHEN NOT ref AND photo AND score >= 0.9 THEN 'confirmed_exact' WHEN NOT ref AND photo AND score >= 0.82 THEN 'likely_same_design' WHEN score >= 0.18 THEN 'similar_style' ELSE 'no_confident_match' END AS label FROM t),
+    c AS (SELECT *, round(score + CASE label WHEN 'confirmed_exact' THEN 0.08 WHEN 'likely_same_design' THEN 0.035 WHEN 'similar_style' THEN 0.0 ELSE -0.2 END + CASE WHEN ref THEN -0.02 WHEN photo THEN 0.03 ELSE 0.0 END + CASE WHEN stock > 0 THEN 0.01 ELSE 0.0 END, 6) AS chosen FROM l),
+    f AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY chosen DESC, score DESC, product) = 1 AS prim FROM c),
+    x AS (SELECT *, max(score) FILTER (prim) OVER q AS top, max(category) FILTER (prim) OVER q AS topcat, max(score) FILTER (NOT prim) OVER q AS nxt FROM f WINDOW q AS (PARTITION BY question)),
+    g AS (SELECT *, CASE WHEN prim AND label = 'confirmed_exact' THEN CASE WHEN ch = ['text_visual_tags'] THEN 'no_visual_channel' WHEN ch = ['pattern_visual'] THEN 'pattern_only' WHEN round(top - nxt, 6) < 0.04 THEN 'thin_top_margin' END END AS gate FROM x),
+    h AS (SELECT question, product, score, CASE WHEN gate IS NOT NULL THEN 'likely_same_design' ELSE label END AS label, gate, prim, stock, ref FROM g
+      WHERE prim OR NOT (top >= 0.85 AND coalesce(topcat, '') <> '' AND category IS DISTINCT FROM topcat AND score < round(top - 0.18, 6)))
+    SELECT question, product, score, label, gate, CAST(row_number() OVER (PARTITION BY question ORDER BY prim DESC, {_PLACE.format('label')} DESC, CAST(stock > 0 AS INTEGER) + CAST(NOT ref AS INTEGER) DESC, score DESC, product) AS INTEGER) AS place FROM h"""
+
+_NAMES = "visual_match dense_topk_all cosine_minscore_all channel_argmax_all exact_gate_all prune_outliers_all".split()
 QUERIES = {f"q_{n}": (globals()[n], globals()[n.upper()]) for n in _NAMES}
