@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,34 +16,74 @@ from .lineage import ancestor  # noqa: F401 - part of this module too
 
 #: Bytes of the claims that a task holds at once.
 CLAIM_BYTES = 8 << 20
+#: Bits of the sketch of a token set, and counters by which tokens are ordered from rare to common.
+SKETCH, COUNTERS = 512, 1 << 18
 
 
 def overlapping(docs: DataFrame, key: str, group: str, text: str, least: float = 0.82) -> DataFrame:
     """(group, a, b, overlap): pairs of different token sets of one group whose Jaccard is ``least`` or more; a < b.
 
     Equal sets are one, named by the smallest key. Sets that overlap so much share one of the rarest tokens of each, so
-    only those prefixes are joined; and by size only sets that could reach the share meet.
+    only those prefixes are joined. Two that meet pass on only if their sizes, the place of the token they share and the
+    parities of their tokens (``SKETCH`` bits a set) leave room for the share: bounds that no pair above it fails. So few
+    others are written or moved, and the sets themselves go to the pairs that are left.
     """
-    sets = docs.select(key, group, F.transform(token_set(text), lambda w: F.xxhash64(w)).alias("_t")).where(F.size("_t") > 0).select(key, group, F.array_sort("_t").alias("_t"))
-    sets = sets.groupBy(group, "_t").agg(F.min(key).alias(key)).checkpoint()  # tokens as numbers: read three times, and moved twice
-    rare = sets.select(group, F.explode("_t").alias("_w")).groupBy(group, "_w").agg(F.count("*").alias("_df"))
-    words = sets.select(group, key, F.size("_t").alias("_size"), F.explode("_t").alias("_w")).join(rare.where("_df > 1"), [group, "_w"], "left")
-    held = words.groupBy(group, key).agg(F.first("_size").alias("_size"), F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(1)).alias("_df"), "_w"))).alias("_o"))
-    start = (F.col("_size") - F.ceil(F.col("_size") * least) + 1).cast("int")
-    prefix = held.select(group, key, "_size", F.explode(F.filter(F.slice("_o", F.lit(1), start), lambda x: x["_df"] > 1)).alias("_x")).select(group, key, "_size", F.col("_x._w").alias("_w"))
-    a = prefix.select(group, "_w", F.col(key).alias("a"), F.col("_size").alias("_na"))
-    b = prefix.select(group, "_w", F.col(key).alias("b"), F.col("_size").alias("_nb"))
-    near = (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least) & (F.col("a") < F.col("b"))
-    met = a.join(b, [group, "_w"]).where(near).select(group, "a", "b").distinct()
-    left, right = sets.select(F.col(key).alias("a"), F.col("_t").alias("_x")), sets.select(F.col(key).alias("b"), F.col("_t").alias("_y"))
-    full = met.join(left, "a").join(right, "b")
+    spark = docs.sparkSession
+    hashed = F.sort_array(F.array_distinct(F.transform(tokens(text), lambda w: F.xxhash64(w))))
+    read = docs.select(key, group, F.explode(F.array(hashed)).alias("_t")).where(F.size("_t") > 0)  # a generator's column is computed once
+    sets = read.groupBy(group, "_t").agg(F.min(key).alias(key)).checkpoint()  # tokens as numbers
+    counts = sets.select(F.explode("_t").alias("_w")).groupBy(F.pmod("_w", F.lit(COUNTERS)).cast("int").alias("_c")).agg(F.count("*").alias("_n")).toArrow()
+    often = np.zeros(COUNTERS, dtype=np.int64)  # orders tokens, so it steers cost only
+    often[counts["_c"].to_numpy()] = counts["_n"].to_numpy()
+    held = spark.sparkContext.broadcast(often.astype(np.int32 if often.max(initial=0) < 1 << 31 else np.int64))
+    kind = dict(docs.dtypes)[key]
+    sketch = [f"_s{i}" for i in range(SKETCH // 64)]
+    rows = sets.select(F.col(key).alias("_key"), F.xxhash64(F.lit(7), group).alias("_g"), "_t")
+    prefix = rows.mapInArrow(lambda batches: _prefixes(batches, held.value, least), f"_key {kind}, _w long, _size int, _at int, {', '.join(f'{c} long' for c in sketch)}").repartition("_w")  # moved once for both sides
+    a, b = (prefix.select("_w", *[F.col(c).alias(side + c) for c in prefix.columns if c != "_w"]) for side in "ab")
+    size = F.col("a_size") + F.col("b_size")
+    reaches = lambda both: both / (size - both) >= least
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in sketch])
+    room = reaches(F.least("a_size", "b_size")) & reaches(F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))) & reaches(F.shiftright(size - apart, 1))
+    met = a.join(b, "_w").where((F.col("a_key") < F.col("b_key")) & room).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+    left, right = sets.select(group, F.col(key).alias("a"), F.col("_t").alias("_x")), sets.select(group, F.col(key).alias("b"), F.col("_t").alias("_y"))
+    full = met.join(left, "a").join(right, [group, "b"])
     both = F.size(F.array_intersect("_x", "_y"))
     return full.withColumn("overlap", both / (F.size("_x") + F.size("_y") - both)).where(F.col("overlap") >= least).select(group, "a", "b", "overlap")
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], often: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """For each set of tokens (sorted numbers) its rarest ones, as many as a set of ``least`` in common must share one of, with their places and the set's sketch.
+
+    A sketch's bit is the parity of the tokens that fall on it: sets that differ in d tokens differ in at most d bits.
+    """
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1024):
+            batch = whole.slice(start, 1024)
+            lists = batch.column("_t")
+            size = np.asarray(lists.value_lengths())
+            token, of = np.asarray(lists.flatten()), np.repeat(np.arange(len(size)), size)
+            bits = np.zeros(len(size) * SKETCH, dtype=np.uint8)
+            fell = np.bincount(of * SKETCH + (token.view(np.uint64) >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=len(bits))
+            words = np.packbits((fell & 1).astype(np.uint8)).view(np.int64).reshape(len(size), -1)
+            token = token[np.lexsort((token, often[token % len(often)], of))]
+            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            few = size - np.ceil(size * least - 1e-9).astype(np.int64) + 1
+            kept = at < few[of]
+            own = of[kept]
+            mixed = token[kept] ^ np.asarray(batch.column("_g"))[own]  # tokens of one group only meet
+            columns = [batch.column("_key").take(pa.array(own)), mixed, size[own].astype(np.int32), at[kept].astype(np.int32), *words[own].T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["_key", "_w", "_size", "_at", *(f"_s{i}" for i in range(SKETCH // 64))])
+
+
 def copies(docs: DataFrame, key: str, group: str, text: str) -> DataFrame:
-    """(group, key, representative): each document whose token set another of its group with a smaller key has; the smallest key stands for all in ``overlapping``."""
-    sets = docs.select(key, group, F.array_sort(token_set(text)).alias("_t")).where(F.size("_t") > 0)
+    """(group, key, representative): each document whose token set another of its group with a smaller key has; the smallest key stands for all in ``overlapping``.
+
+    Sets are compared by a SHA-256 of their sorted tokens, so texts are read once and not moved.
+    """
+    named = F.sha2(F.array_join(F.sort_array(F.array_distinct(F.col("_t"))), " "), 256)
+    read = docs.select(key, group, F.explode(F.array(tokens(text))).alias("_t")).where(F.size("_t") > 0)
+    sets = read.select(key, group, F.unhex(named).alias("_t")).checkpoint()
     first = sets.groupBy(group, "_t").agg(F.min(key).alias("representative"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return sets.join(first, [group, "_t"]).where(F.col(key) != F.col("representative")).select(group, key, "representative")
 
