@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -16,16 +21,18 @@ from .shared import shared_folder
 RANGE = 1024
 #: Bytes of questions' terms up to which they are broadcast to the blocks.
 BROADCAST = 8 << 20
+#: Bytes of questions that a task holds, questions that it scores at once, and found rows after which it keeps the best.
+ASKED, CHUNK, POOL = 32 << 20, 2048, 1 << 19
 
 
-def gain(tf: Column, dl: Column, average: Column) -> Column:
+def gain(tf, dl, average):
     """What one unit of a term's weight adds to a document's score."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
 
 
 @dataclass
 class Index:
-    """Written tables: ``blocks`` (term, range, docs, bound, held), ``vocabulary`` (term, df, idf), ``statistics``, one row (n_docs, avg_length)."""
+    """Written tables: ``blocks`` (term, range, keys, tfs, dls, bound, held), ``vocabulary`` (term, df, idf), ``statistics``, one row (n_docs, avg_length)."""
 
     blocks: DataFrame
     vocabulary: DataFrame
@@ -36,18 +43,72 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "vocabulary", "statistics")))
 
 
-def _counted(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
-    """(key, term, tf, dl, lead) for each term of each document; one row of each has ``lead``, so a document without terms has a row too."""
+def counted(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
+    """(key, dl, terms, tfs) of each row: its length in tokens, its different terms and how often each stands in it. Nothing moves."""
     rows = docs.select(F.col(key).alias("key"), F.explode(F.array(tokens(text))).alias("_tokens"))  # a generator's column is computed once
-    rows = rows.select("key", F.size("_tokens").alias("dl"), F.posexplode_outer("_tokens").alias("_at", "term"))
-    return rows.groupBy("key", "term").agg(F.count("term").alias("tf"), F.max("dl").alias("dl"), F.min(F.coalesce("_at", F.lit(0))).alias("_first")).withColumn("lead", F.expr("_first = 0")).drop("_first")
+    return rows.mapInArrow(_count, f"key {dict(docs.dtypes)[key]}, dl int, terms array<string>, tfs array<int>")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1024):
+            batch = whole.slice(start, 1024)
+            lists = batch.column("_tokens")
+            dl, coded = np.asarray(lists.value_lengths()).astype(np.int32), lists.flatten().dictionary_encode()
+            of = np.repeat(np.arange(len(dl), dtype=np.int64), dl)
+            pairs, tf = np.unique(of << 32 | np.asarray(coded.indices).astype(np.int64), return_counts=True)
+            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(pairs >> 32, minlength=len(dl)))].astype(np.int32))
+            terms = coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(dl), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))], names=["key", "dl", "terms", "tfs"])
+
+
+def _like(dl):
+    """Lengths that differ by under a half have one number."""
+    return F.ceil(F.log2(dl + 1) * 2).cast("int")
+
+
+def blocks(rows: DataFrame, average: float) -> DataFrame:
+    """(term, range, keys, tfs, dls, bound, held): the postings of ``counted`` rows. A range is up to ``RANGE`` documents of one task and like length, so nothing moves."""
+    near = rows.where(F.size("terms") > 0).withColumn("_like", _like(F.col("dl"))).sortWithinPartitions("_like")
+    kind = dict(rows.dtypes)["key"]
+    return near.mapInArrow(lambda batches: _inverted(batches, average), f"term string, range long, keys array<{kind}>, tfs array<int>, dls array<int>, bound double, held long")
+
+
+def _inverted(batches: Iterator[pa.RecordBatch], average: float) -> Iterator[pa.RecordBatch]:
+    number, held, n, like = TaskContext.get().partitionId() << 32, [], 0, None
+
+    def block() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        size = np.asarray(pc.list_value_length(rows["terms"].chunk(0)))
+        coded, tf = rows["terms"].chunk(0).flatten().dictionary_encode(), np.asarray(rows["tfs"].chunk(0).flatten())
+        code = np.asarray(coded.indices).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        of, tf, count = np.repeat(np.arange(len(size)), size)[order], tf[order], np.bincount(code, minlength=len(coded.dictionary))
+        dl, starts = np.asarray(rows["dl"].chunk(0))[of], np.r_[0, np.cumsum(count)]
+        offsets = pa.array(starts.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, v) for v in (rows["key"].chunk(0).take(pa.array(of)), pa.array(tf), pa.array(dl))]
+        bound = np.maximum.reduceat(gain(tf, dl, average), starts[:-1])
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(count), number)), *lists, pa.array(bound), pa.array(count)], names=["term", "range", "keys", "tfs", "dls", "bound", "held"])
+
+    for batch in batches:
+        of = np.asarray(batch.column("_like"))
+        at = 0
+        while at < len(of):
+            if held and (of[at] != like or n == RANGE):
+                yield block()
+                number, held, n = number + 1, [], 0
+            like = of[at]
+            take = int(min(np.searchsorted(of, like, side="right") - at, RANGE - n))
+            held.append(batch.slice(at, take))
+            at, n = at + take, n + take
+    if held:
+        yield block()
 
 
 def build(docs: DataFrame, key: str, text: str | Column, path: str | None = None) -> Index:
     """Reads ``docs`` once and writes its index to ``path``, by default a new folder among the checkpoints.
 
-    A range is a set of documents of like length, so that its bounds are near its scores; a document's range follows from
-    its key and length alone. A term in over half of the documents has a share of the mean idf in place of its negative one.
+    A range is a set of documents of like length, so that its bounds are near its scores. A term in over half of the documents has a share of the mean idf in place of its negative one.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/postings-{uuid4().hex}"
@@ -56,28 +117,15 @@ def build(docs: DataFrame, key: str, text: str | Column, path: str | None = None
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    rows = kept(_counted(docs, key, text), "counted")
-    like = F.ceil(F.log2(F.col("dl") + 1) * 2).cast("int")  # lengths that differ by under a half
-    strata = rows.where("lead").groupBy(like.alias("_like")).agg(F.count("*").alias("n"), F.sum("dl").alias("length")).collect()  # a row for each doubling of the length
-    n = sum(r["n"] for r in strata)
-    average = sum(r["length"] for r in strata) / n if n else 0.0
+    rows = kept(counted(docs, key, text), "counted")
+    n, length = rows.agg(F.count("*"), F.sum("dl")).first()
+    average = (length or 0) / n if n else 0.0
     statistics = kept(spark.createDataFrame([(n, float(average))], "n_docs long, avg_length double"), "statistics")
-    df = rows.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("_idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = F.broadcast(raw.agg(F.avg("_idf").alias("_mean")))  # one row
     vocabulary = kept(raw.crossJoin(mean).select("term", "df", F.when(F.col("_idf") < 0, FLOOR * F.col("_mean")).otherwise(F.col("_idf")).alias("idf")).repartitionByRange("term").sortWithinPartitions("term"), "vocabulary")
-    parts = F.create_map(*[F.lit(x) for r in strata for x in (r["_like"], -(-r["n"] // RANGE))]) if strata else F.lit(None).cast("map<int,int>")
-    ranged = rows.where("term IS NOT NULL").withColumn("range", F.shiftleft(like.cast("long"), 40) + F.pmod(F.xxhash64("key"), F.element_at(parts, like)))
-    blocks = ranged.groupBy("term", "range").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("docs"), F.max(gain(F.col("tf"), F.col("dl"), F.lit(average))).alias("bound"), F.count("*").alias("held"))
-    return Index(kept(blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range"), "blocks"), vocabulary, statistics)
-
-
-def _scores(index: Index, asked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(question, key, score): the k best of the documents in the question's ranges."""
-    wanted = pairs.select("question", "range").join(asked, "question")
-    rows = wanted.join(index.blocks.select("term", "range", "docs"), ["term", "range"]).select("question", "weight", F.inline("docs")).crossJoin(F.broadcast(index.statistics.select("avg_length")))
-    score = F.sum(F.col("weight") * gain(F.col("tf"), F.col("dl"), F.col("avg_length"))).alias("score")
-    return top_k_each(rows.groupBy("question", "key").agg(score).where("score > 0"), "question", "score", k, "key").drop("rank")
+    return Index(kept(blocks(rows, average), "blocks"), vocabulary, statistics)
 
 
 def ranges(index: Index, asked: DataFrame) -> DataFrame:
@@ -89,20 +137,150 @@ def ranges(index: Index, asked: DataFrame) -> DataFrame:
 def search(index: Index, questions: DataFrame, k: int, question: str = "question", text: str | Column = "text") -> DataFrame:
     """(question, key, score, rank): for every row of ``questions`` the k best documents over 0, ties by key; a repeated term counts again.
 
-    First the ranges of the highest bounds are scored, as many as surely hold k documents. Their kth score is a limit, and
-    of the other ranges only those whose bound reaches it are scored. Questions without known terms have no rows.
+    Questions without known terms have no rows.
     """
     terms = questions.select(F.col(question).alias("question"), F.explode(tokens(text)).alias("term"))
-    asked = terms.groupBy("question", "term").agg(F.count("*").alias("_times")).join(index.vocabulary, "term").select("question", "term", (F.col("_times") * F.col("idf")).alias("weight")).checkpoint()
+    asked = terms.groupBy("question", "term").agg(F.count("*").alias("_times")).join(index.vocabulary, "term").select("question", "term", (F.col("_times") * F.col("idf")).alias("weight"))
+    return best(index.blocks, asked.checkpoint(), index.statistics.first()["avg_length"], k)
+
+
+def best(held: DataFrame, asked: DataFrame, average: float, k: int) -> DataFrame:
+    """(question, key, score, rank) of ``blocks`` for ``asked`` (question, term, weight), which is read twice.
+
+    Each range goes whole to one task, once for each block of questions, which a task holds. Range after range the task adds
+    up what its documents score, for those questions only whose bound reaches their kth score so far, and passes on k
+    documents a question. So neither pairs of questions and postings nor pairs of questions and documents are ever moved.
+    """
+    spark = held.sparkSession
     size = asked.agg(F.sum(F.length("term") + 40)).first()[0] or 0
-    bounds = ranges(index, F.broadcast(asked) if size < BROADCAST else asked).checkpoint()
-    down = Window.partitionBy("question").orderBy(F.desc("most"), "range")
-    first = bounds.withColumn("_sure", F.coalesce(F.sum("held").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_sure") < k).drop("_sure").checkpoint()
-    tried = _scores(index, asked, first, k).checkpoint()
-    limit = tried.groupBy("question").agg(F.when(F.count("*") >= k, F.min("score")).alias("_limit"))
-    rest = bounds.join(first.select("question", "range"), ["question", "range"], "left_anti").join(limit, "question", "left")
-    rest = rest.where(F.col("_limit").isNull() | (F.col("most") + 1e-6 >= F.col("_limit")))
-    return top_k_each(tried.unionByName(_scores(index, asked, rest, k)), "question", "score", k, "key")
+    parts = max(1, -(-size // ASKED))
+    slices = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
+    if size < BROADCAST:
+        held = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = dict(asked.dtypes)["question"], dict(held.dtypes)["keys"].removeprefix("array<").removesuffix(">")
+    wants = asked.groupBy("question").agg(F.collect_list(F.struct("term", "weight")).alias("_w")).select(F.pmod(F.xxhash64("question"), F.lit(parts)).cast("int").alias("_part"), every(slices).alias("_slice"), "question", F.col("_w.term").alias("terms"), F.col("_w.weight").alias("weights"))
+    rows = held.select(every(parts).alias("_part"), F.pmod(F.xxhash64("range"), F.lit(slices)).cast("int").alias("_slice"), "range", "term", "keys", "tfs", "dls", "bound")
+    dealt = wants.unionByName(rows, allowMissingColumns=True).repartition(parts * slices, "_part", "_slice").sortWithinPartitions("_part", "_slice", F.asc_nulls_first("range"))
+    found = dealt.mapInArrow(lambda batches: _best(batches, average, k), f"question {kinds[0]}, key {kinds[1]}, score double")
+    return top_k_each(found, "question", "score", k, "key")
+
+
+class _Asked:
+    """The questions of a task by their terms, and the best documents of each so far."""
+
+    def __init__(self, k: int):
+        self.k, self.questions, self.terms, self.weights, self.of = k, [], [], [], None
+        self.pool: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.pooled = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.questions.append(batch.column("question"))
+        self.terms.append(batch.column("terms"))
+        self.weights.append(batch.column("weights"))
+
+    def ready(self) -> None:
+        lists = pa.chunked_array(self.terms).combine_chunks()
+        size = np.asarray(lists.value_lengths())
+        coded = lists.flatten().dictionary_encode()
+        code, weight = np.asarray(coded.indices), np.asarray(pa.chunked_array(self.weights).combine_chunks().flatten())
+        order = np.argsort(code, kind="stable")
+        self.of, self.weight = np.repeat(np.arange(len(size)), size)[order], weight[order]
+        self.starts = np.r_[0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))]
+        self.number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        self.limit = np.full(len(size), 5e-7)  # what is rounded to 0 is never found
+
+    def meet(self, rows: list[tuple], average: float) -> None:
+        """One range: (term, keys, tfs, dls, bound) of each of its terms."""
+        rows = [(self.number[r[0]], *r[1:]) for r in rows if r[0] in self.number]
+        if not rows:
+            return
+        most = np.zeros(len(self.limit))
+        for term, _, _, _, bound in rows:
+            at = slice(self.starts[term], self.starts[term + 1])
+            most[self.of[at]] += np.maximum(self.weight[at], 0) * bound  # a question has a term once
+        open_ = np.flatnonzero(most + 1e-6 >= self.limit)
+        if not len(open_):
+            return
+        keys = pa.chunked_array([r[1] for r in rows]).combine_chunks().dictionary_encode(null_encoding="encode")
+        own, ends = np.asarray(keys.indices), np.cumsum([len(r[1]) for r in rows])
+        gains = gain(np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]), average)
+        place = np.full(len(self.limit), -1)
+        for start in range(0, len(open_), CHUNK):
+            chunk = open_[start : start + CHUNK]
+            place[chunk] = np.arange(len(chunk))
+            scores = np.zeros((len(chunk), len(keys.dictionary)))
+            for (term, *_), low, high in zip(rows, np.r_[0, ends[:-1]], ends, strict=True):
+                at = slice(self.starts[term], self.starts[term + 1])
+                to = place[self.of[at]]
+                here = to >= 0
+                if here.any():
+                    scores[np.ix_(to[here], own[low:high])] += np.outer(self.weight[at][here], gains[low:high])
+            place[chunk] = -1
+            scores = np.round(scores, 6)
+            some = np.flatnonzero(scores.max(axis=1) >= self.limit[chunk])
+            if scores.shape[1] > self.k and len(some):
+                kth = np.partition(scores[some], -self.k, axis=1)[:, -self.k]
+                self.limit[chunk[some]] = np.maximum(self.limit[chunk[some]], kth)
+            q, d = np.nonzero(scores[some] >= self.limit[chunk[some]][:, None])
+            self.pool.append((chunk[some][q], scores[some][q, d], keys.dictionary.take(pa.array(d))))
+            self.pooled += len(q)
+            if self.pooled > POOL:
+                self.settle()
+
+    def settle(self) -> None:
+        """Of the pool each question's k best stay, ties by key, and its kth score is a limit from here on."""
+        q, score = (np.concatenate([p[i] for p in self.pool]) for i in (0, 1))
+        key = pa.chunked_array([p[2] for p in self.pool]).combine_chunks()
+        order = np.lexsort((np.asarray(pc.rank(key, sort_keys="ascending", null_placement="at_start", tiebreaker="dense")), -score, q))
+        first = np.r_[True, q[order][1:] != q[order][:-1]]
+        rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        full = order[rank == self.k - 1]
+        self.limit[q[full]] = np.maximum(self.limit[q[full]], score[full])
+        kept = order[rank < self.k]
+        self.pool, self.pooled = [(q[kept], score[kept], key.take(pa.array(kept)))], 0
+
+    def found(self) -> pa.RecordBatch | None:
+        if not self.pool:
+            return None
+        self.settle()
+        q, score, key = self.pool[0]
+        return pa.RecordBatch.from_arrays([pa.chunked_array(self.questions).combine_chunks().take(pa.array(q)), key, pa.array(score)], names=["question", "key", "score"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], average: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, slice and range, questions before postings, to k documents a question of each part and slice."""
+    own, at, range_, rows = None, None, None, []
+
+    def close() -> pa.RecordBatch | None:
+        if own is None or own.of is None:
+            return None
+        own.meet(rows, average)
+        return own.found()
+
+    for batch in batches:
+        part, slice_ = (batch.column(c).to_numpy() for c in ("_part", "_slice"))
+        postings = np.asarray(batch.column("range").is_valid())
+        lists = [batch.column(c) for c in ("keys", "tfs", "dls")]
+        terms, ranges_, bounds = (batch.column(c).to_pylist() for c in ("term", "range", "bound"))
+        for i in range(batch.num_rows):
+            if (part[i], slice_[i]) != at:
+                if (out := close()) is not None:
+                    yield out
+                own, at, range_, rows = _Asked(k), (part[i], slice_[i]), None, []
+            if not postings[i]:
+                own.add(batch.slice(i, 1))
+                continue
+            if not own.questions:
+                continue
+            if own.of is None:
+                own.ready()
+            if ranges_[i] != range_:
+                own.meet(rows, average)
+                range_, rows = ranges_[i], []
+            rows.append((terms[i], lists[0][i].values, *(v[i].values.to_numpy() for v in lists[1:]), bounds[i]))
+    if (out := close()) is not None:
+        yield out
 
 
 def scored_share(index: Index, questions: DataFrame, k: int, question: str = "question", text: str | Column = "text") -> DataFrame:

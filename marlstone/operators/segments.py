@@ -6,8 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .postings import _counted, gain
-from .search import FLOOR, top_k_each
+from . import postings
+from .search import FLOOR
 from .shared import checkpoints
 
 _SEGMENTS = "version long, segments array<long>"
@@ -16,7 +16,7 @@ _SEGMENTS = "version long, segments array<long>"
 class SegmentedIndex:
     """An index under ``path``: each change is a segment of its own, and a version is the list of segments that make it up.
 
-    A segment holds the postings of the documents it brings, the number of documents of each term, and the keys that it
+    A segment holds the documents it brings, a row each with its terms and their numbers, the number of documents of each term, and the keys that it
     takes from all segments before it. Nothing is ever rewritten: a change writes its segment first and then one row in
     ``manifest``, which makes it visible; what fails before leaves the version before in force. A reader keeps the version
     that it started with. ``compact`` writes all that is live as one segment, and older ones may go.
@@ -38,15 +38,16 @@ class SegmentedIndex:
         return (row["version"], list(row["segments"])) if row else (0, [])
 
     def _commit(self, rows: DataFrame | None, dead: DataFrame | None, keep: bool) -> int:
-        """Writes a segment of counted rows and dead keys, and the version that adds it, or that consists of it alone."""
+        """Writes a segment of counted rows, which take their own keys, or of dead keys, and the version that adds it, or that consists of it alone."""
         last, segments = self.latest()
         version = last + 1
         at = f"{self.path}/segment-{version:010d}"
         # A segment that a failed change left behind belongs to no version, so it may be written over.
         if rows is not None:
-            rows.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{at}/counted")
+            rows.write.mode("overwrite").parquet(f"{at}/counted")
             counted = self.spark.read.parquet(f"{at}/counted")
-            counted.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{at}/vocabulary")
+            counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{at}/vocabulary")
+            dead = counted.select("key") if keep else None
         if dead is not None:
             dead.select("key").distinct().write.mode("overwrite").parquet(f"{at}/dead")
         made = self.spark.createDataFrame([(version, [*(segments if keep else []), version])], _SEGMENTS)
@@ -56,8 +57,8 @@ class SegmentedIndex:
     def upsert(self, docs: DataFrame) -> int:
         """Adds ``docs``, in place of whatever has their keys; of rows with one key within ``docs`` one is kept. The new version."""
         rows = docs.select(F.col(self.key).alias("key"), F.col(self.text).alias("_text")).where("key IS NOT NULL")
-        rows = rows.groupBy("key").agg(F.max(F.coalesce("_text", F.lit(""))).alias("_text")).checkpoint()
-        return self._commit(_counted(rows, "key", "_text"), rows, keep=True)
+        rows = rows.groupBy("key").agg(F.max(F.coalesce("_text", F.lit(""))).alias("_text"))
+        return self._commit(postings.counted(rows, "key", "_text"), None, keep=True)
 
     def delete(self, keys: DataFrame) -> int:
         """Removes documents by key; unknown keys change nothing. The new version."""
@@ -65,7 +66,7 @@ class SegmentedIndex:
 
     def compact(self) -> int:
         """One segment of all that is live. Versions before it can still be read."""
-        return self._commit(self.postings(), None, keep=False)
+        return self._commit(self.documents(), None, keep=False)
 
     def _tables(self, name: str, version: int | None) -> DataFrame | None:
         """A table of all segments of a version with ``_segment``; segments without it are left out."""
@@ -85,15 +86,18 @@ class SegmentedIndex:
         dead = self._tables("dead", version)
         return self._tables("counted", version), None if dead is None else dead.groupBy("key").agg(F.max("_segment").alias("_until"))
 
-    def postings(self, version: int | None = None, terms: DataFrame | None = None) -> DataFrame:
-        """(key, term, tf, dl, lead) of the live documents; with ``terms`` (column term) only theirs are read."""
+    def documents(self, version: int | None = None) -> DataFrame:
+        """(key, dl, terms, tfs) of the live documents."""
         rows, dead = self._split(version)
         if rows is None:
-            return self.spark.createDataFrame([], "key long, term string, tf long, dl int, lead boolean")
-        rows = rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+            return self.spark.createDataFrame([], "key long, dl int, terms array<string>, tfs array<int>")
         if dead is not None:
-            rows = rows.join(dead, "key", "left").where(F.col("_until").isNull() | (F.col("_segment") >= F.col("_until"))).drop("_until")
-        return rows.drop("_segment").select("key", "term", "tf", "dl", "lead")
+            rows = rows.join(dead, "key", "left").where(F.col("_until").isNull() | (F.col("_segment") >= F.col("_until")))
+        return rows.select("key", "dl", "terms", "tfs")
+
+    def postings(self, version: int | None = None) -> DataFrame:
+        """(key, term, tf, dl) of the live documents."""
+        return self.documents(version).select("key", "dl", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).select("key", "term", "tf", "dl")
 
     def vocabulary(self, version: int | None = None) -> DataFrame:
         """(term, df) of the live documents: the segments' own counts less the terms of what was taken from them."""
@@ -103,7 +107,7 @@ class SegmentedIndex:
         rows, dead = self._split(version)
         total = counts.select("term", "df")
         if dead is not None:
-            gone = rows.where("term IS NOT NULL").join(dead, "key").where("_segment < _until").groupBy("term").agg((-F.count("*")).alias("df"))
+            gone = rows.join(dead, "key").where("_segment < _until").select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
             total = total.unionByName(gone)
         return total.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
@@ -112,12 +116,11 @@ class SegmentedIndex:
         from ..functions.text import tokens
 
         version = self.latest()[0] if version is None else version
-        lead = self.postings(version).where("lead")
-        statistics = lead.agg(F.count("*").alias("_n"), F.avg("dl").alias("_average")).checkpoint()  # one row
+        live = self.documents(version)
+        statistics = live.agg(F.count("*").alias("_n"), F.avg("dl").alias("_average")).checkpoint()  # one row
         raw = self.vocabulary(version).crossJoin(F.broadcast(statistics.select("_n"))).withColumn("_idf", F.log(F.col("_n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).checkpoint()
         mean = F.broadcast(raw.agg(F.avg("_idf").alias("_mean")))  # one row
         terms = questions.select(F.col(question).alias("question"), F.explode(tokens(text)).alias("term")).groupBy("question", "term").agg(F.count("*").alias("_times"))
         asked = terms.join(raw, "term").crossJoin(mean).select("question", "term", (F.col("_times") * F.when(F.col("_idf") < 0, FLOOR * F.col("_mean")).otherwise(F.col("_idf"))).alias("weight"))
-        rows = self.postings(version, asked).join(asked, "term").crossJoin(F.broadcast(statistics.select("_average")))
-        scores = rows.groupBy("question", "key").agg(F.sum(F.col("weight") * gain(F.col("tf"), F.col("dl"), F.col("_average"))).alias("score"))
-        return top_k_each(scores.where("score > 0"), "question", "score", k, "key")
+        average = statistics.first()["_average"] or 0.0
+        return postings.best(postings.blocks(live, average), asked.checkpoint(), average, k)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from marlstone.operators import documents
+from marlstone.operators import documents, postings
 from marlstone.operators.shared import checkpoints
 
 
@@ -41,3 +41,17 @@ def test_near_duplicates_move_what_grows_with_the_input(spark):
 
     few, many = moved(spark, lambda: run(200)), moved(spark, lambda: run(800))
     assert many < 4.5 * few, (few, many)
+
+
+def test_batch_search_moves_neither_pairs_nor_their_postings(spark):
+    """Twice the documents and the questions: what is moved grows no faster, though each question meets every document."""
+    checkpoints(spark)
+    rng = np.random.default_rng(5)
+
+    def run(n):
+        docs = spark.createDataFrame([(i, " ".join(f"w{w}" for w in rng.integers(0, 30, 20))) for i in range(n)], "id long, t string").repartition(4)
+        asked = docs.where("id % 4 = 0").selectExpr("id AS question", "t AS text")
+        assert postings.search(postings.build(docs, "id", "t"), asked, 3).count() == 3 * n // 4
+
+    few, many = moved(spark, lambda: run(400)), moved(spark, lambda: run(1600))
+    assert many < 4.5 * few, (few, many)
