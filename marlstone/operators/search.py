@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from copy import copy
 from functools import reduce
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +189,75 @@ def similar(vectors: DataFrame, query: DataFrame, vector: str = "embedding", cos
     return rows.withColumn("score", score / (norm(F.col(vector)) * norm(F.col("_query"))) if cosine else score).drop("_query")
 
 
+def meet(vectors: DataFrame, queries: DataFrame, keep: Callable[..., dict], schema: str, vector: str = "embedding", cosine: bool = False, zero: float = -np.inf, near: list[str] | None = None) -> DataFrame:
+    """What ``keep`` takes of the scores of each block of ``vectors`` against each block of ``queries`` (with ``_query`` and other columns).
+
+    Blocks are rows, and a pair of blocks is scored in a task by one product of matrices in double precision: no pair of
+    vectors is a row unless ``keep`` makes it one. ``keep`` gets the columns of both sides but the vectors, as Arrow tables, and
+    the scores (a row a query), and returns columns for ``schema``. A vector that is null, holds a null or has another length than
+    the query's has no score (minus infinity); a cosine with a zero vector is ``zero``. ``near``: columns by which vectors lie together in blocks.
+    """
+    checkpoints(vectors.sparkSession)
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.repartitionByRange(parts, *near).sortWithinPartitions(*near) if near else vectors.repartition(parts)
+    left = dealt.mapInArrow(lambda b: _packed(b, vector, 2048), "_rows binary").checkpoint()  # each side is read again for every part of the other
+    right = queries.repartition(4).mapInArrow(lambda b: _packed(b, "_query", 1024), "_asked binary").checkpoint()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, asked in zip(batch.column("_rows"), batch.column("_asked"), strict=True):
+                own, ask = (pa.ipc.open_stream(side.as_py()).read_all().combine_chunks() for side in (rows, asked))
+                scores = np.full((ask.num_rows, own.num_rows), -np.inf)
+                for length, at in _lengths(ask.column("_query")).items():
+                    to = _lengths(own.column(vector)).get(length)
+                    if to is not None:
+                        x, y = _matrix(ask.column("_query"), at, length), _matrix(own.column(vector), to, length)
+                        product = x @ y.T
+                        if cosine:
+                            norms = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))
+                            product = np.where(norms > 0, product / np.where(norms > 0, norms, 1), zero)
+                        scores[np.ix_(at, to)] = product
+                found = keep(ask.drop_columns("_query"), own.drop_columns(vector), scores)
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in found.values()], names=list(found))
+
+    return left.crossJoin(right).mapInArrow(run, schema)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], vector: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows, each one value: an Arrow stream."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch.slice(start, most))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["_asked" if vector == "_query" else "_rows"])
+
+
+def _lengths(column: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The places of whole vectors by their length."""
+    size = np.array([-1 if v is None or None in v else len(v) for v in column.to_pylist()] if column.null_count or column.combine_chunks().flatten().null_count else pc.list_value_length(column).to_numpy())
+    return {int(n): np.flatnonzero(size == n) for n in np.unique(size) if n >= 0}
+
+
+def _matrix(column: pa.ChunkedArray, at: np.ndarray, length: int) -> np.ndarray:
+    flat = column.take(pa.array(at)).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), length)
+
+
+def first_each(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest of each row of ``scores``, ties to the smaller key; not a number counts as highest, as Spark orders it."""
+    value = np.where(np.isnan(scores), np.inf, scores)
+    if value.shape[1] > k:
+        q, d = np.nonzero(value >= np.partition(value, -k, axis=1)[:, -k][:, None])
+    else:
+        q, d = (x.ravel() for x in np.indices(value.shape))
+    order = np.lexsort((keys[d], -value[q, d], q))
+    q, d = q[order], d[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return q[rank < k], d[rank < k]
+
+
 def fuse(rankings: list[DataFrame], key: str) -> DataFrame:
     """Reciprocal rank fusion: (key, score, n_lists) summed over every ranking that holds the key."""
     rows = rankings[0].select(key, "rank")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import dot, norm
+from .search import meet
 
 # What a sold-out product's score is multiplied by, and from which score a channel agrees.
 SOLD_OUT, AGREES = 0.3, 0.5
@@ -23,12 +25,24 @@ def best_vectors(vectors: DataFrame, queries: DataFrame, products: DataFrame, ag
 
     ``vectors`` are (product, channel, embedding), ``queries`` (question, channel, embedding): a picture in each channel in
     which it is asked; ``products`` (product, stock, category, kind, is_reference). A vector is met by the questions of its
-    channel only, and what it says is combined by question and product before it moves.
+    channel only, in blocks by channel and product; of each of these a block passes on the highest cosine.
     """
-    asked = queries.select("question", "channel", F.col("embedding").alias("_q"), norm(F.col("embedding")).alias("_qn"))
-    held = vectors.select("product", "channel", "embedding", norm(F.col("embedding")).alias("_n")).join(products.select("product", "stock"), "product")
-    cosine = F.when((F.col("_n") > 0) & (F.col("_qn") > 0), dot(F.col("embedding"), F.col("_q")) / (F.col("_n") * F.col("_qn"))).otherwise(0.0)
-    scores = held.join(asked, "channel").select("question", "product", "channel", F.round(cosine, 6).alias("_raw"), "stock")
+    kinds = dict(queries.dtypes)["question"], dict(vectors.dtypes)["product"]
+
+    def highest(asked, own, scores: np.ndarray) -> dict:
+        group = own.to_pandas().groupby(["channel", "product"], dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+        most, first = np.maximum.reduceat(scores[:, order], starts, axis=1), order[starts]
+        channel = own["channel"].take(pa.array(first))
+        same = asked["channel"].to_numpy()[:, None] == channel.to_numpy()
+        q, g = np.nonzero(same)
+        return {"question": asked["question"].take(pa.array(q)), "product": own["product"].take(pa.array(first[g])), "channel": channel.take(pa.array(g)), "_raw": pa.array(most[q, g], mask=np.isneginf(most[q, g]))}
+
+    held = vectors.where("channel IS NOT NULL").select("product", "channel", "embedding")
+    asked = queries.where("channel IS NOT NULL").select("question", "channel", F.col("embedding").alias("_query"))
+    met = meet(held, asked, highest, f"question {kinds[0]}, product {kinds[1]}, channel string, _raw double", cosine=True, zero=0.0, near=["channel", "product"])
+    scores = met.groupBy("question", "product", "channel").agg(F.round(F.max("_raw"), 6).alias("_raw")).join(products.select("product", "stock"), "product")
     worth = F.col("_raw") * F.when(F.coalesce(F.col("stock"), F.lit(1)) == 0, SOLD_OUT).otherwise(1.0)
     best = scores.groupBy("question", "product").agg(
         F.round(F.max(worth), 4).alias("score"), F.array_sort(F.collect_set(F.when(F.col("_raw") >= agrees, F.col("channel")))).alias("channels"), F.max_by("channel", F.struct(worth, "channel")).alias("_best")

@@ -23,3 +23,18 @@ def test_every_hundredth_vector_asks(spark, sf, name):
     rows, one = QUERIES[f"q_{name}_all"][0](spark, sf).collect(), QUERIES[f"q_{name}"][0](spark, sf)
     assert {r["query"] for r in rows} == asked and len(asked) > 1
     assert sorted(tuple(r[c] for c in one.columns) for r in rows if r["query"] == 0) == sorted(map(tuple, one.collect()))
+
+
+def test_pairs_are_scored_in_blocks(spark):
+    """Only what is kept becomes a row; null vectors, nulls within and other lengths have no score, a zero vector's cosine is what is asked."""
+    import numpy as np
+
+    vectors = spark.createDataFrame([(0, [3.0, 4.0]), (1, [4.0, 3.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.0, 0.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [3.0, 4.0]), (8, [2.0])], "query long, _query array<double>")
+
+    def keep(asked, own, scores):
+        q, d = np.nonzero(np.isfinite(scores))
+        return {"query": asked["query"].to_numpy()[q], "id": own["id"].to_numpy()[d], "score": scores[q, d]}
+
+    got = {(r["query"], r["id"]): round(r["score"], 9) for r in search.meet(vectors, asked, keep, "query long, id long, score double", cosine=True, zero=0.0).collect()}
+    assert got == {(7, 0): 1.0, (7, 1): 0.96, (7, 5): 0.0, (8, 4): 1.0}
