@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,23 +13,82 @@ LABELS = ("Legal basis:", "Reasoning:", "Missing facts:", "Citations:", "Verific
 REFUSAL = "Information not found in retrieved evidence."
 
 
+#: Up to so many prices all their sums are columns of one matrix for many answers; above, an answer's sums are made on their own.
+FEW = 10
+#: Numbers of such a matrix.
+BLOCK = 1 << 20
+
+
+def _sums(prices: np.ndarray, most: int) -> np.ndarray:
+    """All sums of one to ``most`` of the prices, each once: what so many of the prices so far make, with and without the next."""
+    by_count = [np.zeros(1, dtype=np.int64)] + [np.zeros(0, dtype=np.int64)] * most
+    for price in prices:
+        for n in range(most, 0, -1):
+            by_count[n] = np.union1d(by_count[n], by_count[n - 1] + price)
+    return np.unique(np.concatenate(by_count[1:]))
+
+
+def _offered(prices: np.ndarray, most: int) -> np.ndarray:
+    """For rows of equally many prices the sums of one to ``most`` and the differences of two."""
+    sums, counts = np.zeros((len(prices), 1), dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for k in range(prices.shape[1]):
+        sums, counts = np.hstack([sums, sums + prices[:, k : k + 1]]), np.r_[counts, counts + 1]
+    gaps = np.abs(prices[:, :, None] - prices[:, None, :]).reshape(len(prices), -1)
+    return np.hstack([sums[:, (counts > 0) & (counts <= most)], gaps])
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's numbers start, the numbers, and where they are null."""
+    size, flat = pc.fill_null(pc.list_value_length(column), 0), column.flatten()
+    return np.r_[0, np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))], pc.fill_null(flat, 0).to_numpy(), flat.is_null().to_numpy(zero_copy_only=False)
+
+
+def _backed(said: pa.ListArray, cents: pa.ListArray, most: int) -> pa.ListArray:
+    """For each row's numbers whether its prices make them, to one; null where a price or the number is."""
+    (to, number, none), (at, price, missing) = _lists(said), _lists(cents)
+    held = np.zeros(len(number), dtype=bool)
+    unknown = cents.is_null().to_numpy(zero_copy_only=False)
+    unknown[np.repeat(np.arange(len(cents)), np.diff(at))[missing]] = True
+    n_said, n_prices = np.diff(to), np.diff(at)
+    for size in np.unique(n_prices).tolist():
+        rows = np.flatnonzero((n_prices == size) & ~unknown)
+        step = max(1, BLOCK // (2**size + size * size)) if size <= FEW else 1
+        for block in (rows[i : i + step] for i in range(0, len(rows), step)):
+            prices = price[at[block][:, None] + np.arange(size)]
+            offered = _offered(prices, most) if size <= FEW else np.r_[_sums(prices[0], most), np.abs(prices[0][:, None] - prices[0]).ravel()][None]
+            for k in range(n_said[block].max(initial=0)):
+                own = n_said[block] > k
+                place = to[block[own]] + k
+                held[place] = (np.abs(offered[own] - number[place][:, None]) <= 1).any(axis=1)
+    return pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(held, mask=none | np.repeat(unknown, n_said)))
+
+
+def _cents(prices: Column) -> Column:
+    return F.transform(prices, lambda p: F.round(p * 100).cast("long"))
+
+
 def reachable_sums(prices: Column, most: int = 5) -> Column:
-    """All sums of one to ``most`` of an answer's few prices, in whole hundredths, each once.
+    """All sums of one to ``most`` of an answer's few prices, in whole hundredths, each once; null if a price is."""
 
-    Prices are taken up one after the other, and every sum so far is kept with and without the next.
-    """
-    start = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("s")))
-    cents = F.transform(prices, lambda p: F.round(p * 100).cast("long"))
-    sums = F.aggregate(cents, start, lambda a, p: F.array_distinct(F.concat(a, F.transform(F.filter(a, lambda x: x["n"] < most), lambda x: F.struct((x["n"] + 1).alias("n"), (x["s"] + p).alias("s"))))))
-    return F.array_distinct(F.transform(F.filter(sums, lambda x: x["n"] > 0), lambda x: x["s"]))
+    @F.arrow_udf("array<bigint>")
+    def sums(cents: pa.Array) -> pa.Array:
+        return pa.array([None if row is None or None in row else _sums(np.array(row, dtype=np.int64), most) for row in cents.to_pylist()], pa.list_(pa.int64()))
+
+    return sums(_cents(prices))
 
 
 def unsupported_prices(mentioned: Column, prices: Column) -> Column:
-    """Mentioned prices that are no sum of up to five given ones and no difference of two, to a hundredth."""
-    cents = F.transform(prices, lambda p: F.round(p * 100).cast("long"))
-    gaps = F.flatten(F.transform(cents, lambda a: F.transform(cents, lambda b: F.abs(a - b))))
-    backed = F.array_union(reachable_sums(prices), gaps)
-    return F.filter(mentioned, lambda m: ~F.exists(backed, lambda b: F.abs(F.round(m * 100).cast("long") - b) <= 1))
+    """Mentioned prices that are no sum of up to five given ones and no difference of two, to a hundredth. Where a price is null none is named.
+
+    Sums are columns of a matrix, made for all answers of a batch that have equally many prices.
+    """
+
+    @F.arrow_udf("array<boolean>")
+    def backed(said: pa.Array, cents: pa.Array) -> pa.Array:
+        return _backed(said, cents, 5)
+
+    pairs = F.arrays_zip(mentioned.alias("m"), backed(_cents(mentioned), _cents(prices)).alias("ok"))
+    return F.transform(F.filter(pairs, lambda x: ~x["ok"]), lambda x: x["m"])
 
 
 def stock_claim_faults(text: Column, stock: Column) -> Column:

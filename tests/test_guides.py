@@ -66,6 +66,24 @@ def test_price_sums(spark):
     assert set(got["s"]) == sums and got["u"] == [78.24, 0.3]  # all six are one price too many
 
 
+def test_price_sums_of_many_answers(spark):
+    """Answers of many sizes against all combinations; nulls; sums are numbers of a matrix, so an answer of ten prices costs what ten thousand did."""
+    import random
+
+    random.seed(6)
+    rows = [([random.randint(1, 40) / 4 for _ in range(random.randint(0, 12))], [random.randint(1, 400) / 4 for _ in range(random.randint(0, 4))]) for _ in range(200)]
+    rows += [([], [1.0]), (None, [1.0]), ([1.0], None), ([1.0, None], [5.0]), ([1.0], [None, 1.0, 3.0])]
+    data = spark.createDataFrame([(i, p, m) for i, (p, m) in enumerate(rows)], "i int, p array<double>, m array<double>").repartition(3)
+    got = {r["i"]: r["u"] for r in data.select("i", guards.unsupported_prices(F.col("m"), F.col("p")).alias("u")).collect()}
+    for i, (p, m) in enumerate(rows[:-3]):
+        cents = [round(x * 100) for x in p or []]
+        made = {sum(c) for n in range(1, 6) for c in itertools.combinations(cents, n)} | {abs(a - b) for a in cents for b in cents}
+        assert got[i] == ([x for x in m if not any(abs(round(x * 100) - s) <= 1 for s in made)] if p is not None else []), i
+    assert [got[i] for i in range(len(rows) - 3, len(rows))] == [None, [], [3.0]]
+    plan = data.select(guards.unsupported_prices(F.col("m"), F.col("p")).alias("u"))._jdf.queryExecution().toString()
+    assert "array_distinct" not in plan and "aggregate(" not in plan
+
+
 def test_answer_policy_and_stock(spark):
     rows = [("a", 0, "Citations: x", False), ("a", 1, "Wrong.", False), ("b", 0, "Right.", True), ("b", 1, "Wrong.", False), ("c", 0, "Right.", True)]
     out = {r["k"]: (r["final"], r["n_removed"], r["refused"]) for r in guards.answer_policy(spark.createDataFrame(rows, "k string, at int, c string, ok boolean"), "k", "at", "c", "ok").collect()}
