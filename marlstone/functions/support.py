@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .legal import definition_target, normalized
 from .questions import salient_terms
-from .text import tokens
+from .text import meets, tokens
 
 # Words of questions that are too common to tell a subject.
 GENERIC = (
@@ -78,20 +78,25 @@ def shares_phrases(asked: Column, passage: Column) -> Column:
     return reduce(lambda a, b: a & b, each)
 
 
-def supports(asked: Column, passage: Column, overlap: Column) -> dict[str, Column]:
-    """For each kind whether a passage supports the question; ``overlap`` is how many informative terms they share."""
+def says(passage: Column) -> dict[str, Column]:
+    """Of which things a passage speaks."""
+    return {k: meets(passage, p) for k, p in (("amount", AMOUNT), ("duration", DURATION), ("date", DATE), ("list", LIST), ("eligibility", ELIGIBILITY), ("number", r"\b[0-9]+\b"))}
+
+
+def supports(asked: Column, passage: Column, overlap: Column, told: dict[str, Column] | None = None) -> dict[str, Column]:
+    """For each kind whether a passage supports the question; ``overlap`` is how many informative terms they share, ``told`` what ``says`` gave."""
     related = shares_phrases(asked, passage) & (overlap > 0)
-    says = {k: F.rlike(passage, F.lit(p)) for k, p in (("amount", AMOUNT), ("duration", DURATION), ("date", DATE), ("list", LIST), ("eligibility", ELIGIBILITY), ("number", r"\b[0-9]+\b"))}
+    told = told or says(passage)
     roles = reduce(lambda a, b: a & b, [~F.contains(asked, F.lit(r)) | any_of(passage, terms) | any_of(passage, TAXABLE) for r, terms in ROLES.items()])
     focus = reduce(lambda a, b: a | b, [F.contains(asked, F.lit(p)) & F.contains(passage, F.lit(p)) for p in COMPARED])
     return {
-        "amount_lookup": related & says["amount"],
-        "count_lookup": related & (says["list"] | says["number"]),
-        "duration_lookup": related & says["duration"],
-        "date_lookup": related & says["date"],
-        "list_lookup": related & says["list"],
-        "comparison": shares_phrases(asked, passage) & (~F.contains(asked, F.lit("tax day")) | says["date"]) & ((overlap > 0) | focus),
-        "eligibility": says["eligibility"] & roles & shares_phrases(asked, passage) & ((overlap > 0) | any_of(passage, ANCHORS)),
+        "amount_lookup": related & told["amount"],
+        "count_lookup": related & (told["list"] | told["number"]),
+        "duration_lookup": related & told["duration"],
+        "date_lookup": related & told["date"],
+        "list_lookup": related & told["list"],
+        "comparison": shares_phrases(asked, passage) & (~F.contains(asked, F.lit("tax day")) | told["date"]) & ((overlap > 0) | focus),
+        "eligibility": told["eligibility"] & roles & shares_phrases(asked, passage) & ((overlap > 0) | any_of(passage, ANCHORS)),
     }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,46 @@ def normalize_digits(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(f"[{BENGALI_DIGITS}]")), F.translate(text, BENGALI_DIGITS, "0123456789")).otherwise(text)
 
 
+def _parts(pattern: str) -> list[str]:
+    """A regular expression's characters, escapes and classes each as one."""
+    return re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern, re.S)
+
+
+def branches(pattern: str) -> list[str]:
+    """The outermost alternatives of a regular expression."""
+    found, depth = [""], 0
+    for part in _parts(pattern):
+        depth += (part == "(") - (part == ")")
+        if part == "|" and not depth:
+            found.append("")
+        else:
+            found[-1] += part
+    return found
+
+
+def required(branch: str) -> str:
+    """The longest run of characters that every match of an alternative holds; empty if none is sure."""
+    runs, depth, counted, parts = [""], 0, False, _parts(branch)
+    for part, after in zip(parts, [*parts[1:], ""], strict=True):
+        depth += (part == "(") - (part == ")")
+        counted = part == "{" or counted and part != "}"
+        if depth or counted or part in set("()?*+{}^$.") or part.startswith("[") or re.fullmatch(r"\\\w", part) or after in ("?", "*", "{"):
+            runs.append("")
+        else:
+            runs[-1] += part[-1]
+            if after == "+":
+                runs.append("")
+    return max(runs, key=len)
+
+
+def meets(text: Column, pattern: str) -> Column:
+    """Whether a text meets a regular expression. An alternative is tried only where the text holds the characters that it can't do without."""
+    known = [(b, required(b)) for b in branches(pattern)]
+    tests = [F.contains(text, F.lit(r)) if b == r else F.contains(text, F.lit(r)) & F.rlike(text, F.lit(b)) for b, r in known if r]
+    rest = [b for b, r in known if not r]
+    return reduce(lambda a, b: a | b, tests + ([F.rlike(text, F.lit("|".join(rest)))] if rest else []))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased words and numbers of any script in order, repeats included; Bengali digits are read as others; null text has none."""
     text = F.col(text) if isinstance(text, str) else text

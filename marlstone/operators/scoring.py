@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import support as S
-from ..functions.legal import definition_target, normalized, query_signals
-from ..functions.questions import salient_terms
+from ..functions.legal import query_signals, question_parts
 from ..functions.scores import authority_value
 from ..functions.text import quality_score, tokens
 
@@ -169,6 +168,14 @@ def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def with_signals(rows: DataFrame, question: Column, into: str) -> DataFrame:
+    """``rows`` with the struct ``into`` of a question's signals and the columns of ``question_parts``, each read once."""
+    names = []
+    for step in question_parts(question):
+        rows, names = once(rows, step), [*names, *step]
+    return once(rows, {into: query_signals(question, {n: F.col(n) for n in names})})
+
+
 #: What a passage has: title, headings (a list), body, section, subsection, tax_year, appendix, order_id, type and authority.
 PASSAGE = ("title", "headings", "body", "section", "subsection", "tax_year", "appendix", "order_id", "type", "authority")
 
@@ -178,50 +185,53 @@ def with_facts(rows: DataFrame, question: str, passage: str, lexical_score: str
     q, p = F.coalesce(F.col(question), F.lit("")), F.col(passage)
     nothing = F.array().cast("array<string>")
     headings, body = F.coalesce(p["headings"], nothing), F.coalesce(p["body"], F.lit(""))
-    rows = once(rows, {"_signals": query_signals(q), "_asked": F.lower(normalized(q)), "_target": definition_target(q), "_heads": headings, "_own": S.lowered(headings, body)})
+    rows = with_signals(rows, q, "_signals")
+    rows = once(rows, {"_heads": headings, "_own": S.lowered(headings, body)})
     title = F.coalesce(p["title"], F.lit(""))
     kind = F.col("_signals.kind")
     rows = once(rows, {
-        "_terms": F.array_distinct(tokens(q)), "_salient": salient_terms(q), "_informative": S.informative_terms(q, kind), "_full": F.concat_ws(" ", F.lower(title), F.col("_own")),
+        "_terms": F.array_distinct("_tokens"), "_informative": S.informative_terms(q, kind), "_full": F.concat_ws(" ", F.lower(title), F.col("_own")),
         "_heading_terms": F.array_distinct(tokens(F.array_join("_heads", " "))), "_reference": F.col("_signals.reference"),
     })
-    own, full, asked, wanted = F.col("_own"), F.col("_full"), F.col("_asked"), F.col("_reference")
-    rows = once(rows, {"_words": F.array_distinct(tokens(full))})
+    own, full, asked, wanted = F.col("_own"), F.col("_full"), F.col("_lower"), F.col("_reference")
+    rows = once(rows, {"_words": F.array_distinct(tokens(full)), "_says": F.struct(*[c.alias(n) for n, c in S.says(own).items()])})
     common = lambda a, b: F.size(F.array_intersect(a, b))
     rows = once(rows, {"_shared": common("_informative", "_words")})
-    each = S.supports(asked, own, F.col("_shared"))
+    each = S.supports(asked, own, F.col("_shared"), {n: F.col(f"_says.{n}") for n in S.says(own)})
     begins = lambda text: F.rlike(text, F.concat(F.lit("^"), F.replace(wanted, F.lit("."), F.lit("\\.")), F.lit(r"(?:[.)]|\s*[—:-])")))
     same = lambda name, signal: p[name].eqNullSafe(F.col(f"_signals.{signal}"))
-    says = lambda pattern: F.rlike(own, F.lit(pattern))
-    focus = tokens(F.coalesce("_target", F.lit("")))
+    says = lambda what: F.col(f"_says.{what}")
+    focus = tokens(F.coalesce("_defined", F.lit("")))
     target = (F.size(focus) > 0) & F.forall(focus, lambda t: F.contains(full, t))
     facts = {
         "quality": quality_score(body), "authority": authority_value(p["authority"]), "lexical_score": F.col(lexical_score) if lexical_score else F.lit(0.0), "dense_score": F.col(dense_score) if dense_score else F.lit(0.0),
         "heading_shared": common("_terms", "_heading_terms"), "heading_salient": common("_salient", "_heading_terms"), "heading_salient_one": common("_salient", "_heading_terms") <= 1,
         "shared": F.col("_shared"), "salient_shared": common("_salient", "_words"),
         "asks_reference": wanted.isNotNull(), "asks_section": F.col("_signals.section").isNotNull(), "asks_subsection": F.col("_signals.subsection").isNotNull(), "asks_year": F.col("_signals.tax_year").isNotNull(),
-        "asks_appendix": F.col("_signals.appendix").isNotNull(), "asks_order": F.col("_signals.order_id").isNotNull(), "asks_terms": F.size("_informative") > 0, "asks_target": F.col("_target").isNotNull(),
+        "asks_appendix": F.col("_signals.appendix").isNotNull(), "asks_order": F.col("_signals.order_id").isNotNull(), "asks_terms": F.size("_informative") > 0, "asks_target": F.col("_defined").isNotNull(),
         "asks_labour": S.any_of(asked, ("labour", "labor", "worker")), "asks_salary": S.any_of(asked, ("salary", "salaried", "employee")), "asks_company": S.any_of(asked, ("company", "কোম্পানি", "কম্পানি", "software")),
-        "asks_company_by_name": F.rlike(asked, F.lit("কোম্প|কম্প|মকাম্প|ককাম্প|company")), "asks_software": F.contains(asked, F.lit("software")), "asks_service": F.contains(asked, F.lit("service")),
+        "asks_company_by_name": S.any_of(asked, COMPANY), "asks_software": F.contains(asked, F.lit("software")), "asks_service": F.contains(asked, F.lit("service")),
         "exact_heading": begins(body) | F.exists("_heads", begins), "subsection_asked": p["subsection"].eqNullSafe(wanted), "section_asked": p["section"].eqNullSafe(wanted),
         "other_section": F.col("_signals.section").isNotNull() & p["section"].isNotNull() & (p["section"] != F.col("_signals.section")), "same_section": same("section", "section"), "has_section": p["section"].isNotNull(),
         "same_subsection": same("subsection", "subsection"), "same_year": same("tax_year", "tax_year"), "same_appendix": same("appendix", "appendix"), "same_order": same("order_id", "order_id"),
         "is_table": p["type"] == "table", "is_example": p["type"] == "example", "is_procedure": p["type"] == "procedure", "has_heading": F.size("_heads") > 0,
         "table_of_rates": (p["type"] == "table") & S.any_of(full, ("করহার", "কর হার", "tax rate", "rate of tax")), "table_elsewhere": (p["type"] == "table") & ~same("subsection", "subsection"),
         "says_rate_or_payable": S.any_of(full, ("করহার", "কর হার", "tax rate", "rate of tax", "tax payable")), "says_rate_in_bengali": S.any_of(body, ("করহার", "কর হার")),
-        "says_amount": says(S.AMOUNT), "says_duration": says(S.DURATION), "says_date": says(S.DATE), "says_list": says(S.LIST), "says_count": says(S.LIST) | F.exists("_words", lambda w: F.rlike(w, F.lit("^[0-9]+$"))),
+        "says_amount": says("amount"), "says_duration": says("duration"), "says_date": says("date"), "says_list": says("list"), "says_count": says("list") | F.exists("_words", lambda w: F.rlike(w, F.lit("^[0-9]+$"))),
         "says_labourer": S.any_of(full, ("day labourer", "day laborer", "worker")), "says_employee": S.any_of(full, ("employee", "employment")), "says_salary": S.any_of(full, ("salary", "employee", "employment", "income from employment")),
-        "says_anchor": S.any_of(full, S.ANCHORS), "says_company": S.any_of(full, ("company", "কোম্পানি", "কম্পানি", "software")), "says_company_by_name": F.rlike(own, F.lit("কোম্প|কম্প|মকাম্প|ককাম্প|company")),
+        "says_anchor": S.any_of(full, S.ANCHORS), "says_company": S.any_of(full, ("company", "কোম্পানি", "কম্পানি", "software")), "says_company_by_name": S.any_of(own, COMPANY),
         "says_software": F.contains(own, F.lit("software")), "says_service": F.contains(own, F.lit("service")), "says_software_service": F.contains(own, F.lit("software")) & F.contains(own, F.lit("service")),
         "definition_heading": F.exists("_heads", lambda h: F.rlike(F.lower(h), F.lit("definition|সংজ্ঞা"))), "says_definition": S.any_of(full, (" means ", " means\n", "defined as", "definition")),
-        "says_target": target, "means_target": S.means_target(F.col("_target"), full), "supports_comparison": each["comparison"], "supports_eligibility": each["eligibility"],
+        "says_target": target, "means_target": S.means_target(F.col("_defined"), full), "supports_comparison": each["comparison"], "supports_eligibility": each["eligibility"],
     }
     clean = {n: F.coalesce(c, F.lit(0.0 if n in ("quality", "lexical_score", "dense_score") else 0 if n in _MEASURES else False)) for n, c in facts.items()}
     supports = S.supports_question(kind, F.col("_signals.section"), F.col("_signals.subsection"), p["section"], p["subsection"], F.lower(body), each)
-    rows = once(rows, {"facts": F.struct(*[c.alias(n) for n, c in clean.items()]), "kind": kind, "supports": supports, "supports_definition": S.supports_definition(F.col("_target"), full)})
-    return rows.drop("_signals", "_asked", "_target", "_heads", "_own", "_terms", "_salient", "_informative", "_full", "_heading_terms", "_reference", "_words", "_shared")
+    rows = once(rows, {"facts": F.struct(*[c.alias(n) for n, c in clean.items()]), "kind": kind, "supports": supports, "supports_definition": S.supports_definition(F.col("_defined"), full)})
+    return rows.drop("_signals", "_clean", "_kind", "_tokens", "_lower", "_defined", "_sections", "_says", "_heads", "_own", "_terms", "_salient", "_informative", "_full", "_heading_terms", "_reference", "_words", "_shared")
 
 
+#: A company by name, also as it is misread.
+COMPANY = ("কোম্প", "কম্প", "মকাম্প", "ককাম্প", "company")
 _MEASURES = ("authority", "heading_shared", "heading_salient", "shared", "salient_shared")
 
 

@@ -66,6 +66,33 @@ def test_price_sums(spark):
     assert set(got["s"]) == sums and got["u"] == [78.24, 0.3]  # all six are one price too many
 
 
+def test_patterns_are_tried_where_their_words_stand(spark):
+    """Alternatives by what they can't do without mean what the whole pattern means."""
+    from marlstone.functions import questions, support, text
+
+    patterns = {**dict(questions.QUESTION_KINDS), **{k: getattr(support, k) for k in ("AMOUNT", "DURATION", "DATE", "LIST", "ELIGIBILITY")}, "odd": r"a(?:b|c)?d+e{2}f\|g|[|)(]x|\(y\)z?|k*"[:-3]}
+    assert [text.required(b) for b in text.branches(patterns["odd"])] == ["f|g", "x", "(y)"]
+    said = ["", "am i", "I am a man and tax", "exceeds taka", "exceed takas", "5 (five) successive assessment years", "carried forward", "carryied  forward", "from here\nto there", "from a to b", "mayor", "in may", "1st", "(b)", "(xi)", "how many classes", "for how many good years",
+        "period of 5", "listing", "a list", "what does x mean", "which of them are listed", "adee", "acddee|", "addeef|g", "|x", "(y)", "adeef|g", "করহার কত", "taka", "wages", "তুলনা", "i am an old one, tax"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    for name, p in patterns.items():
+        assert text.branches(p) and "|".join(text.branches(p)) == p
+        for r in rows.select("t", text.meets(F.col("t"), p).alias("got"), F.rlike("t", F.lit(p)).alias("want")).collect():
+            assert r["got"] == r["want"], (name, r)
+
+
+def test_signals_read_a_question_once(spark):
+    """A question's kind is found once for all signals; they are those of the column."""
+    from marlstone.operators import scoring
+
+    asked = ["What is the rate of company tax in section 5.2?", "Definition of  assessee?", "করহার মানে কী?", "আয় এর সংজ্ঞা কী", "Am I a worker, tax 2023 - 2024 Appendix b, S.R.O. No. 5-Law/2020", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, t string")
+    known = scoring.with_signals(rows, F.col("t"), "s").select("i", "s")
+    assert sorted(known.collect()) == sorted(rows.select("i", legal.query_signals(F.col("t")).alias("s")).collect())
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("THEN comparison") == 1
+
+
 def test_price_sums_of_many_answers(spark):
     """Answers of many sizes against all combinations; nulls; sums are numbers of a matrix, so an answer of ten prices costs what ten thousand did."""
     import random
