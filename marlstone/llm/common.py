@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import bound_batches  # noqa: F401 - part of this module too
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,13 +63,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bound_batches(spark: SparkSession, megabytes: int = 4) -> None:
-    """Bounds the bytes of the Arrow batches in which texts reach Python. Only ever lowered, to one value, so no plan depends on which operator was built last."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(megabytes << 20))
-
-
 def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for new columns that ``df`` doesn't have, whatever the case: underscores and the wanted name."""
     taken, out = {c.lower() for c in df.columns}, []

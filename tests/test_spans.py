@@ -93,3 +93,12 @@ def test_long_segments_of_a_whole_table(spark, sf):
             first = next(s for s in re.split(r"(?<=[.;:!?])\s+", after) if s.strip())
             tail = 50 in (n, own[i - 1][0] if i else 0, own[i + 1][0])  # beside or of a sentence that was cut into windows
             assert tail or n + len(token.findall(first)) > 50
+
+
+def test_page_chunks_bound_what_python_holds(spark):
+    """A batch is bounded by its bytes, not by rows alone, of which a larger table has more in a task."""
+    own = spark.newSession()
+    checkpoints(own)
+    pages = own.createDataFrame([("a", i, "12. Levy of tax\n" + f"word{i} " * 3000) for i in range(40)], "d string, p int, t string").coalesce(1)
+    assert spans.page_chunks(pages, "d", "p", "t").select("p").distinct().count() == 40
+    assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
