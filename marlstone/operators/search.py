@@ -62,6 +62,11 @@ class Bm25:
         mean = raw.agg(F.avg("_idf").alias("_mean"))  # one row
         return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("_idf") < 0, FLOOR * F.col("_mean")).otherwise(F.col("_idf")).alias("idf"))
 
+    def mean_idf(self, n: int) -> float:
+        """The mean weight of the vocabulary of ``n`` documents: one row, from one reading of the texts."""
+        df = self.docs.select(F.explode(F.array_distinct("_tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return df.agg(F.avg(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """(key, term, tf, dl). With ``terms`` other tokens are dropped before anything is exploded."""
         wanted = F.filter("_tokens", lambda t: t.isin(terms)) if terms else F.col("_tokens")
@@ -81,7 +86,7 @@ class Bm25:
         self.average = average or 0.0
         raw = {t: log(n - d + 0.5) - log(d + 0.5) for t, d in zip(new, df, strict=True) if d}
         if any(w < 0 for w in raw.values()):
-            floor = self.whole.vocabulary().where(F.col("term").isin([t for t, w in raw.items() if w < 0])).agg(F.min("idf")).first()[0]
+            floor = FLOOR * self.whole.mean_idf(n)
             raw = {t: floor if w < 0 else w for t, w in raw.items()}
         self.idf |= {t: raw.get(t, 0.0) for t in new}
 

@@ -66,6 +66,21 @@ def test_price_sums(spark):
     assert set(got["s"]) == sums and got["u"] == [78.24, 0.3]  # all six are one price too many
 
 
+def test_common_terms_read_the_texts_once_more(spark):
+    """A term in over half of the corpus takes one more reading, for the mean of all weights."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    index = search.Bm25(spark.createDataFrame([(i, f"the w{i} w{i % 3}") for i in range(20)], "id long, t string"), "id", seen(F.col("t")))
+    index.learn(["the", "w1"])
+    assert read.value <= 40
+    assert abs(index.idf["the"] - index.vocabulary().where("term = 'the'").first()["idf"]) < 1e-12 and index.idf["the"] > 0
+
+
 def test_patterns_are_tried_where_their_words_stand(spark):
     """Alternatives by what they can't do without mean what the whole pattern means."""
     from marlstone.functions import questions, support, text
