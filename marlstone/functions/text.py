@@ -14,8 +14,8 @@ BENGALI_DIGITS = "".join(chr(0x09E6 + k) for k in range(10))
 
 
 def normalize_digits(text: Column) -> Column:
-    """Bengali digits as others; a text without any isn't rewritten."""
-    return F.when(F.rlike(text, F.lit(f"[{BENGALI_DIGITS}]")), F.translate(text, BENGALI_DIGITS, "0123456789")).otherwise(text)
+    """Bengali digits as others; a text without any isn't rewritten. The range is one test for a character, a class of listed ones a test for each."""
+    return F.when(F.rlike(text, F.lit(r"[\x{09E6}-\x{09EF}]")), F.translate(text, BENGALI_DIGITS, "0123456789")).otherwise(text)
 
 
 def _parts(pattern: str) -> list[str]:
@@ -50,12 +50,19 @@ def required(branch: str) -> str:
     return max(runs, key=len)
 
 
+def _spread(branch: str) -> list[str]:
+    """An alternative that is one plain group between word boundaries, as one for each of the group's words."""
+    group = re.fullmatch(r"(\\b)?\(\?:([\w |]+)\)(\\b)?", branch)
+    return [f"{group[1] or ''}{word}{group[3] or ''}" for word in group[2].split("|")] if group else [branch]
+
+
 def meets(text: Column, pattern: str) -> Column:
-    """Whether a text meets a regular expression. An alternative is tried only where the text holds the characters that it can't do without."""
-    known = [(b, required(b)) for b in branches(pattern)]
+    """Whether a text meets a regular expression. An alternative is tried only where the text holds the characters that it can't do without, or else meets it without its word boundaries, which is sooner told."""
+    known = [(b, required(b)) for whole in branches(pattern) for b in _spread(whole)]
     tests = [F.contains(text, F.lit(r)) if b == r else F.contains(text, F.lit(r)) & F.rlike(text, F.lit(b)) for b, r in known if r]
-    rest = [b for b, r in known if not r]
-    return reduce(lambda a, b: a | b, tests + ([F.rlike(text, F.lit("|".join(rest)))] if rest else []))
+    rest = [(b, b if "(?!" in b or "(?<!" in b else b.replace(r"\b", "")) for b, r in known if not r]
+    tests += [F.rlike(text, F.lit(b)) if b == loose else F.rlike(text, F.lit(loose)) & F.rlike(text, F.lit(b)) for b, loose in rest]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def tokens(text: Column | str) -> Column:
@@ -85,12 +92,15 @@ def quality_score(text: Column) -> Column:
     s = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f\v"))
     n = F.greatest(F.length(s), F.lit(1))
     lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    latin, bengali, digits = characters(s, "A-Za-z"), characters(s, r"\x{0980}-\x{09FF}"), characters(s, r"\p{Nd}")
+    # A text of single bytes has no Bengali, and no letters but these.
+    single, latin, digits = F.octet_length(s) == F.length(s), characters(s, "A-Za-z"), characters(s, r"\p{Nd}")
+    bengali, letters = (F.when(single, many).otherwise(characters(s, kind)) for kind, many in ((r"\x{0980}-\x{09FF}", F.lit(0)), (r"\p{L}", latin)))
+    word = r"\p{L}\p{N}_\x{0980}-\x{09FF}"
     bare = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^[0-9 .:/()%|-]+$")))) / F.greatest(F.size(lines), F.lit(1))
     score = (
         F.least(F.length(s) / 180.0, F.lit(1.0)) * 0.25
-        + F.least(characters(s, r"\p{L}") / n / 0.45, F.lit(1.0)) * 0.35
-        + F.least(F.regexp_count(s, F.lit(r"[\p{L}\p{N}_\x{0980}-\x{09FF}]+")) / 28.0, F.lit(1.0)) * 0.2
+        + F.least(letters / n / 0.45, F.lit(1.0)) * 0.35
+        + F.when(F.rlike(s, F.lit(rf"\A[^{word}]*+(?:[{word}]++[^{word}]++){{27}}[{word}]")), F.lit(1.0)).otherwise(F.least(F.regexp_count(s, F.lit(rf"[{word}]+")) / 28.0, F.lit(1.0))) * 0.2
         + F.when(F.greatest(latin, bengali) >= 18, 1.0).otherwise(F.least((latin + bengali) / 18.0, F.lit(1.0))) * 0.25
         - F.least(digits / n, F.lit(1.0)) * 0.2
         - bare * 0.35

@@ -164,8 +164,12 @@ FUSED = [
 
 
 def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``rows`` with more columns, which are computed once however often they are used: a generator's columns aren't merged into what reads them."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    """``rows`` with more columns, which are computed once however often they are used: a generator's columns aren't merged into what reads them.
+
+    The generator takes one finished struct: one that holds a function of array elements would interpret all of its columns, row by row, and what they share anew for each.
+    """
+    made = rows.select("*", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_once"))
+    return made.select(*rows.columns, F.inline(F.array("_once")))
 
 
 def with_signals(rows: DataFrame, question: Column, into: str) -> DataFrame:
