@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from json import loads
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,38 +33,44 @@ class _Conversation(StatefulProcessor):
         self.wishes = handle.getMapState("wishes", "slot string, value string", "n long")
         self.spent = handle.getListState("budgets", "value double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        turns = pd.concat(list(rows)).sort_values(["x_order", "x_at"], kind="stable")
-        n, run, at, intent = tuple(self.summary.get()) if self.summary.exists() else (0, 0, None, None)
-        wishes = Counter({tuple(k): v[0] for k, v in self.wishes.iterator()})
-        budgets = [v[0] for v in self.spent.get()] if self.spent.exists() else []
-        for row in turns.to_dict("records"):
-            if at is not None and row["x_at"] - at > self.gap:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """Each call to the state is a message to Spark, so a key that nothing is known of reads and clears nothing, and of another only what changed is written."""
+        last = lambda x: (x is None, x)
+        told = self.summary.get()
+        n, run, at, intent = told or (0, 0, None, None)
+        known = {tuple(k): v[0] for k, v in self.wishes.iterator()} if told else {}
+        spent = [v[0] for v in self.spent.get()] if told else []
+        before, wishes, budgets = at, Counter(known), spent
+        turns = [(order, loads(told_)) for _, order, _, told_ in map(tuple, rows)]
+        for _, row in sorted(turns, key=lambda r: (last(r[0]), last(r[1].get("at")))):
+            when = row.get("at")
+            if at is not None and when is not None and when - at > self.gap:
                 n, run, wishes, budgets = 0, 0, Counter(), []
-            n, run, at, intent = n + 1, run + 1 if row["x_failed"] else 0, int(row["x_at"]), row["x_intent"]
-            wishes.update((s, row[f"x_{s}"]) for s in self.slots if isinstance(row[f"x_{s}"], str) and row[f"x_{s}"])
-            if row["x_budget"] > 0:
-                budgets = [*budgets, float(row["x_budget"])][-BUDGETS:]
-        self.clear()
+            n, run, at, intent = n + 1, run + 1 if row["failed"] else 0, at if when is None else when, row.get("intent")
+            wishes.update((s, v) for s, v in zip(self.slots, row["slots"], strict=True) if v and isinstance(v, str))
+            if "budget" in row:
+                budgets = [*budgets, float(row["budget"])][-BUDGETS:]
         self.summary.update((n, run, at, intent))
+        for wish in known.keys() - wishes.keys():
+            self.wishes.removeKey(wish)
         for wish, count in wishes.items():
-            self.wishes.updateValue(wish, (count,))
-        if budgets:
-            self.spent.put([(b,) for b in budgets])
-        self.handle.registerTimer(at + self.gap)
+            if known.get(wish) != count:
+                self.wishes.updateValue(wish, (count,))
+        if budgets != spent:
+            self.spent.put([(b,) for b in budgets]) if budgets else self.spent.clear()
+        if at != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.gap)
+            self.handle.registerTimer(at + self.gap)
         tastes = ";".join(f"{s}:{v}={c}" for (s, v), c in sorted(wishes.items()))
-        yield pd.DataFrame({self.key: [key[0]], "n_turns": [n], "failures": [run], "intent": [intent], "tastes": [tastes], "budgets": [";".join(f"{b:.2f}" for b in budgets)]})
+        yield Row(**{self.key: key[0], "n_turns": n, "failures": run, "intent": intent, "tastes": tastes, "budgets": ";".join(f"{b:.2f}" for b in budgets)})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.summary.exists() and self.summary.get()[2] + self.gap <= timerValues.getCurrentWatermarkInMs():
-            self.clear()
-        yield pd.DataFrame()
-
-    def clear(self) -> None:
-        for state in (self.summary, self.wishes, self.spent):
-            state.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        told = self.summary.get()
+        if told and told[2] is not None and told[2] + self.gap <= timerValues.getCurrentWatermarkInMs():
+            for state in (self.summary, self.wishes, self.spent):
+                state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -76,10 +83,12 @@ def conversations(turns: DataFrame, key: str, order: str, at: str, failed: str,
     or budget that is null or empty names none. Batches count by arrival, rows of a batch by ``order``; rows that come more
     than ``late`` behind the newest are dropped. ``state_store`` must be called before the stream starts.
     """
-    # Names that begin with an underscore don't reach the processor.
-    rows = turns.withWatermark(at, late).select(key, F.col(order).alias("x_order"), F.col(at), F.unix_millis(at).alias("x_at"), F.coalesce(failed, F.lit(False)).alias("x_failed"), F.col(intent).alias("x_intent"), F.col(budget).cast("double").alias("x_budget"), *[F.col(s).alias(f"x_{s}") for s in slots])
+    # Each value of a row that goes to the processor is converted by itself, so what a turn tells goes as one. Names that begin with an underscore don't reach it.
+    spent = F.col(budget).cast("double")
+    told = {"at": F.unix_millis(at), "failed": F.coalesce(failed, F.lit(False)), "intent": F.col(intent), "budget": F.when((spent > 0) & ~F.isnan(spent), spent), "slots": F.array(*slots)}
+    rows = turns.withWatermark(at, late).select(key, F.col(order).alias("x_order"), F.col(at).alias("x_time"), F.to_json(F.struct(*[c.alias(n) for n, c in told.items()])).alias("x_told"))
     kind = dict(turns.dtypes)[key]
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=_Conversation(key, slots, int(pd.Timedelta(gap).total_seconds() * 1000)), outputStructType=f"{key} {kind}, {_ROW}", outputMode="Update", timeMode="EventTime")
+    return rows.groupBy(key).transformWithState(statefulProcessor=_Conversation(key, slots, int(pd.Timedelta(gap).total_seconds() * 1000)), outputStructType=f"{key} {kind}, {_ROW}", outputMode="Update", timeMode="EventTime")
 
 
 def state_store(spark: SparkSession) -> None:
