@@ -52,10 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` as a compressed table in the shared folder, reread: like ``cut``, but for rows that hold texts."""
     at = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
