@@ -27,3 +27,12 @@ def test_cascade_cuts_by_ranks_of_the_fusion(spark, made):
     got = {tuple(r[c] for c in found.columns) for r in run(spark, path).collect()}
     assert got == set(found.fetchall())
     assert {(q, gate, cut) for q, _, _, _, gate, cut, _ in got} == {(100, 2, 1), (200, 5, None)}
+
+
+def test_families_count_what_the_cut_loses(spark, made):
+    path, con = made
+    run, sql = QUERIES["q_eval_families"]
+    found = con.sql(sql)
+    got = {tuple(r[c] for c in found.columns) for r in run(spark, path).collect()}
+    assert got == set(found.fetchall())
+    assert [(f, cases, passed, gate, cut) for f, cases, passed, *_, gate, cut in got] == [("en", 2, 1, 0, 1)]
