@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .search import B, FLOOR, K1, top_k_each
-from .shared import shared_folder
+from .shared import bound_batches, shared_folder
 
 #: Documents of a range, the unit that is scored or left out. A block holds a term's postings in a range, so no more than these.
 RANGE = 1024
-#: Bytes of questions' terms up to which they are broadcast to the blocks.
+#: Bytes of different terms up to which they are broadcast to the blocks.
 BROADCAST = 8 << 20
-#: Bytes of questions that a task holds, questions that it scores at once, and found rows after which it keeps the best.
-ASKED, CHUNK, POOL = 32 << 20, 2048, 1 << 19
+#: Bytes of questions that a task holds, rows that it holds of what they find (k a question at the end, as many again before the best are kept), and of a range questions and meetings of a question's term and a document that it scores at once.
+ASKED, POOL, CHUNK, PAIRS = 32 << 20, 1 << 18, 512, 1 << 20
 
 
 def gain(tf, dl, average):
@@ -111,6 +111,7 @@ def build(docs: DataFrame, key: str, text: str | Column, path: str | None = None
     A range is a set of documents of like length, so that its bounds are near its scores. A term in over half of the documents has a share of the mean idf in place of its negative one.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or f"{shared_folder(spark)}/postings-{uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -145,18 +146,23 @@ def search(index: Index, questions: DataFrame, k: int, question: str = "question
 
 
 def best(held: DataFrame, asked: DataFrame, average: float, k: int) -> DataFrame:
-    """(question, key, score, rank) of ``blocks`` for ``asked`` (question, term, weight), which is read twice.
+    """(question, key, score, rank) of ``blocks`` for ``asked`` (question, term, weight), which is read more than once.
 
     Each range goes whole to one task, once for each block of questions, which a task holds. Range after range the task adds
     up what its documents score, for those questions only whose bound reaches their kth score so far, and passes on k
     documents a question. So neither pairs of questions and postings nor pairs of questions and documents are ever moved.
+    A block of questions is as large as what it finds fits in a task, so a task's memory doesn't grow with the questions,
+    and the more blocks there are, the more ranges a task meets and the fewer rows are passed on for a question.
     """
     spark = held.sparkSession
-    size = asked.agg(F.sum(F.length("term") + 40)).first()[0] or 0
-    parts = max(1, -(-size // ASKED))
+    bound_batches(spark)
+    size, count = asked.agg(F.sum(F.length("term") + 40), F.count_distinct("question")).first()
+    parts = max(1, -(-(size or 0) // ASKED), -(-count * k // POOL))
     slices = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
-    if size < BROADCAST:
-        held = held.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    if parts == 1 or (terms.agg(F.sum(F.length("term") + 40)).first()[0] or 0) < BROADCAST:
+        terms = F.broadcast(terms)
+    held = held.join(terms, "term", "left_semi")  # what nobody asks isn't dealt
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kinds = dict(asked.dtypes)["question"], dict(held.dtypes)["keys"].removeprefix("array<").removesuffix(">")
     wants = asked.groupBy("question").agg(F.collect_list(F.struct("term", "weight")).alias("_w")).select(F.pmod(F.xxhash64("question"), F.lit(parts)).cast("int").alias("_part"), every(slices).alias("_slice"), "question", F.col("_w.term").alias("terms"), F.col("_w.weight").alias("weights"))
@@ -170,63 +176,84 @@ class _Asked:
     """The questions of a task by their terms, and the best documents of each so far."""
 
     def __init__(self, k: int):
-        self.k, self.questions, self.terms, self.weights, self.of = k, [], [], [], None
+        self.k, self.rows, self.of = k, [], None
         self.pool: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         self.pooled = 0
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        self.questions.append(batch.column("question"))
-        self.terms.append(batch.column("terms"))
-        self.weights.append(batch.column("weights"))
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.rows.append(rows)
 
     def ready(self) -> None:
-        lists = pa.chunked_array(self.terms).combine_chunks()
+        asked = pa.Table.from_batches(self.rows)
+        self.rows, self.questions = [], asked["question"].combine_chunks()
+        lists = asked["terms"].combine_chunks()
         size = np.asarray(lists.value_lengths())
         coded = lists.flatten().dictionary_encode()
-        code, weight = np.asarray(coded.indices), np.asarray(pa.chunked_array(self.weights).combine_chunks().flatten())
+        code, weight = np.asarray(coded.indices), np.asarray(asked["weights"].combine_chunks().flatten())
         order = np.argsort(code, kind="stable")
         self.of, self.weight = np.repeat(np.arange(len(size)), size)[order], weight[order]
         self.starts = np.r_[0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))]
-        self.number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        self.terms = coded.dictionary
         self.limit = np.full(len(size), 5e-7)  # what is rounded to 0 is never found
 
-    def meet(self, rows: list[tuple], average: float) -> None:
-        """One range: (term, keys, tfs, dls, bound) of each of its terms."""
-        rows = [(self.number[r[0]], *r[1:]) for r in rows if r[0] in self.number]
+    def known(self, rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        """Those of a range's rows (term, keys, tfs, dls, bound) whose term is asked, by its number."""
+        number = pc.index_in(rows.column("term"), self.terms)
+        if number.null_count == len(number):
+            return None
+        columns = [number, *(rows.column(c) for c in ("keys", "tfs", "dls", "bound"))]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "keys", "tfs", "dls", "bound"]).filter(number.is_valid())
+
+    def meet(self, rows: list[pa.RecordBatch], average: float) -> None:
+        """One range: ``known`` rows of all its terms."""
         if not rows:
             return
-        most = np.zeros(len(self.limit))
-        for term, _, _, _, bound in rows:
-            at = slice(self.starts[term], self.starts[term + 1])
-            most[self.of[at]] += np.maximum(self.weight[at], 0) * bound  # a question has a term once
-        open_ = np.flatnonzero(most + 1e-6 >= self.limit)
-        if not len(open_):
+        met = pa.Table.from_batches(rows).combine_chunks()
+        term, bound = np.asarray(met["term"]), np.asarray(met["bound"])
+        asked = self.starts[term + 1] - self.starts[term]
+        row, entry = _spread(self.starts[term], asked)  # each asking of a term, by the term's row
+        most = np.bincount(self.of[entry], np.maximum(self.weight[entry], 0) * bound[row], len(self.limit))  # a question has a term once
+        open_ = most + 1e-6 >= self.limit
+        kept = open_[self.of[entry]]
+        row, entry = row[kept], entry[kept]
+        if not len(row):
             return
-        keys = pa.chunked_array([r[1] for r in rows]).combine_chunks().dictionary_encode(null_encoding="encode")
-        own, ends = np.asarray(keys.indices), np.cumsum([len(r[1]) for r in rows])
-        gains = gain(np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]), average)
-        place = np.full(len(self.limit), -1)
-        for start in range(0, len(open_), CHUNK):
-            chunk = open_[start : start + CHUNK]
-            place[chunk] = np.arange(len(chunk))
-            scores = np.zeros((len(chunk), len(keys.dictionary)))
-            for (term, *_), low, high in zip(rows, np.r_[0, ends[:-1]], ends, strict=True):
-                at = slice(self.starts[term], self.starts[term + 1])
-                to = place[self.of[at]]
-                here = to >= 0
-                if here.any():
-                    scores[np.ix_(to[here], own[low:high])] += np.outer(self.weight[at][here], gains[low:high])
-            place[chunk] = -1
-            scores = np.round(scores, 6)
-            some = np.flatnonzero(scores.max(axis=1) >= self.limit[chunk])
-            if scores.shape[1] > self.k and len(some):
-                kth = np.partition(scores[some], -self.k, axis=1)[:, -self.k]
-                self.limit[chunk[some]] = np.maximum(self.limit[chunk[some]], kth)
-            q, d = np.nonzero(scores[some] >= self.limit[chunk[some]][:, None])
-            self.pool.append((chunk[some][q], scores[some][q, d], keys.dictionary.take(pa.array(d))))
-            self.pooled += len(q)
-            if self.pooled > POOL:
-                self.settle()
+        keys = met["keys"].combine_chunks()
+        size = np.asarray(keys.value_lengths()).astype(np.int64)
+        keys = keys.flatten().dictionary_encode(null_encoding="encode")
+        place = np.asarray(pc.rank(keys.dictionary, sort_keys="ascending", null_placement="at_start", tiebreaker="first")).astype(np.int64) - 1
+        own, sorted_ = place[np.asarray(keys.indices)], keys.dictionary.take(pa.array(np.argsort(place)))
+        gains = gain(*(np.asarray(met[c].combine_chunks().flatten()) for c in ("tfs", "dls")), average)
+        first = np.cumsum(size) - size
+        order = np.argsort(self.of[entry], kind="stable")
+        row, entry = row[order], entry[order]
+        asks = np.flatnonzero(np.r_[True, np.diff(self.of[entry]) > 0, True])  # where each question's entries begin
+        pairs = np.r_[0, np.cumsum(size[row])][asks]
+        at = 0
+        while at < len(asks) - 1:
+            to = int(min(at + CHUNK, max(at + 1, np.searchsorted(pairs, pairs[at] + PAIRS, side="right") - 1), len(asks) - 1))
+            here = slice(asks[at], asks[to])
+            self.score(self.of[entry[asks[at:to]]], np.repeat(np.arange(to - at), np.diff(asks[at : to + 1])), self.weight[entry[here]], first[row[here]], size[row[here]], own, gains, sorted_)
+            at = to
+
+    def score(self, chunk: np.ndarray, of: np.ndarray, weight: np.ndarray, first: np.ndarray, size: np.ndarray, own: np.ndarray, gains: np.ndarray, keys: pa.Array) -> None:
+        """Some questions of one range: of each the k best documents not under its limit go to the pool, ties by key."""
+        entry, pair = _spread(first, size)
+        cells = (len(chunk), len(keys))
+        scores = np.bincount(of[entry] * len(keys) + own[pair], weight[entry] * gains[pair], cells[0] * cells[1]).reshape(cells)
+        np.round(scores, 6, out=scores)
+        hit = scores >= self.limit[chunk][:, None]
+        over = np.flatnonzero(hit.sum(axis=1) > self.k)
+        if len(over):
+            best = np.argsort(-scores[over], axis=1, kind="stable")[:, : self.k]  # keys are in order
+            self.limit[chunk[over]] = scores[over, best[:, -1]]
+            hit[over] = False
+            hit[over[:, None], best] = True
+        q, d = np.nonzero(hit)
+        self.pool.append((chunk[q], scores[q, d], keys.take(pa.array(d))))
+        self.pooled += len(q)
+        if self.pooled > POOL:
+            self.settle()
 
     def settle(self) -> None:
         """Of the pool each question's k best stay, ties by key, and its kth score is a limit from here on."""
@@ -245,7 +272,13 @@ class _Asked:
             return None
         self.settle()
         q, score, key = self.pool[0]
-        return pa.RecordBatch.from_arrays([pa.chunked_array(self.questions).combine_chunks().take(pa.array(q)), key, pa.array(score)], names=["question", "key", "score"])
+        return pa.RecordBatch.from_arrays([self.questions.take(pa.array(q)), key, pa.array(score)], names=["question", "key", "score"])
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of ``size`` places from ``first`` on: the run and the place of each."""
+    run, ends = np.repeat(np.arange(len(size)), size), np.cumsum(size)
+    return run, np.arange(len(run)) + (first - ends + size)[run]
 
 
 def _best(batches: Iterator[pa.RecordBatch], average: float, k: int) -> Iterator[pa.RecordBatch]:
@@ -259,26 +292,27 @@ def _best(batches: Iterator[pa.RecordBatch], average: float, k: int) -> Iterator
         return own.found()
 
     for batch in batches:
-        part, slice_ = (batch.column(c).to_numpy() for c in ("_part", "_slice"))
+        part, slice_, numbers = (np.asarray(batch.column(c).fill_null(-1)) for c in ("_part", "_slice", "range"))
         postings = np.asarray(batch.column("range").is_valid())
-        lists = [batch.column(c) for c in ("keys", "tfs", "dls")]
-        terms, ranges_, bounds = (batch.column(c).to_pylist() for c in ("term", "range", "bound"))
-        for i in range(batch.num_rows):
+        runs = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(slice_) != 0) | (np.diff(numbers) != 0) | (np.diff(postings.astype(np.int8)) != 0), True][: batch.num_rows]) if batch.num_rows else []
+        for i, to in zip(runs, [*runs[1:], batch.num_rows], strict=True):
             if (part[i], slice_[i]) != at:
                 if (out := close()) is not None:
                     yield out
                 own, at, range_, rows = _Asked(k), (part[i], slice_[i]), None, []
+            run = batch.slice(i, to - i)
             if not postings[i]:
-                own.add(batch.slice(i, 1))
-                continue
-            if not own.questions:
+                own.add(run)
                 continue
             if own.of is None:
+                if not own.rows:
+                    continue
                 own.ready()
-            if ranges_[i] != range_:
+            if numbers[i] != range_:
                 own.meet(rows, average)
-                range_, rows = ranges_[i], []
-            rows.append((terms[i], lists[0][i].values, *(v[i].values.to_numpy() for v in lists[1:]), bounds[i]))
+                range_, rows = numbers[i], []
+            if (known := own.known(run)) is not None:
+                rows.append(known)
     if (out := close()) is not None:
         yield out
 
