@@ -19,9 +19,9 @@ from .shared import bound_batches, shared_folder
 
 #: Documents of a range, the unit that is scored or left out. A block holds a term's postings in a range, so no more than these.
 RANGE = 1024
-#: Bytes of different terms up to which they are broadcast to the blocks.
+#: Bytes of the questions' different terms up to which they are broadcast to the blocks.
 BROADCAST = 8 << 20
-#: Bytes of questions that a task holds, rows that it holds of what they find (k a question at the end, as many again before the best are kept), and of a range questions and meetings of a question's term and a document that it scores at once.
+#: Bytes of questions that a task holds, rows that it holds of what they find (k a question at the end, as many again before the best are kept), and and, of a range, questions and meetings of a question's term and a document that it scores at once.
 ASKED, POOL, CHUNK, PAIRS = 32 << 20, 1 << 18, 512, 1 << 20
 
 
@@ -159,14 +159,13 @@ def best(held: DataFrame, asked: DataFrame, average: float, k: int) -> DataFrame
     size, count = asked.agg(F.sum(F.length("term") + 40), F.count_distinct("question")).first()
     parts = max(1, -(-(size or 0) // ASKED), -(-count * k // POOL))
     slices = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
-    terms = asked.select("term").distinct()
-    if parts == 1 or (terms.agg(F.sum(F.length("term") + 40)).first()[0] or 0) < BROADCAST:
-        terms = F.broadcast(terms)
-    held = held.join(terms, "term", "left_semi")  # what nobody asks isn't dealt
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = F.pmod(F.xxhash64("question"), F.lit(parts)).cast("int").alias("_part")
+    wanted = asked.select(part, "term").distinct()  # a block of questions is dealt the postings that it asks for
+    if (wanted.agg(F.sum(F.length("term") + 40)).first()[0] or 0) < BROADCAST:
+        wanted = F.broadcast(wanted)
     kinds = dict(asked.dtypes)["question"], dict(held.dtypes)["keys"].removeprefix("array<").removesuffix(">")
-    wants = asked.groupBy("question").agg(F.collect_list(F.struct("term", "weight")).alias("_w")).select(F.pmod(F.xxhash64("question"), F.lit(parts)).cast("int").alias("_part"), every(slices).alias("_slice"), "question", F.col("_w.term").alias("terms"), F.col("_w.weight").alias("weights"))
-    rows = held.select(every(parts).alias("_part"), F.pmod(F.xxhash64("range"), F.lit(slices)).cast("int").alias("_slice"), "range", "term", "keys", "tfs", "dls", "bound")
+    wants = asked.groupBy("question").agg(F.collect_list(F.struct("term", "weight")).alias("_w")).select(part, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), "question", F.col("_w.term").alias("terms"), F.col("_w.weight").alias("weights"))
+    rows = held.join(wanted, "term").select("_part", F.pmod(F.xxhash64("range"), F.lit(slices)).cast("int").alias("_slice"), "range", "term", "keys", "tfs", "dls", "bound")
     dealt = wants.unionByName(rows, allowMissingColumns=True).repartition(parts * slices, "_part", "_slice").sortWithinPartitions("_part", "_slice", F.asc_nulls_first("range"))
     found = dealt.mapInArrow(lambda batches: _best(batches, average, k), f"question {kinds[0]}, key {kinds[1]}, score double")
     return top_k_each(found, "question", "score", k, "key")
@@ -233,22 +232,37 @@ class _Asked:
         while at < len(asks) - 1:
             to = int(min(at + CHUNK, max(at + 1, np.searchsorted(pairs, pairs[at] + PAIRS, side="right") - 1), len(asks) - 1))
             here = slice(asks[at], asks[to])
-            self.score(self.of[entry[asks[at:to]]], np.repeat(np.arange(to - at), np.diff(asks[at : to + 1])), self.weight[entry[here]], first[row[here]], size[row[here]], own, gains, sorted_)
+            self.score(self.of[entry[asks[at:to]]], np.repeat(np.arange(to - at), np.diff(asks[at : to + 1])), self.weight[entry[here]], row[here], first, size, own, gains, sorted_)
             at = to
 
-    def score(self, chunk: np.ndarray, of: np.ndarray, weight: np.ndarray, first: np.ndarray, size: np.ndarray, own: np.ndarray, gains: np.ndarray, keys: pa.Array) -> None:
-        """Some questions of one range: of each the k best documents not under its limit go to the pool, ties by key."""
-        entry, pair = _spread(first, size)
-        cells = (len(chunk), len(keys))
-        scores = np.bincount(of[entry] * len(keys) + own[pair], weight[entry] * gains[pair], cells[0] * cells[1]).reshape(cells)
+    def score(self, chunk: np.ndarray, of: np.ndarray, weight: np.ndarray, row: np.ndarray, first: np.ndarray, size: np.ndarray, own: np.ndarray, gains: np.ndarray, keys: pa.Array) -> None:
+        """Some questions of one range, where ``of`` asks ``row`` with ``weight``: of each the k best documents not under its limit go to the pool, ties by key."""
+        n, m = len(chunk), len(keys)
+        pairs = np.bincount(row, minlength=len(size)) * size
+        many = np.flatnonzero(pairs * 400 > n * m)  # what many of these questions share with many documents is a product of matrices
+        few = np.ones(len(row), bool)
+        scores = np.zeros((n, m))
+        if len(many):
+            number = np.full(len(size), -1)
+            number[many] = np.arange(len(many))
+            few = number[row] < 0
+            to, pair = _spread(first[many], size[many])
+            weights = np.bincount(of[~few] * len(many) + number[row[~few]], weight[~few], n * len(many)).reshape(n, -1)
+            scores = weights @ np.bincount(to * m + own[pair], gains[pair], len(many) * m).reshape(-1, m)
+        if few.any():
+            entry, pair = _spread(first[row[few]], size[row[few]])
+            scores += np.bincount(of[few][entry] * m + own[pair], weight[few][entry] * gains[pair], n * m).reshape(n, m)
         np.round(scores, 6, out=scores)
         hit = scores >= self.limit[chunk][:, None]
         over = np.flatnonzero(hit.sum(axis=1) > self.k)
         if len(over):
-            best = np.argsort(-scores[over], axis=1, kind="stable")[:, : self.k]  # keys are in order
-            self.limit[chunk[over]] = scores[over, best[:, -1]]
-            hit[over] = False
-            hit[over[:, None], best] = True
+            kth = np.partition(scores[over], -self.k, axis=1)[:, -self.k]
+            self.limit[chunk[over]] = kth
+            hit[over] = scores[over] >= kth[:, None]
+            tied = over[hit[over].sum(axis=1) > self.k]
+            best = np.argsort(-scores[tied], axis=1, kind="stable")[:, : self.k]  # keys are in order
+            hit[tied] = False
+            hit[tied[:, None], best] = True
         q, d = np.nonzero(hit)
         self.pool.append((chunk[q], scores[q, d], keys.take(pa.array(d))))
         self.pooled += len(q)
@@ -259,6 +273,8 @@ class _Asked:
         """Of the pool each question's k best stay, ties by key, and its kth score is a limit from here on."""
         q, score = (np.concatenate([p[i] for p in self.pool]) for i in (0, 1))
         key = pa.chunked_array([p[2] for p in self.pool]).combine_chunks()
+        held = score >= self.limit[q]
+        q, score, key = q[held], score[held], key.filter(pa.array(held))
         order = np.lexsort((np.asarray(pc.rank(key, sort_keys="ascending", null_placement="at_start", tiebreaker="dense")), -score, q))
         first = np.r_[True, q[order][1:] != q[order][:-1]]
         rank = np.arange(len(order)) - np.flatnonzero(first)[np.cumsum(first) - 1]
