@@ -17,8 +17,8 @@ from ..functions.text import tokens
 from .search import B, FLOOR, K1, top_k_each
 from .shared import bound_batches, shared_folder
 
-#: Documents of a range, the unit that is scored or left out. A block holds a term's postings in a range, so no more than these.
-RANGE = 1024
+#: Documents of a range, the unit that is scored or left out. A block holds a term's postings in a range, so no more than these. A range of long documents ends with these postings.
+RANGE, POSTINGS = 1024, 1 << 19
 #: Bytes of the questions' different terms up to which they are broadcast to the blocks.
 BROADCAST = 8 << 20
 #: Bytes of questions that a task holds, rows that it holds of what they find (k a question at the end, as many again before the best are kept), and and, of a range, questions and meetings of a question's term and a document that it scores at once.
@@ -68,14 +68,14 @@ def _like(dl):
 
 
 def blocks(rows: DataFrame, average: float) -> DataFrame:
-    """(term, range, keys, tfs, dls, bound, held): the postings of ``counted`` rows. A range is up to ``RANGE`` documents of one task and like length, so nothing moves."""
+    """(term, range, keys, tfs, dls, bound, held): the postings of ``counted`` rows. A range is up to ``RANGE`` documents of one task and like length, and about ``POSTINGS`` at most, so nothing moves."""
     near = rows.where(F.size("terms") > 0).withColumn("_like", _like(F.col("dl"))).sortWithinPartitions("_like")
     kind = dict(rows.dtypes)["key"]
     return near.mapInArrow(lambda batches: _inverted(batches, average), f"term string, range long, keys array<{kind}>, tfs array<int>, dls array<int>, bound double, held long")
 
 
 def _inverted(batches: Iterator[pa.RecordBatch], average: float) -> Iterator[pa.RecordBatch]:
-    number, held, n, like = TaskContext.get().partitionId() << 32, [], 0, None
+    number, held, n, postings, like = TaskContext.get().partitionId() << 32, [], 0, 0, None
 
     def block() -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -91,16 +91,17 @@ def _inverted(batches: Iterator[pa.RecordBatch], average: float) -> Iterator[pa.
         return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.full(len(count), number)), *lists, pa.array(bound), pa.array(count)], names=["term", "range", "keys", "tfs", "dls", "bound", "held"])
 
     for batch in batches:
-        of = np.asarray(batch.column("_like"))
+        of, ends = np.asarray(batch.column("_like")), np.r_[0, np.cumsum(pc.list_value_length(batch.column("terms")))]
         at = 0
         while at < len(of):
-            if held and (of[at] != like or n == RANGE):
+            if held and (of[at] != like or n == RANGE or postings >= POSTINGS):
                 yield block()
-                number, held, n = number + 1, [], 0
+                number, held, n, postings = number + 1, [], 0, 0
             like = of[at]
             take = int(min(np.searchsorted(of, like, side="right") - at, RANGE - n))
+            take = max(1, min(take, int(np.searchsorted(ends, ends[at] + POSTINGS - postings, side="right")) - 1 - at))
             held.append(batch.slice(at, take))
-            at, n = at + take, n + take
+            at, n, postings = at + take, n + take, postings + int(ends[at + take] - ends[at])
     if held:
         yield block()
 

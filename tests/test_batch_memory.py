@@ -1,5 +1,7 @@
 """What a task of batch search holds, and that its limits change no result."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 
@@ -56,3 +58,15 @@ def test_limits_of_a_task_change_nothing(monkeypatch):
     for size in (7, 1000):
         got = [r for b in postings._best(iter(whole.to_batches(max_chunksize=size)), 9.0, k) for r in b.to_pylist()]
         assert len(got) == len(want) and {(r["question"], r["key"], round(r["score"], 6)) for r in got} == want
+
+
+def test_a_range_of_long_documents_is_short(monkeypatch):
+    """A task that writes ranges holds their postings, so these are bounded, not the documents alone."""
+    monkeypatch.setattr(postings, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(postings, "POSTINGS", 50, raising=False)
+    terms = [[f"t{i}" for i in range(20)]] * 30 + [[f"t{i}" for i in range(80)]]
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(31)), "dl": pa.array([len(t) for t in terms], pa.int32()), "terms": pa.array(terms), "tfs": pa.array([[1] * len(t) for t in terms], pa.list_(pa.int32())), "_like": pa.array([1] * 30 + [2], pa.int32())})
+    got = [b for b in postings._inverted(iter([batch.slice(0, 7), batch.slice(7)]), 20.0)]
+    assert sum(len(k) for b in got for k in b.column("keys").to_pylist()) == 30 * 20 + 80
+    assert sorted({k for b in got for ks in b.column("keys").to_pylist() for k in ks}) == list(range(31))
+    assert max(sum(len(k) for k in b.column("keys").to_pylist()) for b in got[:-1]) <= 50 + 20 and len({b.column("range")[0].as_py() for b in got}) == len(got)
